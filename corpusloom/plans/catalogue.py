@@ -1,4 +1,6 @@
 """All queries of the engine by name, with their SQL equivalents."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import keyed, metadata, streams, training
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "keyed", "metadata", "streams", "training"]
