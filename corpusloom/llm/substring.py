@@ -45,7 +45,7 @@ def pieces(text: str) -> list[tuple[int, int]]:
 def unit_digests(text: str | None, unit_words: int) -> list[int]:
     """A digest for each piece at which a unit begins, in order; the last pieces of a text begin none."""
     text = text or ""
-    found = [_WORD.findall(x) for x in _CUT.split(text.lower() if text.islower() else text) if x]
+    found = [_WORD.findall(x) for x in _CUT.split(text) if x]
     sizes, out, b, have = [len(x) for x in found], [], 0, 0
     joined = [" ".join(x).lower() for x in found]
     for a in range(len(found)):
@@ -54,7 +54,7 @@ def unit_digests(text: str | None, unit_words: int) -> list[int]:
             b += 1
         if have < unit_words:
             break
-        out.append(xxhash.xxh3_64_intdigest(" ".join(joined[a:b])) - (1 << 63))
+        out.append(xxhash.xxh3_64_intdigest(" ".join(filter(None, joined[a:b]))) - (1 << 63))
         have -= sizes[a]
     return out
 

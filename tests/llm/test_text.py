@@ -1,0 +1,126 @@
+"""BPE, token counts and page extraction against libraries and fixtures."""
+
+import hashlib
+
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+from tokenizers.models import WordPiece
+
+from corpusloom.llm import base, bpe, extract, pieces, queries
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+ODD = ["", "  ", "<|endoftext|>hi <|startoftext|> there<|endoftext|>", "Straße ΣΑΣ İstanbul naïvé été \x1c\x1d a\x85b  　x", "don't they're I'LL 12½²³ ①②Ⅷ", "日本語 한국어 ไทย हिन्दी العربية 👍🏽🇩🇪", "a\x00b", "ǅ ﬁ K", "_x_ __ 'S 'sx", "x'd'll''s", "a" * 3000]
+
+
+@pytest.fixture(scope="module")
+def codec():
+    text = open(PATH).read()
+    v = bpe.Vocabulary(text)
+    listed = ["the", "of", "a", "abc", "abd", "été", "zebra", "house"]
+    return bpe.Codec(text, bpe.Lexicon.compiled({w: v.merge(w) for w in listed}))
+
+
+@pytest.fixture(scope="module")
+def library():
+    return Tokenizer.from_file(PATH)
+
+
+def same(codec, library, texts):
+    for text, (n, ids, decoded) in zip(texts, codec.encoded(texts), strict=True):
+        want = library.encode(text or "", add_special_tokens=False).ids
+        assert (n, ids) == (len(want), " ".join(map(str, want))), text
+        assert decoded == library.decode(want, skip_special_tokens=False), text
+
+
+def test_bpe_of_odd_texts(codec, library):
+    same(codec, library, ODD)
+
+
+@given(st.lists(st.text(max_size=40), max_size=4))
+@settings(max_examples=300, deadline=None)
+def test_bpe_of_any_text(codec, library, texts):
+    same(codec, library, [t.encode("utf-8", "ignore").decode() for t in texts])
+
+
+def test_lexicon_is_minimal_and_exact():
+    words = {w: [i, i + 1] for i, w in enumerate(["tap", "taps", "top", "tops", "été", "x"])}
+    lexicon = bpe.Lexicon(bpe.Lexicon.compiled(words))
+    assert lexicon.ids_of([*words, "", "t", "tapss", "zz", "é"]) == [*words.values(), None, None, None, None, None]
+    assert len(lexicon.final) < sum(len(w.encode()) for w in words) - 6  # ap and op share their ends
+    assert bpe.Lexicon(bpe.Lexicon.compiled({})).ids_of(["a", ""]) == [None, None]
+
+
+def test_bpe_query(spark, sf_dir, library):
+    text = {r.doc_id: r.text or "" for r in base.table(spark, sf_dir, "documents").collect()}
+    rows = queries.op4_bpe(spark, sf_dir).collect()
+    assert len(rows) == len(text)
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    for r in rows:
+        ids = library.encode(text[r.doc_id], add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False)))
+
+
+def test_word_counts_cover_all_texts(spark, odd):
+    counts = dict(map(tuple, bpe.count_words(odd, flush=10).collect()))
+    assert counts["one"] == 2 and counts["and0"[:3]] == 120_000
+
+
+def test_bpe_of_odd_rows(spark, odd, nothing):
+    got = bpe.digests(odd, PATH).collect()
+    assert len(got) == odd.count() and {r.n_tokens for r in got if r.doc_id in (1, 2, 3)} == {0}
+    assert bpe.digests(nothing, PATH).count() == 0
+
+
+def test_token_counts_are_greedy_word_pieces():
+    tokens = pieces.vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
+    model = Tokenizer(WordPiece({t: i for i, t in enumerate([*tokens, "[UNK]"])}, unk_token="[UNK]", continuing_subword_prefix="", max_input_chars_per_word=10_000))
+    counter = pieces.Counter(tokens)
+    texts = ["The quick brown fox, antidisestablishmentarianism!", "éèü 日本語 aaaaaaaaaa zzzzqqqq", "internationalisation unbelievable", "", None]
+    letters = bpe.byte_letters()
+    for text, (n_words, n) in zip(texts, counter.counted(texts), strict=True):
+        words = pieces._WORD.findall(text or "")
+        want = sum(len(model.encode(pieces.START + "".join(letters[b] for b in w.encode())).ids) for w in words)
+        assert (n_words, n) == (len(words), want)
+
+
+@given(st.lists(st.text(alphabet="ab", min_size=1, max_size=4), max_size=8), st.text(alphabet="ab", max_size=12))
+@settings(max_examples=300, deadline=None)
+def test_automaton_against_longest_match(tokens, word):
+    vocabulary = {"a", "b", *tokens}
+    n, at = 0, 0
+    while at < len(word):
+        at = max(k for k in range(at + 1, len(word) + 1) if word[at:k] in vocabulary)
+        n += 1
+    assert pieces.Automaton(sorted(vocabulary)).count(word) == n
+
+
+def test_tokens_of_odd_rows(spark, odd, nothing):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    got = pieces.token_counts(odd.select("doc_id", "text"), path).collect()
+    assert len(got) == odd.count() and {(r.n_words, r.n_tokens) for r in got if r.doc_id in (1, 2, 3)} == {(0, 0)}
+    assert pieces.token_counts(nothing.select("doc_id", "text"), path).count() == 0
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body><nav><ul><li><a href="/a">Menu</a></li></ul></nav>
+<header>Site</header><!-- c --><div class="ad">Buy this now, it is a long advert with many words in it.</div><article><h1>Head &amp; line</h1><p><b>Bold<br><p>One
+ two&nbsp;three.</p><p>Be.</p><aside>Side</aside><form><input>Name</form><div class="comments"><p>First!</p></div></article><footer>&copy; me</footer>"""
+
+
+def test_page():
+    assert extract.extract(PAGE) == "Head & line Bold One two three. Be."
+    assert extract.extract(None) == extract.extract("") == extract.extract("<p></p><!-- x -->") == ""
+    assert extract.extract("plain words") == "plain words"
+    assert extract.extract("<div><nav>a b</nav><section><p>" + "long text " * 20 + "</p><p>x</p></section><div><a>l</a> <a>m</a></div></div>") == ("long text " * 20).strip() + " x"
+    assert extract.extract("<p>cut off <b") .startswith("cut off")
+
+
+def test_pages(spark, sf_dir):
+    rows = queries.op8_extract(spark, sf_dir).collect()
+    html = {r.page_id: r.html for r in base.table(spark, sf_dir, "pages").collect()}
+    assert len(rows) == len(html) and all(r.n_chars == len(r.text) and r.text for r in rows)
+    pages = spark.createDataFrame([(1, None, None, 1), (None, "u", "<p>x", 2), (1, None, None, 1)], "page_id long, url string, html string, text int")
+    assert sorted((r.text, r.n_chars) for r in extract.main_text(pages).collect()) == [("", 0), ("", 0), ("x", 1)]
+    assert extract.main_text(pages.limit(0)).count() == 0
