@@ -21,7 +21,6 @@ import mmap
 import os
 import re
 import tempfile
-import unicodedata
 from collections import Counter
 from functools import lru_cache
 
@@ -30,6 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
 from . import base
 
@@ -38,6 +38,7 @@ MEMO_WORDS = 600_000
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
 _SPACE = regex.compile(r"\p{White_Space}+")
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_BEYOND_LATIN = re.compile("[^\\x00-\u024f]")
 _ODD_SPACE = re.compile(r"[\x1c-\x1f]")  # split() takes these for white space, the vocabulary's rules don't
 
 
@@ -82,15 +83,19 @@ class Vocabulary:
         return " ".join(self.token[i] for i in ids)
 
 
-def chunks(text: str) -> list[str]:
-    """Normalised text cut at white space; no word crosses such a cut."""
-    if not text.isascii():
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower() would look at the letter's place in its word
-    text = text.lower()
+def chunks(text: str, library: Tokenizer) -> list[str]:
+    """Normalised text cut at white space; no word crosses such a cut.
+
+    Beyond the Latin letters the library normalises, so that its own Unicode tables count.
+    """
+    text = library.normalizer.normalize_str(text) if _BEYOND_LATIN.search(text) else text.lower()
     return text.split() if not _ODD_SPACE.search(text) else [x for x in _SPACE.split(text) if x]
 
 
-def words(chunk: str) -> list[str]:
+def words(chunk: str, library: Tokenizer) -> list[str]:
+    """The words of a chunk, which has no white space."""
+    if _BEYOND_LATIN.search(chunk):
+        return [chunk[a:b] for _, (a, b) in library.pre_tokenizer.pre_tokenize_str(chunk)]
     if chunk.isalpha():
         return [chunk]
     core = chunk.rstrip(_MARKS)
@@ -99,18 +104,27 @@ def words(chunk: str) -> list[str]:
     return _SPLIT.findall(chunk)
 
 
-def count_words(docs: DataFrame, text: str = "text", flush: int = 200_000) -> DataFrame:
+@lru_cache(maxsize=2)
+def library_of(vocabulary: str) -> Tokenizer:
+    """The library's tokenizer, of which only the normaliser and the word splitter are used."""
+    return Tokenizer.from_str(vocabulary)
+
+
+def count_words(docs: DataFrame, vocabulary: str, text: str = "text", flush: int = 200_000) -> DataFrame:
     """(word, n) over the whole texts of all documents; each task pre-aggregates."""
 
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
     def run(batches):
         import pyarrow as pa
 
         seen: Counter[str] = Counter()
+        library = library_of(sent.value)
 
         def out():
             total: Counter[str] = Counter()
             for chunk, n in seen.items():
-                for word in words(chunk):
+                for word in words(chunk, library):
                     total[word] += n
             seen.clear()
             names = list(total)
@@ -121,7 +135,7 @@ def count_words(docs: DataFrame, text: str = "text", flush: int = 200_000) -> Da
         for batch in batches:
             for x in batch.column(0).to_pylist():
                 if x:
-                    seen.update(chunks(x))
+                    seen.update(chunks(x, library))
                 if len(seen) > flush:
                     yield from out()
         yield from out()
@@ -226,7 +240,7 @@ class Codec:
     """Encodes and decodes whole texts; one per worker."""
 
     def __init__(self, vocabulary: str, lexicon: bytes):
-        self.vocabulary = Vocabulary(vocabulary)
+        self.vocabulary, self.library = Vocabulary(vocabulary), library_of(vocabulary)
         self.lexicon = Lexicon.mapped(lexicon)
         # two memos of strings: the ids and the tokens of a chunk, joined by spaces; a special token's key starts with a space
         self.ids: dict[str, str] = {}
@@ -238,7 +252,7 @@ class Codec:
         for c in [c for c in asked if c[0] == " "]:
             ids[c], tokens[c] = str(self.vocabulary.special[c[1:]]), c[1:]
             asked.discard(c)
-        parts = {c: words(c) for c in asked}
+        parts = {c: words(c, self.library) for c in asked}
         new = [w for w in {w for ws in parts.values() for w in ws} if w not in ids]
         for word, own in zip(new, self.lexicon.ids_of(new), strict=True):
             own = self.vocabulary.merge(word) if own is None else own
@@ -253,9 +267,9 @@ class Codec:
         for text in texts:
             parts, at, text = [], 0, text or ""
             for m in special.finditer(text) if special else ():
-                parts += [*chunks(text[at : m.start()]), " " + m[0]]
+                parts += [*chunks(text[at : m.start()], self.library), " " + m[0]]
                 at = m.end()
-            cut.append(parts + chunks(text[at:] if at else text))
+            cut.append(parts + chunks(text[at:] if at else text, self.library))
         seen = set().union(*cut)
         if len(self.ids) + len(seen) > MEMO_WORDS:
             self.ids, self.tokens = {}, {}
@@ -281,7 +295,7 @@ def prepared(docs: DataFrame, vocabulary_path: str, lexicon_words: int = 200_000
     with open(vocabulary_path, encoding="utf-8") as f:
         text = f.read()
     vocabulary = Vocabulary(text)
-    frequent = [r["word"] for r in count_words(docs).orderBy(F.desc("n"), "word").limit(lexicon_words).collect()]
+    frequent = [r["word"] for r in count_words(docs, text).orderBy(F.desc("n"), "word").limit(lexicon_words).collect()]
     raw = Lexicon.compiled({w: vocabulary.merge(w) for w in frequent})
     return docs.sparkSession.sparkContext.broadcast({"key": hashlib.sha256(raw).hexdigest(), "vocabulary": text, "lexicon": raw})
 

@@ -28,12 +28,12 @@ UNKNOWN = "und"
 
 
 def buckets(texts: list[str | None], order: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket of every n-gram of every text, number of n-grams of each text)."""
+    """(bucket of every n-gram of every text, index of its text)."""
     kept = [(" " + x + " ") if (x := _OTHER.sub(" ", (t or "").lower()).strip()) else "" for t in texts]
     sizes = np.fromiter(map(len, kept), np.int64, len(kept))
     code = np.frombuffer("".join(kept).encode("utf-32-le", "surrogatepass"), np.uint32)
     if not len(code):
-        return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(code))  # letters to the end of the own text
     hashed, out, owner = np.zeros(len(code), np.uint32), [], []
     of = np.repeat(np.arange(len(kept)), sizes)

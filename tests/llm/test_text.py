@@ -64,7 +64,7 @@ def test_bpe_query(spark, sf_dir, library):
 
 
 def test_word_counts_cover_all_texts(spark, odd):
-    counts = dict(map(tuple, bpe.count_words(odd, flush=10).collect()))
+    counts = dict(map(tuple, bpe.count_words(odd, open(PATH).read(), flush=10).collect()))
     assert counts["one"] == 2 and counts["and0"[:3]] == 120_000
 
 
