@@ -3,8 +3,7 @@
 The words of all documents are counted in Spark; the most frequent ones, with their ids,
 become an acyclic automaton with shared suffixes whose arcs carry additive outputs: their
 sum along a word is the word's number, which selects its run of ids. The automaton is a few
-flat arrays in one byte string. It is broadcast, written once per executor machine to that
-process's own temporary folder and memory-mapped by the workers. Words outside it are
+flat arrays in one byte string, a file that Spark ships to each executor, where the workers memory-map it. Words outside it are
 merged exactly, by rank. A bounded memo spares both for words that a worker has just seen.
 
 Defined cases: a null text is empty; an empty text has no ids and decodes to nothing;
@@ -26,7 +25,8 @@ from functools import lru_cache
 
 import numpy as np
 import regex
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
@@ -34,7 +34,7 @@ from tokenizers import Tokenizer
 from . import base
 
 #: Words of one worker's memo; when it is full it starts again.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 450_000
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
 _SPACE = regex.compile(r"\p{White_Space}+")
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -205,13 +205,8 @@ class Lexicon:
         return bytes(out)
 
     @classmethod
-    def mapped(cls, raw: bytes) -> Lexicon:
-        """One file per temporary folder and content, shared by the workers that map it."""
-        path = os.path.join(tempfile.gettempdir(), f"lexicon-{hashlib.sha256(raw).hexdigest()[:24]}")
-        if not os.path.exists(path):
-            with tempfile.NamedTemporaryFile(dir=tempfile.gettempdir(), delete=False) as f:
-                f.write(raw)
-            os.replace(f.name, path)
+    def mapped(cls, path: str) -> Lexicon:
+        """One file per executor, shared by the workers that map it."""
         with open(path, "rb") as f:
             return cls(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
@@ -239,9 +234,9 @@ class Lexicon:
 class Codec:
     """Encodes and decodes whole texts; one per worker."""
 
-    def __init__(self, vocabulary: str, lexicon: bytes):
+    def __init__(self, vocabulary: str, lexicon: Lexicon):
         self.vocabulary, self.library = Vocabulary(vocabulary), library_of(vocabulary)
-        self.lexicon = Lexicon.mapped(lexicon)
+        self.lexicon = lexicon
         # two memos of strings: the ids and the tokens of a chunk, joined by spaces; a special token's key starts with a space
         self.ids: dict[str, str] = {}
         self.tokens: dict[str, str] = {}
@@ -286,18 +281,37 @@ def _codec(sent) -> Codec:
     value = sent.value
     if value["key"] not in _codecs:
         _codecs.clear()
-        _codecs[value["key"]] = Codec(value["vocabulary"], value["lexicon"])
+        _codecs[value["key"]] = Codec(value["vocabulary"], Lexicon.mapped(SparkFiles.get(value["key"])))
     return _codecs[value["key"]]
 
 
+def frequent_words(docs: DataFrame, vocabulary: str, most: int, least: int = 3) -> list[str]:
+    """At most `most` words, the most frequent of all of docs, each met `least` times or more.
+
+    The cut is a count, found from the number of words with each count, so no more than
+    that histogram and the chosen words reach the driver; words that tie at the cut and
+    don't all fit are left out together.
+    """
+    counts = base.written(count_words(docs, vocabulary).filter(F.col("n") >= least), "words")
+    below = Window.orderBy(F.desc("n"))
+    level = counts.groupBy("n").agg(F.count("*").alias("words")).withColumn("total", F.sum("words").over(below)).filter(F.col("total") <= most).agg(F.min("n").alias("n")).first()["n"]
+    chosen = [r["word"] for r in counts.filter(F.col("n") >= level).select("word").collect()] if level is not None else []
+    base.forget(counts)
+    return chosen
+
+
 def prepared(docs: DataFrame, vocabulary_path: str, lexicon_words: int = 200_000):
-    """A broadcast of the vocabulary and of the automaton of the most frequent words of all of docs."""
+    """A broadcast of the vocabulary and the name of the file with the automaton of the most frequent words."""
     with open(vocabulary_path, encoding="utf-8") as f:
         text = f.read()
     vocabulary = Vocabulary(text)
-    frequent = [r["word"] for r in count_words(docs, text).orderBy(F.desc("n"), "word").limit(lexicon_words).collect()]
-    raw = Lexicon.compiled({w: vocabulary.merge(w) for w in frequent})
-    return docs.sparkSession.sparkContext.broadcast({"key": hashlib.sha256(raw).hexdigest(), "vocabulary": text, "lexicon": raw})
+    raw = Lexicon.compiled({w: vocabulary.merge(w) for w in frequent_words(docs, text, lexicon_words)})
+    sc = docs.sparkSession.sparkContext
+    name = f"lexicon-{hashlib.sha256(raw).hexdigest()[:24]}"
+    with open(os.path.join(tempfile.mkdtemp(prefix="spark-"), name), "wb") as f:
+        f.write(raw)
+    sc.addFile(f.name)  # Spark sends it to each executor's own folder once
+    return sc.broadcast({"key": name, "vocabulary": text})
 
 
 def encode(docs: DataFrame, vocabulary_path: str, lexicon_words: int = 200_000) -> DataFrame:

@@ -20,7 +20,7 @@ def codec():
     text = open(PATH).read()
     v = bpe.Vocabulary(text)
     listed = ["the", "of", "a", "abc", "abd", "été", "zebra", "house"]
-    return bpe.Codec(text, bpe.Lexicon.compiled({w: v.merge(w) for w in listed}))
+    return bpe.Codec(text, bpe.Lexicon(bpe.Lexicon.compiled({w: v.merge(w) for w in listed})))
 
 
 @pytest.fixture(scope="module")
@@ -68,6 +68,14 @@ def test_word_counts_cover_all_texts(spark, odd):
     assert counts["one"] == 2 and counts["and0"[:3]] == 120_000
 
 
+def test_frequent_words_are_cut_by_count(spark):
+    docs = spark.createDataFrame([("a a a a b b b c c c d",), ("e e e e", ), (None,)], "text string")
+    vocabulary = open(PATH).read()
+    assert sorted(bpe.frequent_words(docs, vocabulary, 10)) == ["a", "b", "c", "e"]
+    assert sorted(bpe.frequent_words(docs, vocabulary, 3)) == ["a", "e"]
+    assert bpe.frequent_words(docs, vocabulary, 1) == []
+
+
 def test_bpe_of_odd_rows(spark, odd, nothing):
     got = bpe.digests(odd, PATH).collect()
     assert len(got) == odd.count() and {r.n_tokens for r in got if r.doc_id in (1, 2, 3)} == {0}
