@@ -20,6 +20,7 @@ import hashlib
 import re
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +29,9 @@ from . import base
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
+#: The same on UTF-8 bytes: A-Z lower-cased, bytes outside words made spaces.
+_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+_RUN = re.compile(rb"[^ ]+")
 _STATE = T.StructType([
     T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(T.ArrayType(T.LongType()))),
     T.StructField("items", T.ArrayType(T.StringType())), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))),
@@ -54,22 +58,26 @@ class Scanner:
     def __init__(self, found: dict[tuple[str, ...], set[str]]):
         import ahocorasick
 
-        self.number: dict[str, int] = {}
+        self.number: dict[bytes, int] = {}
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         for window, items in found.items():
-            self.automaton.add_word(tuple(self.number.setdefault(w, len(self.number) + 1) for w in window), (len(window), tuple(items)))
+            self.automaton.add_word(tuple(self.number.setdefault(w.encode(), len(self.number) + 1) for w in window), (len(window), tuple(items)))
+        self.shortest = min(map(len, found), default=1)
         if found:
             self.automaton.make_automaton()
 
-    def scan(self, words: list[str]) -> tuple[list[list[int]], set[str]]:
+    def scan(self, words: list[bytes]) -> tuple[list[list[int]], set[str]]:
         """The union of occurrences as [first word, word after the last], and the items."""
         runs: list[list[int]] = []
         items: set[str] = set()
-        if self.number and words:
-            get = self.number.get
-            for end, (length, ids) in self.automaton.iter(tuple([get(w, 0) for w in words])):
-                items.update(ids)
-                runs.append([end + 1 - length, end + 1])
+        numbers = np.fromiter((self.number.get(w, 0) for w in words), np.int64, len(words))
+        # an occurrence lies within a run of words that some window holds
+        edges = np.flatnonzero(np.diff(np.concatenate(([False], numbers > 0, [False]))))
+        for start, end in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+            if end - start >= self.shortest:
+                for last, (length, ids) in self.automaton.iter(tuple(numbers[start:end].tolist())):
+                    items.update(ids)
+                    runs.append([start + last + 1 - length, start + last + 1])
         return merged(runs), items
 
 
@@ -114,13 +122,14 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, size: int = 13, part_wind
 
 
 def _scan(scanner: Scanner, text: str | None) -> dict:
-    low = normalised(text)
-    words = WORD.findall(low)
+    raw = (text or "").encode("utf-8", "surrogatepass").translate(_BYTES)
+    words = raw.split()
     hits, items = scanner.scan(words)
     spans = []
-    if hits:  # lower-casing A-Z keeps every offset
-        at = [m.span() for m in WORD.finditer(low)]
-        spans = [[at[a][0], at[b - 1][1]] for a, b in hits]
+    if hits:
+        at = [m.span() for m in _RUN.finditer(raw)]
+        place = (lambda k: k) if len(raw) == len(text) else (lambda k: len(raw[:k].decode("utf-8", "surrogatepass")))  # characters before a byte
+        spans = [[place(at[a][0]), place(at[b - 1][1])] for a, b in hits]
     return {"n_words": len(words), "hits": hits, "items": sorted(items), "spans": spans}
 
 
