@@ -35,13 +35,16 @@ OUTPUT = {"URL": "string", "TEXT": "string", "aesthetic_score": "double", "simil
 def normalize_columns(df: DataFrame, aliases: dict[str, tuple[str, ...]] = ALIASES) -> DataFrame:
     """Each alias group becomes one column, the first alias that is not null winning; other columns stay.
 
-    Needs spark.sql.caseSensitive=true where aliases differ only by case.
+    Names match in any case. With spark.sql.caseSensitive=true a table may hold several that
+    differ by case only; otherwise Spark itself folds those into one.
     """
-    used = {a for names in aliases.values() for a in names}
-    out = []
+    used, out = set(), []
     for target, names in aliases.items():
-        if present := [a for a in names if a in df.columns]:
-            out.append(F.coalesce(*(F.col(f"`{a}`") for a in present)).alias(target))
+        rank = {n: k for k, n in reversed([*enumerate(names)])} | {n.lower(): k for k, n in reversed([*enumerate(names)]) if n.lower() not in names}
+        present = sorted((c for c in df.columns if c in rank or c.lower() in rank), key=lambda c: rank.get(c, rank.get(c.lower(), 0)))
+        if present:
+            out.append(F.coalesce(*(F.col(f"`{c}`") for c in present)).alias(target))
+        used |= set(present)
     return df.select(*out, *(F.col(f"`{c}`") for c in df.columns if c not in used))
 
 

@@ -44,6 +44,9 @@ def read_members(spark: SparkSession, path: str, pattern: str = "*.{tar,tgz,tar.
                             if len(rows) >= 256:
                                 yield pd.DataFrame(rows, columns=names)
                                 rows = []
+                        tar.fileobj.seek(tar.offset)
+                        if 0 < len(tar.fileobj.read(tarfile.BLOCKSIZE)) < tarfile.BLOCKSIZE:  # a header that breaks off ends the loop quietly
+                            raise tarfile.ReadError("unexpected end of data")
                 except (tarfile.TarError, EOFError, OSError) as e:
                     rows.append((shard, None, None, None, f"corrupt: {type(e).__name__}"))
                 yield pd.DataFrame(rows, columns=names)

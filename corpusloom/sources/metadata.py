@@ -12,17 +12,11 @@ from ..operators.filters import ALIASES, normalize_columns
 def read_metadata(spark: SparkSession, path: str, recursive: bool = True, normalize: bool = True) -> DataFrame:
     """All parquet files below a path, unreadable ones skipped, with file and row_index columns.
 
-    Files may name their columns differently: schemas are merged, then aliases folded. That
-    needs spark.sql.caseSensitive=true where names differ by case only; it is set for the read.
+    Files may name their columns differently: schemas are merged, then aliases folded.
     """
-    before = spark.conf.get("spark.sql.caseSensitive")
-    spark.conf.set("spark.sql.caseSensitive", "true")
-    try:
-        df = spark.read.option("recursiveFileLookup", recursive).option("ignoreCorruptFiles", True).option("mergeSchema", True).option("pathGlobFilter", "*.parquet").parquet(path)
-        df = df.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row_index"))
-        return normalize_columns(df, ALIASES) if normalize else df
-    finally:
-        spark.conf.set("spark.sql.caseSensitive", before)
+    df = spark.read.option("recursiveFileLookup", recursive).option("ignoreCorruptFiles", True).option("mergeSchema", True).option("pathGlobFilter", "*.parquet").parquet(path)
+    df = df.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row_index"))
+    return normalize_columns(df, ALIASES) if normalize else df
 
 
 def read_keys(spark: SparkSession, path: str, key: str = "image_key") -> DataFrame:
