@@ -33,8 +33,8 @@ from tokenizers import Tokenizer
 
 from . import base
 
-#: Words of one worker's memo; when it is full it starts again.
-MEMO_WORDS = 450_000
+#: Chunks and words of one task's memo; when it is full it starts again.
+MEMO_WORDS = 300_000
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
 _SPACE = regex.compile(r"\p{White_Space}+")
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -232,11 +232,10 @@ class Lexicon:
 
 
 class Codec:
-    """Encodes and decodes whole texts; one per worker."""
+    """Encodes and decodes whole texts; one per task, so that its memos end with the task."""
 
-    def __init__(self, vocabulary: str, lexicon: Lexicon):
-        self.vocabulary, self.library = Vocabulary(vocabulary), library_of(vocabulary)
-        self.lexicon = lexicon
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon, library: Tokenizer):
+        self.vocabulary, self.lexicon, self.library = vocabulary, lexicon, library
         # two memos of strings: the ids and the tokens of a chunk, joined by spaces; a special token's key starts with a space
         self.ids: dict[str, str] = {}
         self.tokens: dict[str, str] = {}
@@ -274,15 +273,16 @@ class Codec:
         return [(x.count(" ") + 1 if x else 0, x, y) for x, y in rows]
 
 
-_codecs: dict[str, Codec] = {}
+_parts: dict[str, tuple[Vocabulary, Lexicon, Tokenizer]] = {}
 
 
 def _codec(sent) -> Codec:
-    value = sent.value
-    if value["key"] not in _codecs:
-        _codecs.clear()
-        _codecs[value["key"]] = Codec(value["vocabulary"], Lexicon.mapped(SparkFiles.get(value["key"])))
-    return _codecs[value["key"]]
+    """A codec over the worker's one copy of the vocabulary and the mapped automaton."""
+    key, text = sent.value
+    if key not in _parts:
+        _parts.clear()
+        _parts[key] = Vocabulary(text), Lexicon.mapped(SparkFiles.get(key)), library_of(text)
+    return Codec(*_parts[key])
 
 
 def frequent_words(docs: DataFrame, vocabulary: str, most: int, least: int = 3) -> list[str]:
@@ -311,14 +311,14 @@ def prepared(docs: DataFrame, vocabulary_path: str, lexicon_words: int = 200_000
     with open(os.path.join(tempfile.mkdtemp(prefix="spark-"), name), "wb") as f:
         f.write(raw)
     sc.addFile(f.name)  # Spark sends it to each executor's own folder once
-    return sc.broadcast({"key": name, "vocabulary": text})
+    return sc.broadcast((name, text))
 
 
 def encode(docs: DataFrame, vocabulary_path: str, lexicon_words: int = 200_000) -> DataFrame:
     """docs (any columns, one named text) with n_tokens, ids (joined by a space) and decoded."""
     sent = prepared(docs, vocabulary_path, lexicon_words)
     fields = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.StringType()), T.StructField("decoded", T.StringType())])
-    return base.add_text_columns(docs, "text", fields, lambda: lambda texts: _codec(sent).encoded(texts))
+    return base.add_text_columns(docs, "text", fields, lambda: _codec(sent).encoded)
 
 
 def digests(docs: DataFrame, vocabulary_path: str, lexicon_words: int = 200_000) -> DataFrame:

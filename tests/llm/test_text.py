@@ -20,7 +20,7 @@ def codec():
     text = open(PATH).read()
     v = bpe.Vocabulary(text)
     listed = ["the", "of", "a", "abc", "abd", "été", "zebra", "house"]
-    return bpe.Codec(text, bpe.Lexicon(bpe.Lexicon.compiled({w: v.merge(w) for w in listed})))
+    return bpe.Codec(v, bpe.Lexicon(bpe.Lexicon.compiled({w: v.merge(w) for w in listed})), bpe.library_of(text))
 
 
 @pytest.fixture(scope="module")
