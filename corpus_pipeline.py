@@ -7,12 +7,11 @@ documents; the last returns digests of every document that is left.
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm import base, bpe, decontaminate, quality, simhash, substring
+from corpusloom.storage import new_path
 
 #: A document is rejected if label 1 is less likely than this.
 QUALITY_THRESHOLD = 0.3
@@ -52,7 +51,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = base.table(spark, sf_dir, "documents")
-    folder = f"{base.shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = new_path(spark, "pipeline")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")

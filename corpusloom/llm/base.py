@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..storage import new_path
+
 #: Rows handed to a text function at once; bounds a worker's memory, not the data.
 SLICE_ROWS = 512
 
@@ -21,19 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one only where none is configured."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    spark.conf.set("spark.checkpoint.dir", made := tempfile.mkdtemp(prefix="spark-"))
-    return made
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write df below the shared folder and read it back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = new_path(spark, label)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
@@ -89,6 +79,3 @@ def held_out(doc_id: str, folds: int, fold: int):
     """crc32 of the id as text leaves `fold`; null ids are never held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
-
-def keep(df: DataFrame) -> DataFrame:
-    return df.persist(StorageLevel.MEMORY_AND_DISK)

@@ -26,8 +26,8 @@ from . import base
 from .bpe import byte_letters
 
 START = "Ġ"
-#: Chunks of one worker's memo; when it is full it starts again.
-MEMO_CHUNKS = 500_000
+#: Chunks of one task's memo; when it is full it starts again.
+MEMO_CHUNKS = 300_000
 _WORD = re.compile(r"\w+|[^\w\s]+")
 
 
@@ -95,10 +95,10 @@ def vocabulary(path: str) -> list[str]:
 
 
 class Counter:
-    """Words and tokens of whole texts; one per worker."""
+    """Words and tokens of whole texts; one per task, so that its memo ends with the task."""
 
-    def __init__(self, tokens: list[str]):
-        self.automaton = Automaton(tokens)
+    def __init__(self, automaton: Automaton):
+        self.automaton = automaton
         self.letters = byte_letters()
         self.memo: dict[str, tuple[int, int]] = {}
 
@@ -120,15 +120,16 @@ class Counter:
         return out
 
 
-_counters: dict[str, Counter] = {}
+_automata: dict[str, Automaton] = {}
 
 
 def _counter(sent) -> Counter:
+    """A counter over the worker's one automaton."""
     key, tokens = sent.value
-    if key not in _counters:
-        _counters.clear()
-        _counters[key] = Counter(tokens)
-    return _counters[key]
+    if key not in _automata:
+        _automata.clear()
+        _automata[key] = Automaton(tokens)
+    return Counter(_automata[key])
 
 
 def token_counts(docs: DataFrame, vocabulary_path: str) -> DataFrame:

@@ -141,5 +141,7 @@ def classify(docs: DataFrame, labels: DataFrame, train: Column, threshold: float
 def reject(docs: DataFrame, labels: DataFrame, train: Column, threshold: float) -> DataFrame:
     """docs without those that score below the threshold; all columns kept."""
     _, model = classify(docs, labels, train, threshold)
-    stats, value = base.fresh(docs, "_statistics"), base.fresh(docs, "_score")
-    return score(with_statistics(docs, name=stats), model, stats, value).filter(F.col(value) >= threshold).select(*docs.columns)
+    sent, value = docs.sparkSession.sparkContext.broadcast(model), base.fresh(docs, "_score")
+    fields = T.StructType([T.StructField(value, T.DoubleType())])
+    make = lambda: lambda texts: [(float(x),) for x in sent.value.score(np.array([statistics(t) for t in texts]))]
+    return base.add_text_columns(docs, "text", fields, make).filter(F.col(value) >= threshold).select(*docs.columns)

@@ -22,7 +22,7 @@ from functools import reduce
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -136,18 +136,12 @@ def near_duplicates(docs: DataFrame, bits: int = 4, shingle: int = 4, seed: int
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """docs with one row of each component: the one whose doc_id names it.
 
-    Of rows that share that doc_id the one with the smallest text hash stays, once; rows
-    whose component has no non-null doc_id stay.
+    Of rows that share that doc_id the one with the smallest hash over all its columns
+    stays, once; rows whose doc_id is null stay.
     """
     found = near_duplicates(docs, **options)
     stays = found.filter("component_id is not null and doc_id = component_id").select("doc_id").distinct()
-    has_id = docs.filter("doc_id is not null").join(stays, "doc_id", "left_semi").select(*docs.columns)
+    own = docs.filter("doc_id is not null").join(stays, "doc_id", "left_semi").select(*docs.columns)
     order = base.fresh(docs, "_order")
-    one = has_id.withColumn(order, F.row_number().over(_window(docs))).filter(F.col(order) == 1).drop(order)
-    return one.unionByName(docs.filter("doc_id is null"))
-
-
-def _window(docs: DataFrame):
-    from pyspark.sql import Window
-
-    return Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), *(F.col(c) for c in docs.columns if c not in ("doc_id", "text")))
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns)))
+    return own.withColumn(order, first).filter(F.col(order) == 1).drop(order).unionByName(docs.filter("doc_id is null"))

@@ -32,8 +32,8 @@ _SENTENCE = re.compile(r"[.!?]+(?=\s|$)|\n+")
 _WORD = re.compile(r"[^\W\d_]+")
 #: A word longer than so many letters has its beginning of that length as a feature as well.
 BEGINNINGS = range(3, 9)
-#: Words of one worker's memo; when it is full it starts again.
-MEMO_WORDS = 500_000
+#: Words of one task's memo; when it is full it starts again.
+MEMO_WORDS = 300_000
 
 
 def sentences(text: str | None) -> list[tuple[int, int]]:
@@ -160,7 +160,12 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, sample: int = 8_0
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs with score and offending (start, end and score of each offending sentence)."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast((model.bias, model.weight))
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType())])
     fields = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("offending", T.ArrayType(span))])
-    return base.add_text_columns(docs, "text", fields, lambda: lambda texts: list(map(sent.value.score, texts)))
+
+    def make():
+        own = Model(*sent.value)  # its memo ends with the task
+        return lambda texts: list(map(own.score, texts))
+
+    return base.add_text_columns(docs, "text", fields, make)

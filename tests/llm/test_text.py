@@ -85,7 +85,7 @@ def test_bpe_of_odd_rows(spark, odd, nothing):
 def test_token_counts_are_greedy_word_pieces():
     tokens = pieces.vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
     model = Tokenizer(WordPiece({t: i for i, t in enumerate([*tokens, "[UNK]"])}, unk_token="[UNK]", continuing_subword_prefix="", max_input_chars_per_word=10_000))
-    counter = pieces.Counter(tokens)
+    counter = pieces.Counter(pieces.Automaton(tokens))
     texts = ["The quick brown fox, antidisestablishmentarianism!", "éèü 日本語 aaaaaaaaaa zzzzqqqq", "internationalisation unbelievable", "", None]
     letters = bpe.byte_letters()
     for text, (n_words, n) in zip(texts, counter.counted(texts), strict=True):
