@@ -79,3 +79,15 @@ def held_out(doc_id: str, folds: int, fold: int):
     """crc32 of the id as text leaves `fold`; null ids are never held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
+
+def join_with_hot_keys(rows: DataFrame, found: DataFrame, key: str, n: str, share: int = 1000) -> DataFrame:
+    """Inner join on key; `found` has one row for each key and, in n, the number of rows that have it.
+
+    Keys of at least 1 / share of all rows are at most `share` many: they are joined where
+    the rows are, by broadcast. Only the other keys are shuffled. found is read three
+    times, so it should be a written table.
+    """
+    total = found.agg(F.sum(n).alias("t")).first()["t"] or 0
+    hot = F.broadcast(found.filter(F.col(n) * share >= total).limit(share))
+    rest = rows.join(hot.select(key), key, "left_anti").join(found.filter(F.col(n) * share < total), key)
+    return rows.join(hot, key).unionByName(rest).drop(n)

@@ -122,15 +122,15 @@ def near_duplicates(docs: DataFrame, bits: int = 4, shingle: int = 4, seed: int
     segments keep the lists that a look-up meets short. The links are the same either way.
     """
     prints = base.written(with_fingerprint(docs.select(key, "text"), shingle=shingle, seed=seed).drop("text"), "fingerprints")
-    reps = base.written(prints.groupBy("fp").agg(F.min(key).alias("least")), "representatives")
+    reps = base.written(prints.groupBy("fp").agg(F.min(key).alias("least"), F.count("*").alias("copies")), "representatives")
     count = count or (3 if reps.count() < 1 << 27 else 2)
     pairs = base.written(links(reps.select("fp"), bits, count), "links")
     roots = components(pairs)
     degree = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
     linked = roots.join(degree, "node").join(reps, F.col("node") == F.col("fp")).select("fp", "root", "n", "least")
     named = linked.join(linked.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id", "n")
-    all_of = reps.join(named, "fp", "left").select("fp", F.when(F.col("n").isNotNull(), F.col("component_id")).otherwise(F.col("least")).alias("component_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"))
-    return prints.join(all_of, "fp").select(key, "fp", "component_id", "n_links")
+    all_of = reps.join(named, "fp", "left").select("fp", "copies", F.when(F.col("n").isNotNull(), F.col("component_id")).otherwise(F.col("least")).alias("component_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"))
+    return base.join_with_hot_keys(prints, base.written(all_of, "components"), "fp", "copies").select(key, "fp", "component_id", "n_links")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:

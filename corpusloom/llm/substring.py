@@ -109,8 +109,8 @@ def repeated_places(docs: DataFrame, unit_words: int = 8) -> DataFrame:
     each = units.select("doc_id", "h", F.posexplode("digests").alias("place", "digest"))
     rank = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h", "place")
     # partial aggregation leaves one row for a digest and task
-    first = each.groupBy("digest").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).filter("first <> last").select("digest", "first")
-    later = each.join(first, "digest").filter(rank > F.col("first"))
+    first = each.groupBy("digest").agg(F.min(rank).alias("first"), F.max(rank).alias("last"), F.count("*").alias("n")).filter("n > 1 and not first <=> last").select("digest", "first", "n")
+    later = base.join_with_hot_keys(each, base.written(first, "repeated"), "digest", "n").filter(rank > F.col("first"))
     return later.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("place")).alias("begins"))
 
 

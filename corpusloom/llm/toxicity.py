@@ -9,7 +9,7 @@ Fitting reads a bounded sample: at most `sample` labelled rows (a parameter), ch
 hash of their ids. Scoring reads every document and the whole of each text.
 
 Defined cases: null, empty or wordless texts have one empty sentence; repeated rows are
-each scored; null labels do not take part; several labels of one id count as the largest;
+each scored, and of several texts of a labelled id the smallest is learnt from; null labels do not take part; several labels of one id count as the largest;
 without labels of both classes the score is the share of toxic ones (0 without any).
 """
 
@@ -145,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, sample: int = 8_0
     """Fit on at most `sample` labelled rows of docs (doc_id, text) for which `allowed` holds."""
     one = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & allowed).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = base.bounded_sample(one, sample, "doc_id").limit(sample)
-    rows = docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])  # no more rows than the bound
+    rows = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # no more rows than the bound
 
     def bags(texts):
         out = []
