@@ -1,7 +1,7 @@
 """Archives of samples: tar shards, zip manifests and .npy tensors.
 
 Archive bytes come from Spark's own binary reader, so any store it can read will do; one
-archive is one row and one unit of work.
+archive is one row and one unit of work, and may hold up to 2 GB.
 """
 
 from __future__ import annotations
