@@ -1,7 +1,7 @@
 """The pipeline's stages, each against brute force on its own input."""
 
 import corpus_pipeline
-from corpusloom.llm import base, bpe, decontaminate, queries, simhash
+from corpusloom.llm import base, decontaminate, queries, simhash
 
 
 def test_stages(spark, sf_dir):
@@ -30,10 +30,9 @@ def test_stages(spark, sf_dir):
     assert {r.doc_id: r.ids_sha256 for r in corpus_pipeline.run(spark, sf_dir).collect()} == {r.doc_id: r.ids_sha256 for r in out.collect()}
 
 
-def test_stages_on_odd_tables(spark, odd, nothing, sf_dir, tmp_path):
+def test_stages_on_odd_tables(spark, odd, nothing, sf_dir):
     for name, stage in corpus_pipeline.STAGES:
         for docs in (odd, nothing):
             out = stage(spark, docs, sf_dir)
             assert name == "encoding" or out.columns == docs.columns
             assert out.count() <= docs.count()
-    assert bpe.MEMO_WORDS > 0
