@@ -100,9 +100,9 @@ def identify(docs: DataFrame, allowed: Column, sample: int = 40_000, order: int
     """(doc_id, lang_pred, score) of every row of docs.
 
     lang is read only where `allowed` holds, to learn, from at most about `sample` rows (a
-    parameter) chosen by a hash of doc_id.
+    parameter) chosen by a hash of doc_id; rows without one are not learnt from.
     """
-    known = docs.select("doc_id", "text", "lang").filter(allowed & F.col("lang").isNotNull())
+    known = docs.select("doc_id", "text", "lang").filter(allowed & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     return predict(docs.select("doc_id", "text"), fit(base.bounded_sample(known, sample, "doc_id"), order, bits)).drop("text")
 
 
