@@ -1,6 +1,7 @@
 """Substring deduplication by hashing sentence-like lines in their context.
 
-A text is cut into pieces at line ends, after sentence ends and before a capitalised word.
+A text is cut into pieces at line ends, after sentence ends and before a capitalised word;
+pieces of over 30 words are cut further, before words with certain first letters.
 A unit is a piece with as many following pieces as are needed to reach `unit_words` words,
 normalised (lower case, words only) and hashed to 64 bits; short pieces are thereby never
 compared out of context, and a unit depends on nothing but its own words, wherever the
@@ -29,6 +30,9 @@ from pyspark.sql import types as T
 from . import base
 
 _CUT = re.compile(r"(?<=[.!?])\s+|\s*\n\s*|\s+(?=[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ])")
+#: A piece of more words than this has no sentence ends to speak of; it is cut before words with these first letters.
+LONG_PIECE = 30
+_CUT_LONG = re.compile(r"\s+(?=[bdfgkmpvwBDFGKMPVW])")
 _WORD = re.compile(r"\w+")
 
 
@@ -36,16 +40,27 @@ def pieces(text: str) -> list[tuple[int, int]]:
     """The character ranges of the pieces, without the white space between them."""
     out, at = [], 0
     for m in _CUT.finditer(text):
-        out.append((at, m.start()))
+        if at < m.start():
+            out.append((at, m.start()))
         at = m.end()
-    out.append((at, len(text)))
-    return [(a, b) for a, b in out if a < b]
+    if at < len(text):
+        out.append((at, len(text)))
+    if any(b - a > 2 * LONG_PIECE for a, b in out):
+        out = [x for a, b in out for x in (_shorter(text, a, b) if b - a > 2 * LONG_PIECE else [(a, b)])]
+    return out
+
+
+def _shorter(text: str, a: int, b: int) -> list[tuple[int, int]]:
+    if len(text[a:b].split()) <= LONG_PIECE:
+        return [(a, b)]
+    gaps = [m.span() for m in _CUT_LONG.finditer(text, a, b)]
+    return [(x, y) for x, y in zip([a, *(g[1] for g in gaps)], [*(g[0] for g in gaps), b], strict=True) if x < y]
 
 
 def unit_digests(text: str | None, unit_words: int) -> list[int]:
     """A digest for each piece at which a unit begins, in order; the last pieces of a text begin none."""
     text = text or ""
-    found = [_WORD.findall(x) for x in _CUT.split(text) if x]
+    found = [_WORD.findall(text, a, b) for a, b in pieces(text)]
     sizes, out, b, have = [len(x) for x in found], [], 0, 0
     joined = [" ".join(x).lower() for x in found]
     for a in range(len(found)):

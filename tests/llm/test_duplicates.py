@@ -129,6 +129,18 @@ def test_a_planted_passage_goes_from_all_but_the_first(spark):
             assert [text[a:b] for a, b in got[k].removed] == [passage]
 
 
+def test_a_passage_without_sentences(spark):
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6))
+    passage = [word() for _ in range(60)]
+    texts = [" ".join([*(word() for _ in range(30 + k)), *passage, *(word() for _ in range(40))]) for k in range(5)]
+    got = {r.doc_id: r for r in substring.deduplicate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[0].text == texts[0]
+    for k in range(1, 5):
+        left, gone = got[k].text.split(), [w for a, b in got[k].removed for w in texts[k][a:b].split()]
+        assert set(gone) <= set(passage) and len(gone) >= 30 and len(left) + len(gone) == len(texts[k].split())
+
+
 def test_substrings_of_odd_rows(spark, odd, nothing):
     got = substring.deduplicate(odd)
     assert got.columns == [*odd.columns, "_removed"] and got.count() == odd.count()
