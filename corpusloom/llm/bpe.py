@@ -300,6 +300,10 @@ def frequent_words(docs: DataFrame, vocabulary: str, most: int, least: int = 3)
     return chosen
 
 
+#: Files already shipped, by application; Spark takes a name once.
+_shipped: set[tuple[str, str]] = set()
+
+
 def prepared(docs: DataFrame, vocabulary_path: str, lexicon_words: int = 200_000):
     """A broadcast of the vocabulary and the name of the file with the automaton of the most frequent words."""
     with open(vocabulary_path, encoding="utf-8") as f:
@@ -308,9 +312,11 @@ def prepared(docs: DataFrame, vocabulary_path: str, lexicon_words: int = 200_000
     raw = Lexicon.compiled({w: vocabulary.merge(w) for w in frequent_words(docs, text, lexicon_words)})
     sc = docs.sparkSession.sparkContext
     name = f"lexicon-{hashlib.sha256(raw).hexdigest()[:24]}"
-    with open(os.path.join(tempfile.mkdtemp(prefix="spark-"), name), "wb") as f:
-        f.write(raw)
-    sc.addFile(f.name)  # Spark sends it to each executor's own folder once
+    if (sc.applicationId, name) not in _shipped:
+        with open(os.path.join(tempfile.mkdtemp(prefix="spark-"), name), "wb") as f:
+            f.write(raw)
+        sc.addFile(f.name)  # Spark sends it to each executor's own folder once
+        _shipped.add((sc.applicationId, name))
     return sc.broadcast((name, text))
 
 
