@@ -80,6 +80,7 @@ def test_bpe_of_odd_rows(spark, odd, nothing):
     got = bpe.digests(odd, PATH).collect()
     assert len(got) == odd.count() and {r.n_tokens for r in got if r.doc_id in (1, 2, 3)} == {0}
     assert bpe.digests(nothing, PATH).count() == 0
+    assert sorted(bpe.digests(odd, PATH).collect(), key=str) == sorted(got, key=str)  # the same automaton again
 
 
 def test_token_counts_are_greedy_word_pieces():
