@@ -10,6 +10,13 @@ passage stands. Digests are grouped over all documents; the earliest occurrence,
 repeated pieces with at least `min_words` words are removed, with their original character
 offsets kept in `removed`.
 
+With `exact` (the query and the pipeline) a piece is a word with its punctuation, in scripts
+without spaces a character, and a unit is exactly `unit_words` words. Of each `min_words`
+words in a row one stretch of twice as many words as a unit, that with the least digest, is
+an anchor, so that any two equal ranges of that many words share one, wherever they begin.
+Around anchors that repeat, the units of all words are compared as above, and a passage
+goes to the word.
+
 The digests of a repeated passage are pre-aggregated before they are shuffled, and what
 comes back to a document is the list of its own repeated places. No group is gathered.
 
@@ -22,6 +29,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +42,14 @@ _CUT = re.compile(r"(?<=[.!?])\s+|\s*\n\s*|\s+(?=[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ])
 LONG_PIECE = 30
 _CUT_LONG = re.compile(r"\s+(?=[bdfgkmpvwBDFGKMPVW])")
 _WORD = re.compile(r"\w+")
+#: Scripts written without spaces; each of their characters counts as a word.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003134f"
+_EXACT_WORD = re.compile(f"[{_UNSPACED}]|[^\\W{_UNSPACED}]+")
+_EXACT_PIECE = re.compile(f"(?:(?<!\\S)[^\\w\\s{_UNSPACED}]+)?(?:{_EXACT_WORD.pattern})[^\\w\\s{_UNSPACED}]*")
+_BASE = 0x9E3779B97F4A7C15
+_MASK = (1 << 64) - 1
+#: Words whose hashes a task remembers.
+_MEMO = 200_000
 
 
 def pieces(text: str) -> list[tuple[int, int]]:
@@ -98,6 +114,66 @@ def repeated_runs(text: str, begins: list[int], unit_words: int, min_words: int)
     return runs
 
 
+def _hashes(words: list[str], memo: dict[str, int]) -> np.ndarray:
+    if len(memo) > _MEMO:
+        memo.clear()
+    out = []
+    for w in words:
+        h = memo.get(w)
+        if h is None:
+            h = memo[w] = xxhash.xxh3_64_intdigest(w.lower())
+        out.append(h)
+    return np.array(out, np.uint64)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def window_digests(hashes: np.ndarray, unit_words: int) -> np.ndarray:
+    """The digest of the unit at each word; the last words of a text begin none."""
+    n = len(hashes) - unit_words + 1
+    if n < 1:
+        return np.zeros(0, np.uint64)
+    out, power = np.zeros(n, np.uint64), 1
+    for k in range(unit_words):
+        out += hashes[k : k + n] * np.uint64(power)
+        power = power * _BASE & _MASK
+    return _mixed(out)
+
+
+def anchors(digests: np.ndarray, window: int) -> np.ndarray:
+    """The places of the least digest of each window."""
+    if len(digests) < window:
+        return np.zeros(0, np.int64)
+    least = np.lib.stride_tricks.sliding_window_view(digests, window).argmin(axis=1)
+    return np.unique(least + np.arange(len(least)))
+
+
+def near(places: list[int], before: int, after: int, n: int) -> np.ndarray:
+    """The places at most `before` before or `after` after any of the given ones, out of n."""
+    edge = np.zeros(n + 1, np.int64)
+    at = np.array(places, np.int64)
+    np.add.at(edge, np.maximum(at - before, 0), 1)
+    np.add.at(edge, np.minimum(at + after + 1, n), -1)
+    return np.flatnonzero(np.cumsum(edge[:n]) > 0)
+
+
+def exact_runs(text: str, begins: list[int], unit_words: int, min_words: int) -> list[tuple[int, int]]:
+    """Character ranges to remove, given the words at which repeated units begin."""
+    at = [m.span() for m in _EXACT_PIECE.finditer(text)]
+    runs, start, end = [], 0, 0
+    for a in [*sorted(begins), len(at) + 1]:
+        if a > end:
+            if end - start >= min_words:
+                runs.append((at[start][0], at[end - 1][1]))
+            start = a
+        end = max(end, min(a + unit_words, len(at)))
+    return runs
+
+
 def without(text: str, runs: list[tuple[int, int]]) -> str:
     """The text without the ranges; the white space around a removed range becomes the longer of its two sides' breaks."""
     out, at = "", 0
@@ -129,12 +205,72 @@ def repeated_places(docs: DataFrame, unit_words: int = 8) -> DataFrame:
     return later.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("place")).alias("begins"))
 
 
-def deduplicate(docs: DataFrame, unit_words: int = 8, min_words: int = 25) -> DataFrame:
+_FIELDS = T.StructType([T.StructField("digests", T.ArrayType(T.LongType())), T.StructField("places", T.ArrayType(T.LongType()))])
+
+
+def _signed(digests: np.ndarray, places: np.ndarray) -> tuple[list[int], list[int]]:
+    return digests.view(np.int64).tolist(), places.tolist()
+
+
+def _each(units: DataFrame) -> DataFrame:
+    both = units.select("doc_id", "h", F.explode(F.arrays_zip("digests", "places")).alias("u"))
+    return both.select("doc_id", "h", F.col("u.digests").alias("digest"), F.col("u.places").alias("place"))
+
+
+def exact_places(docs: DataFrame, unit_words: int = 8, min_words: int = 25) -> DataFrame:
+    """(doc_id, h, begins): for each document that has any, the words at which repeated units begin."""
+    wide = min(2 * unit_words, min_words)
+    window = min_words - wide + 1
+
+    def coarse():
+        memo: dict[str, int] = {}
+
+        def work(texts):
+            for text in texts:
+                digests = window_digests(_hashes(_EXACT_WORD.findall(text or ""), memo), wide)
+                places = anchors(digests, window)
+                yield _signed(digests[places], places)
+
+        return work
+
+    def fine():
+        memo: dict[str, int] = {}
+
+        def work(rows):
+            for row in rows:
+                digests = window_digests(_hashes(_EXACT_WORD.findall(row["text"]), memo), unit_words)
+                places = near(row["met"], window - 1, min_words - unit_words, len(digests))
+                yield _signed(digests[places], places)
+
+        return work
+
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    units = base.add_text_columns(texts, "text", _FIELDS, coarse).drop("text")
+    coarse_units = base.written(units.filter("size(digests) > 0"), "anchors")
+    each = _each(coarse_units)
+    # partial aggregation leaves one row for a digest and task
+    again = base.written(each.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1"), "met")
+    met = base.join_with_hot_keys(each, again, "digest", "n").groupBy("doc_id", "h").agg(F.collect_set("place").alias("met"))
+    met = met.select(F.col("doc_id").alias("_key"), F.col("h").alias("_own"), "met")
+    there = texts.join(met, F.col("doc_id").eqNullSafe(F.col("_key")) & (F.col("h") == F.col("_own")))
+    units = base.add_text_columns(there.select("doc_id", "h", F.struct("text", "met").alias("row")), "row", _FIELDS, fine).drop("row")
+    each = _each(base.written(units, "units"))
+    base.forget(coarse_units)
+    base.forget(again)
+    rank = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h", "place")
+    first = each.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    later = base.join_with_hot_keys(each, base.written(first, "repeated"), "digest", "n").filter(rank > F.col("first"))
+    return later.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("place")).alias("begins"))
+
+
+def deduplicate(docs: DataFrame, unit_words: int = 8, min_words: int = 25, exact: bool = False) -> DataFrame:
     """docs (columns doc_id and text among others) with repeated passages cut out of text, plus `removed`: their [start, end) in the original text."""
     h, begins, removed = (base.fresh(docs, x) for x in ("_h", "_begins", "removed"))
-    places = repeated_places(docs, unit_words).select(F.col("doc_id").alias("_key"), F.col("h").alias("_own"), F.col("begins").alias(begins))
+    found = exact_places(docs, unit_words, min_words) if exact else repeated_places(docs, unit_words)
+    places = found.select(F.col("doc_id").alias("_key"), F.col("h").alias("_own"), F.col("begins").alias(begins))
     joined = docs.withColumn(h, F.xxhash64("text")).join(places, F.col("doc_id").eqNullSafe(F.col("_key")) & (F.col(h) == F.col("_own")), "left").drop(h, "_key", "_own")
     schema = T.StructType([*docs.schema.fields, T.StructField(removed, T.ArrayType(T.ArrayType(T.LongType())))])
+    find = exact_runs if exact else repeated_runs
     text_at, begins_at = joined.columns.index("text"), joined.columns.index(begins)
 
     def run(batches):
@@ -146,7 +282,7 @@ def deduplicate(docs: DataFrame, unit_words: int = 8, min_words: int = 25) -> Da
         for batch in batches:
             texts, spans = [], []
             for text, places in zip(batch.column(text_at).to_pylist(), batch.column(begins_at).to_pylist(), strict=True):
-                runs = repeated_runs(text, places, unit_words, min_words) if places else []
+                runs = find(text, places, unit_words, min_words) if places else []
                 texts.append(without(text, runs) if runs else text)
                 spans.append([list(r) for r in runs])
             columns = list(batch.columns)
@@ -160,7 +296,7 @@ def deduplicate(docs: DataFrame, unit_words: int = 8, min_words: int = 25) -> Da
 def cut(docs: DataFrame, unit_words: int = 8, min_words: int = 25) -> DataFrame:
     """docs with repeated passages cut out; n_chars follows the text; same columns. Texts of which nothing stays go."""
     name = base.fresh(docs, "removed")
-    out = deduplicate(docs, unit_words, min_words)
+    out = deduplicate(docs, unit_words, min_words, exact=True)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size(name) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.filter(~((F.size(name) > 0) & F.col("text").rlike("^\\s*$"))).select(*docs.columns)

@@ -141,6 +141,32 @@ def test_a_passage_without_sentences(spark):
         assert set(gone) <= set(passage) and len(gone) >= 30 and len(left) + len(gone) == len(texts[k].split())
 
 
+def test_a_passage_at_any_offset_goes_whole(spark):
+    rng = np.random.default_rng(11)
+    kinds = ["word", "Word", "word.", "WORD", "日本語", "слово", "w-w", "(word)"]
+    own = lambda: "".join(rng.choice(list("abcdefgh"), 8))
+    word = lambda: rng.choice(kinds) + own()
+    rows, want = [], {}
+    for k in range(60):
+        passage = [word() for _ in range(51)]
+        for copy in range(2):
+            before, after = ([own() for _ in range(rng.integers(0, 40))] for _ in range(2))
+            text = " ".join([*before, *passage, *after])
+            rows.append((2 * k + copy, text))
+            want[2 * k + copy] = " ".join([*before, *after]) if copy else text
+    got = substring.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), exact=True).collect()
+    assert {r.doc_id: r.text for r in got} == want
+
+
+def test_a_passage_without_spaces(spark):
+    rng = np.random.default_rng(12)
+    letters = lambda n: "".join(chr(c) for c in rng.integers(0x4E00, 0x9FA0, n))
+    passage = letters(60)
+    texts = [letters(33) + passage + letters(20), letters(50) + passage + letters(41)]
+    got = {r.doc_id: r for r in substring.deduplicate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), exact=True).collect()}
+    assert not got[0].removed and [texts[1][a:b] for a, b in got[1].removed] == [passage]
+
+
 def test_substrings_of_odd_rows(spark, odd, nothing):
     got = substring.deduplicate(odd)
     assert got.columns == [*odd.columns, "_removed"] and got.count() == odd.count()
