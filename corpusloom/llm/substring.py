@@ -15,7 +15,8 @@ without spaces a character, and a unit is exactly `unit_words` words. Of each `m
 words in a row one stretch of twice as many words as a unit, that with the least digest, is
 an anchor, so that any two equal ranges of that many words share one, wherever they begin.
 Around anchors that repeat, the units of all words are compared as above, and a passage
-goes to the word.
+goes to the word. Each line of `LINE_WORDS` words or more is a unit of its own as well; of equal
+lines the earliest stays and the others go, however short.
 
 The digests of a repeated passage are pre-aggregated before they are shuffled, and what
 comes back to a document is the list of its own repeated places. No group is gathered.
@@ -48,6 +49,10 @@ _EXACT_WORD = re.compile(f"[{_UNSPACED}]|[^\\W{_UNSPACED}]+")
 _EXACT_PIECE = re.compile(f"(?:(?<!\\S)[^\\w\\s{_UNSPACED}]+)?(?:{_EXACT_WORD.pattern})[^\\w\\s{_UNSPACED}]*")
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
+#: Lines of fewer words are not compared as lines.
+LINE_WORDS = 3
+#: The place of a text's first line; smaller places are words.
+_LINES = 1 << 40
 #: Words whose hashes a task remembers.
 _MEMO = 200_000
 
@@ -144,6 +149,17 @@ def window_digests(hashes: np.ndarray, unit_words: int) -> np.ndarray:
     return _mixed(out)
 
 
+def line_digests(lines: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The digests of the lines that are compared, given the hashes of each line's words, and their places."""
+    out, places = [], []
+    powers = np.cumprod(np.full(max(map(len, lines)), _BASE, np.uint64))
+    for k, hashes in enumerate(lines):
+        if len(hashes) >= LINE_WORDS:
+            out.append(np.dot(hashes, powers[: len(hashes)]) + np.uint64(len(hashes)))
+            places.append(_LINES + k)
+    return _mixed(_mixed(np.array(out, np.uint64)) ^ np.uint64(_BASE)), np.array(places, np.int64)
+
+
 def anchors(digests: np.ndarray, window: int) -> np.ndarray:
     """The places of the least digest of each window."""
     if len(digests) < window:
@@ -162,15 +178,26 @@ def near(places: list[int], before: int, after: int, n: int) -> np.ndarray:
 
 
 def exact_runs(text: str, begins: list[int], unit_words: int, min_words: int) -> list[tuple[int, int]]:
-    """Character ranges to remove, given the words at which repeated units begin."""
+    """Character ranges to remove, given the words at which repeated units begin and the repeated lines."""
     at = [m.span() for m in _EXACT_PIECE.finditer(text)]
-    runs, start, end = [], 0, 0
-    for a in [*sorted(begins), len(at) + 1]:
+    found, start, end = [], 0, 0
+    for a in [*sorted(x for x in begins if x < _LINES), len(at) + 1]:
         if a > end:
             if end - start >= min_words:
-                runs.append((at[start][0], at[end - 1][1]))
+                found.append((at[start][0], at[end - 1][1]))
             start = a
         end = max(end, min(a + unit_words, len(at)))
+    lines, again = 0, {x - _LINES for x in begins if x >= _LINES}
+    for k, line in enumerate(text.split("\n") if again else []):
+        if k in again:
+            found.append((lines + len(line) - len(line.lstrip()), lines + len(line.rstrip())))
+        lines += len(line) + 1
+    runs: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if runs and (a <= runs[-1][1] or text[runs[-1][1] : a].isspace()):
+            runs[-1] = runs[-1][0], max(runs[-1][1], b)
+        else:
+            runs.append((a, b))
     return runs
 
 
@@ -208,8 +235,8 @@ def repeated_places(docs: DataFrame, unit_words: int = 8) -> DataFrame:
 _FIELDS = T.StructType([T.StructField("digests", T.ArrayType(T.LongType())), T.StructField("places", T.ArrayType(T.LongType()))])
 
 
-def _signed(digests: np.ndarray, places: np.ndarray) -> tuple[list[int], list[int]]:
-    return digests.view(np.int64).tolist(), places.tolist()
+def _signed(*parts) -> tuple[list[int], list[int]]:
+    return [d for digests, _ in parts for d in digests.view(np.int64).tolist()], [p for _, places in parts for p in places.tolist()]
 
 
 def _each(units: DataFrame) -> DataFrame:
@@ -227,9 +254,10 @@ def exact_places(docs: DataFrame, unit_words: int = 8, min_words: int = 25) -> D
 
         def work(texts):
             for text in texts:
-                digests = window_digests(_hashes(_EXACT_WORD.findall(text or ""), memo), wide)
+                lines = [_hashes(_EXACT_WORD.findall(x), memo) for x in (text or "").split("\n")]
+                digests = window_digests(np.concatenate(lines), wide)
                 places = anchors(digests, window)
-                yield _signed(digests[places], places)
+                yield _signed([digests[places], places], line_digests(lines))
 
         return work
 
@@ -238,9 +266,11 @@ def exact_places(docs: DataFrame, unit_words: int = 8, min_words: int = 25) -> D
 
         def work(rows):
             for row in rows:
-                digests = window_digests(_hashes(_EXACT_WORD.findall(row["text"]), memo), unit_words)
-                places = near(row["met"], window - 1, min_words - unit_words, len(digests))
-                yield _signed(digests[places], places)
+                lines = [_hashes(_EXACT_WORD.findall(x), memo) for x in row["text"].split("\n")]
+                digests = window_digests(np.concatenate(lines), unit_words)
+                places = near([x for x in row["met"] if x < _LINES], window - 1, min_words - unit_words, len(digests))
+                again = {x - _LINES for x in row["met"] if x >= _LINES}
+                yield _signed([digests[places], places], line_digests([x if k in again else x[:0] for k, x in enumerate(lines)]))
 
         return work
 

@@ -167,6 +167,16 @@ def test_a_passage_without_spaces(spark):
     assert not got[0].removed and [texts[1][a:b] for a, b in got[1].removed] == [passage]
 
 
+def test_repeated_lines_go_at_any_length(spark):
+    texts = [
+        "Own first words.\nShare this page now\nSome more of the text\nok", "An other text.\n  - share THIS page, now\nIts own end here\nok", "Share this page now",
+        "Before it: share this page now and after", None, "",
+    ]
+    got = substring.deduplicate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), exact=True).collect()
+    assert {r.doc_id: r.text for r in got} == {**dict(enumerate(texts)), 1: "An other text.\nIts own end here\nok", 2: ""}
+    assert [texts[1][a:b] for r in got if r.doc_id == 1 for a, b in r.removed] == ["- share THIS page, now"]
+
+
 def test_substrings_of_odd_rows(spark, odd, nothing):
     got = substring.deduplicate(odd)
     assert got.columns == [*odd.columns, "_removed"] and got.count() == odd.count()
