@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import storage
+from ..llm import simhash
 
 
 def dedup_keep_first(df: DataFrame, keys: list[str], order: list[Column | str], scope: str = "global", file: str = "file") -> DataFrame:
@@ -24,8 +25,8 @@ def merge_keep_existing(existing: DataFrame, new: DataFrame, key: str, order: li
     return dedup_keep_first(both, [key], ["_rank", *order]).drop("_rank")
 
 
-def _shingles(batches, words: int):
-    """Arrow batches of (key, text) to (key, sorted distinct hashes of word shingles)."""
+def _shingles(batches, words: int, short: bool = False):
+    """Arrow batches of (key, text) to (key, sorted distinct hashes of word shingles); with `short`, a text of fewer words has one of all its words."""
     import pyarrow as pa
     import xxhash
 
@@ -33,23 +34,20 @@ def _shingles(batches, words: int):
         out = []
         for text in batch.column(1).to_pylist():
             w = (text or "").lower().split()
-            out.append(sorted({xxhash.xxh3_64_intdigest(" ".join(w[i : i + words])) - (1 << 63) for i in range(len(w) - words + 1)}))
+            out.append(sorted({xxhash.xxh3_64_intdigest(" ".join(w[i : i + words])) - (1 << 63) for i in range(max(len(w) - words + 1, int(short and bool(w))))}))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["k", "s"])
 
 
-def near_dedup(df: DataFrame, key: str, text: str, threshold: float = 0.8, words: int = 5) -> DataFrame:
-    """df without rows whose shingle sets overlap (Jaccard) a smaller key's by the threshold or more.
-
-    Prefix filter: shingles are ordered from rare to common, and two sets of that similarity
-    must share one among the first (1 - threshold) * size + 1 of either; candidates meet on
-    those, and are verified on the sizes of intersection and union. Exact copies are merged
-    before. Rows without a shingle are kept.
-    """
+def _sets(df: DataFrame, key: str, text: str, words: int, short: bool) -> tuple[DataFrame, DataFrame]:
+    """(k, s) of every row that has a shingle, and the smallest key of each distinct set."""
     kind = df.schema[key].dataType.simpleString()
-    sets = df.select(F.col(key).alias("k"), text).mapInArrow(lambda batches: _shingles(batches, words), f"k {kind}, s array<bigint>").filter("size(s) > 0")
+    sets = df.select(F.col(key).alias("k"), text).mapInArrow(lambda batches: _shingles(batches, words, short), f"k {kind}, s array<bigint>").filter("size(s) > 0")
     sets = storage.written(sets, "sets")
-    classes = sets.groupBy("s").agg(F.min("k").alias("k"))
-    classes = storage.written(classes, "shingles")
+    return sets, storage.written(sets.groupBy("s").agg(F.min("k").alias("k")), "shingles")
+
+
+def _links(classes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), a < b: the pairs of distinct sets that overlap by the threshold or more."""
     each = classes.select("k", F.size("s").alias("n"), F.explode("s").alias("h"))
     common = each.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
     ranked = each.join(common, "h").groupBy("k").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "h"))).alias("o"))
@@ -62,6 +60,36 @@ def near_dedup(df: DataFrame, key: str, text: str, threshold: float = 0.8, words
     pairs = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.k") < F.col("b.k")) & sized).select(F.col("a.k").alias("a"), F.col("b.k").alias("b")).distinct()
     left, right = classes.select(F.col("k").alias("a"), F.col("s").alias("sa")), classes.select(F.col("k").alias("b"), F.col("s").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    gone = pairs.join(left, "a").join(right, "b").filter(both >= threshold * (F.size("sa") + F.size("sb") - both)).select(F.col("b").alias(key)).distinct()
+    return pairs.join(left, "a").join(right, "b").filter(both >= threshold * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+
+
+def near_dedup(df: DataFrame, key: str, text: str, threshold: float = 0.8, words: int = 5) -> DataFrame:
+    """df without rows whose shingle sets overlap (Jaccard) a smaller key's by the threshold or more.
+
+    Prefix filter: shingles are ordered from rare to common, and two sets of that similarity
+    must share one among the first (1 - threshold) * size + 1 of either; candidates meet on
+    those, and are verified on the sizes of intersection and union. Exact copies are merged
+    before. Rows without a shingle are kept.
+    """
+    sets, classes = _sets(df, key, text, words, False)
+    gone = _links(classes, threshold).select(F.col("b").alias(key)).distinct()
     copies = sets.join(classes.withColumnRenamed("k", "first"), "s").filter("k <> first").select(F.col("k").alias(key))
     return df.join(gone.unionByName(copies).distinct(), key, "left_anti")
+
+
+def near_duplicate_classes(df: DataFrame, key: str, text: str, threshold: float = 0.8, words: int = 5) -> DataFrame:
+    """Per row of df: key, component_id (the smallest key that links lead to) and n_links (rows it is linked to itself).
+
+    key is an integer that names each row. A text of fewer than `words` words is one
+    shingle; a text without words is alone. Equal sets are merged before they are compared.
+    """
+    sets, classes = _sets(df, key, text, words, True)
+    links = storage.written(_links(classes, threshold).select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")), "links")
+    roots = simhash.components(links).toDF("k", "root")
+    members = storage.written(sets.join(classes.withColumnRenamed("k", "first"), "s").select("k", "first"), "members")
+    sizes = members.groupBy("first").agg(F.count("*").alias("n"))
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.join(sizes.withColumnRenamed("first", "b"), "b").groupBy(F.col("a").alias("first")).agg(F.sum("n").alias("near"))
+    found = members.join(sizes, "first").join(near, "first", "left").join(roots.withColumnRenamed("k", "first"), "first", "left")
+    found = found.select(F.col("k").alias(key), F.coalesce("root", "first").alias("component_id"), (F.col("n") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
+    return df.select(key).join(found, key, "left").select(key, F.coalesce("component_id", key).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -131,6 +131,16 @@ def test_near_dedup_against_all_pairs(spark, sf_dir):
     assert gone and {r.doc_id for r in dedup.near_dedup(docs, "doc_id", "text").collect()} == set(sets) - gone
 
 
+def test_near_duplicate_classes(spark):
+    w = [f"w{i}" for i in range(60)]
+    middle = " ".join(w[:50])
+    texts = {1: " ".join(w[4:50]), 2: " ".join(w[:46]), 3: middle, 4: "die tz.", 5: "Die  tz.", 6: "", 7: None, 8: middle, 9: "die tz. x"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.component_id, r.n_links) for r in dedup.near_duplicate_classes(df, "doc_id", "text", threshold=0.9).collect()}
+    # 1 and 2 are linked through 3 and its copy 8 only
+    assert got == {1: (1, 2), 2: (1, 2), 3: (1, 3), 8: (1, 3), 4: (4, 1), 5: (4, 1), 6: (6, 0), 7: (7, 0), 9: (9, 0)}
+
+
 def test_semi_and_anti_make_the_whole(spark):
     work, done = spark.range(20).withColumnRenamed("id", "k"), spark.range(5, 12).withColumnRenamed("id", "k")
     assert joins.pending(work, done, "k").count() + work.join(done, "k", "left_semi").count() == 20
