@@ -4,9 +4,11 @@ The standard library's parser streams over the whole page. Block-level tags cut
 into lines; each line has the number of its characters for each tag met since the line
 before. The ratios are smoothed with a Gaussian along the page, and a threshold between
 the low and the high cluster (two means, in one dimension) marks the lines that look like
-content. The content region is the innermost container that holds nearly all of the marked
-text, an <article> or <main> being preferred; every line of that region is kept, except
-those inside menus, headers, footers, side bars, notices, adverts, forms and comments.
+content. The content is every <article> and <main>; without one it is the innermost container
+of all marked lines and <h1> headings, less those of its own containers that hold none. Every
+line of it is kept, except those inside menus, headers, footers, side bars, notices, adverts,
+forms and comments. An element taken for one of these by its name or role, or a form or
+header, stays if it holds most of the marked text or the page's only <article> or <main>.
 
 Defined cases: a null or empty page, or one without text, gives an empty text; unclosed and
 unmatched tags, and pages that break off, are read as far as they go; repeated rows are
@@ -29,26 +31,28 @@ BLOCKS = frozenset("address article aside blockquote body br caption center dd d
 CONTAINERS = frozenset("article main section div td body html".split())
 DROPPED = frozenset("head title nav aside footer form script style noscript template button select textarea iframe svg canvas object dialog menu audio video map".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_NAMED = re.compile(r"(?:^|[\s_-])(?:ads?|advert(?:s|isement)?|banner|breadcrumbs?|comments?|cookies?|consent|footer|menu|nav(?:bar|igation)?|newsletter|notice|popup|promo(?:tion)?|related|share|sidebar|social|sponsor(?:ed)?|subscribe|widget)(?:$|[\s_-])", re.I)
+_NAMED = re.compile(r"(?:ads?|advert(?:s|isement)?|banner|breadcrumbs?|comments?|cookies?|consent|footer|menu|nav(?:bar|igation)?|newsletter|notice|popup|promo(?:tion)?|related|share|sidebar|social|sponsor(?:ed)?|subscribe|widget)", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 
 
 class Lines(HTMLParser):
-    """A page as lines: (text, tags, containers open around it, whether it is dropped)."""
+    """A page as lines: (text, tags, containers open around it, elements open around it that may be dropped, whether it is a heading)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool]] = []  # tag, number of the container (0: none), dropped
+        self.open: list[tuple[str, int, bool, int]] = []  # tag, number of the container (0: none), dropped for good, number of the element if it may be dropped
         self.containers = [("page", ())]  # tag and path of each
-        self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
+        self.lines: list[tuple[str, int, tuple[int, ...], tuple[int, ...], bool]] = []
         self.part: list[str] = []
         self.tags = 0
         self.path: tuple[int, ...] = (0,)
         self.dropped = 0
+        self.maybe = 0
 
     def cut(self) -> None:
         if text := " ".join("".join(self.part).split()):
-            self.lines.append((text, self.tags, self.path, self.dropped > 0))
+            if not self.dropped:
+                self.lines.append((text, self.tags, self.path, tuple(m for *_, m in self.open if m), any(x[0] == "h1" for x in self.open)))
             self.tags = 0
         self.part.clear()
 
@@ -64,14 +68,16 @@ class Lines(HTMLParser):
         has = dict(attrs)
         inside = any(self.containers[n][0] in ("article", "main") for n in self.path)
         named = f"{has.get('class') or ''} {has.get('id') or ''}".strip()
-        drop = tag in DROPPED or (tag == "header" and not inside) or (tag not in ("body", "html", "article", "main") and bool(named and _NAMED.search(named))) or (has.get("role") or "").lower() in _ROLES or "hidden" in has or has.get("aria-hidden") == "true" or "display:none" in (has.get("style") or "").replace(" ", "").lower()
+        drop = (tag in DROPPED and tag != "form") or "hidden" in has or has.get("aria-hidden") == "true" or "display:none" in (has.get("style") or "").replace(" ", "").lower()
+        maybe = tag == "form" or (tag == "header" and not inside) or (tag not in ("body", "html", "article", "main") and any(_NAMED.fullmatch(x) for x in named.split())) or (has.get("role") or "").lower() in _ROLES
+        self.maybe += maybe
         number = 0
         if tag in CONTAINERS:
             number = len(self.containers)
             self.path = (*self.path, number)
             self.containers.append((tag, self.path))
         self.dropped += drop
-        self.open.append((tag, number, drop))
+        self.open.append((tag, number, drop, self.maybe if maybe else 0))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -79,7 +85,7 @@ class Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def pop(self) -> None:
-        _, number, drop = self.open.pop()
+        _, number, drop, _ = self.open.pop()
         self.dropped -= drop
         if number:
             self.path = self.path[: self.path.index(number)]
@@ -88,7 +94,7 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in BLOCKS:
             self.cut()
-        if any(t == tag for t, _, _ in self.open):
+        if any(x[0] == tag for x in self.open):
             while self.open[-1][0] != tag:
                 self.pop()
             self.pop()
@@ -130,19 +136,38 @@ def extract(html: str | None, sigma: float = 1.0, most: float = 0.7) -> str:
     reader.feed(html or "")
     reader.close()
     reader.cut()
-    lines = [x for x in reader.lines if not x[3]]
+    top = {n for n, (tag, _) in enumerate(reader.containers) if tag in ("article", "main")}
+    lines = kept_lines(reader.lines, top, sigma, most)
     if not lines:
         return ""
-    ratio = smoothed([len(text) / max(1, tags) for text, tags, _, _ in lines], sigma)
+    if any(top.intersection(path) for _, _, path, _, _ in lines):
+        return " ".join(text for text, _, path, _, _ in lines if top.intersection(path))
+    marks = [path for (_, _, path, _, heading), marked in zip(lines, marked_lines(lines, sigma), strict=True) if marked or heading]
+    common = 0
+    while all(len(path) > common for path in marks) and len({path[common] for path in marks}) == 1:
+        common += 1
+    inner = {path[: common + 1] for path in marks} | {marks[0][:common]}
+    return " ".join(text for text, _, path, _, _ in lines if path[: common + 1] in inner)
+
+
+def marked_lines(lines: list, sigma: float) -> list[bool]:
+    ratio = smoothed([len(text) / max(1, tags) for text, tags, *_ in lines], sigma)
     cut = threshold(ratio)
-    weight: dict[int, float] = {}
-    for (text, _, path, _), r in zip(lines, ratio, strict=True):
-        for n in path:
-            weight[n] = weight.get(n, 0.0) + (len(text) if r >= cut else 0)
-    marked = [n for n in weight if reader.containers[n][0] in ("article", "main")]
-    best = max(weight, key=lambda n: (weight[n], -n))
-    region = max(marked, key=lambda n: (weight[n], len(reader.containers[n][1]))) if marked else max((n for n in weight if weight[n] >= most * weight[best]), key=lambda n: len(reader.containers[n][1]))
-    return " ".join(text for text, _, path, _ in lines if region in path)
+    return [r >= cut for r in ratio]
+
+
+def kept_lines(lines: list, top: set[int], sigma: float, most: float) -> list:
+    """The lines outside dropped elements; an element that holds most of the marked text or the only articles is not dropped."""
+    if not lines or not any(x[3] for x in lines):
+        return lines
+    weight: dict[int, int] = {}
+    for (text, _, _, maybe, _), marked in zip(lines, marked_lines(lines, sigma), strict=True):
+        for m in (0, *maybe):
+            weight[m] = weight.get(m, 0) + len(text) * marked
+    stay = {m for m in weight if m and weight[m] >= most * weight[0]}
+    if not any(top.intersection(path) and stay.issuperset(maybe) for _, _, path, maybe, _ in lines):
+        stay.update(m for _, _, path, maybe, _ in lines if top.intersection(path) for m in maybe)
+    return [x for x in lines if stay.issuperset(x[3])]
 
 
 def main_text(pages: DataFrame) -> DataFrame:

@@ -126,6 +126,17 @@ def test_page():
     assert extract.extract("<p>cut off <b") .startswith("cut off")
 
 
+def test_content_in_several_places_stays():
+    a, b, c = ("<p>" + f"{x} sentence of the text " * 12 + "</p>" for x in ("first", "second", "third"))
+    links = "<div><a>l</a> <a>m</a> <a>n</a></div>"
+    for html in (f"<body>{links}<h1>Title</h1><div>{a}{b}{a}</div><div>{c}</div>{links}</body>", f"<body>{links}<article><h1>Title</h1>{a}{b}</article><article>{c}</article></body>"):
+        got = extract.extract(html)
+        assert all(x in got for x in ("Title", "first", "second", "third")) and " l m" not in f" {got}"
+    for name in ("no-sidebar", "has-sidebar", "with-menu", "share-price", "widget", "sidebar"):
+        assert "first" in extract.extract(f"<div class='{name}'>{a}</div>") and "first" in extract.extract(f"<div class='{name}'><article>{a}</article></div>")
+    assert extract.extract(f"<div>{a}{b}{a}</div><div class='x related'>{c}</div>").find("third") < 0
+
+
 def test_pages(spark, sf_dir):
     rows = queries.op8_extract(spark, sf_dir).collect()
     html = {r.page_id: r.html for r in base.table(spark, sf_dir, "pages").collect()}
