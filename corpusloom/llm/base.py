@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,8 +13,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..storage import new_path
 
-#: Rows handed to a text function at once; bounds a worker's memory, not the data.
-SLICE_ROWS = 512
+#: Rows, and characters beyond one row, handed to a text function at once; these bound a worker's memory, not the data.
+SLICE_ROWS, SLICE_CHARS = 512, 1 << 23
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,29 +41,50 @@ def forget(df: DataFrame) -> None:
 
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df does not have yet."""
-    taken = {c.lower() for c in df.columns}
+    return _free(df.columns, name)
+
+
+def _free(columns: list[str], name: str) -> str:
+    taken = {c.lower() for c in columns}
     while name.lower() in taken:
         name = f"_{name}"
     return name
 
 
-def add_text_columns(df: DataFrame, text: str, fields: T.StructType, make: Callable[[], Callable[[list], list[tuple]]]) -> DataFrame:
+def slices(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of a batch, bounded by SLICE_ROWS and by the size of column `at`, if that is a text."""
+    sizes = pc.binary_length(batch.column(at)).fill_null(0).to_pylist() if pa.types.is_string(batch.schema.types[at]) else [0] * batch.num_rows
+    start = held = 0
+    for k, n in enumerate(sizes):
+        if k > start and (k - start == SLICE_ROWS or held + n > SLICE_CHARS):
+            yield batch.slice(start, k - start)
+            start, held = k, 0
+        held += n
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
+def add_text_columns(df: DataFrame, text: str, fields: T.StructType, make: Callable[[], Callable[[list], list]]) -> DataFrame:
     """Append columns computed from the whole of column `text`.
 
     make() runs once in each task and returns a function from a list of texts (None for
-    null) to one tuple per text. All other columns pass through unchanged.
+    null) to one tuple per text, or to a list of Arrow columns. All other columns pass
+    through unchanged; a new column whose name is taken gets another, by `fresh`.
     """
     at = df.columns.index(text)
-    schema = T.StructType([*df.schema.fields, *fields.fields])
-    kinds = list(to_arrow_schema(fields))
+    schema = T.StructType(df.schema.fields)
+    for f in fields.fields:
+        schema = T.StructType([*schema.fields, T.StructField(_free(schema.names, f.name), f.dataType)])
+    kinds = list(to_arrow_schema(T.StructType(schema.fields[len(df.columns) :])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for whole in batches:
-            for start in range(0, whole.num_rows, SLICE_ROWS):
-                part = whole.slice(start, SLICE_ROWS)
-                got = list(zip(*work(part.column(at).to_pylist()), strict=True)) or [()] * len(kinds)
-                new = [pa.array(v, k.type) for v, k in zip(got, kinds, strict=True)]
+            for part in slices(whole, at):
+                got = list(work(part.column(at).to_pylist()))
+                if not (got and isinstance(got[0], pa.Array)):
+                    got = list(zip(*got, strict=True)) or [()] * len(kinds)
+                new = [v.cast(k.type) if isinstance(v, pa.Array) else pa.array(v, k.type) for v, k in zip(got, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, *(k.name for k in kinds)])
 
     return df.mapInArrow(run, schema)

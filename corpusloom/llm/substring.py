@@ -1,34 +1,34 @@
-"""Substring deduplication by hashing sentence-like lines in their context.
-
-A text is cut into pieces at line ends, after sentence ends and before a capitalised word;
-pieces of over 30 words are cut further, before words with certain first letters.
-A unit is a piece with as many following pieces as are needed to reach `unit_words` words,
-normalised (lower case, words only) and hashed to 64 bits; short pieces are thereby never
-compared out of context, and a unit depends on nothing but its own words, wherever the
-passage stands. Digests are grouped over all documents; the earliest occurrence, by
-(doc_id, text hash, place), stays, and the pieces of all later ones are repeated. Runs of
-repeated pieces with at least `min_words` words are removed, with their original character
-offsets kept in `removed`.
-
-With `exact` (the query and the pipeline) a piece is a word with its punctuation, in scripts
-without spaces a character, and a unit is exactly `unit_words` words. Of each `min_words`
-words in a row one stretch of twice as many words as a unit, that with the least digest, is
-an anchor, so that any two equal ranges of that many words share one, wherever they begin.
-Around anchors that repeat, the units of all words are compared as above, and a passage
-goes to the word. Each line of `LINE_WORDS` words or more is a unit of its own as well; of equal
-lines the earliest stays and the others go, however short.
-
-The digests of a repeated passage are pre-aggregated before they are shuffled, and what
-comes back to a document is the list of its own repeated places. No group is gathered.
-
-Defined cases: null texts stay null; empty texts, and texts shorter than a unit, are never
-cut; rows with the same doc_id and text are one document and are cut alike; rows with a
-null doc_id rank last. A text that is a copy as a whole becomes empty.
+"""Substring deduplication by hashing line-like units that are cut by their words.
+
+Texts are read as words (lower-cased letters and digits; in scripts without spaces each
+character is a word). The lines of a corpus end anywhere, and a passage may stand inside
+one, so the units are content-defined: of every stretch of `min_words` words one part of a
+third of that length, the one with the least digest, is a unit, and two equal stretches of
+that many words share one whatever stands around them. Digests are grouped over all
+documents; the earliest holder, by (doc_id, text hash, place), keeps its unit. For every
+later one the range that it shares with its earliest holder is found to the word: units
+that follow each other in both texts form a chain, and at a chain's two ends the words
+beyond it are compared with those of the holder. Ranges of `min_words` words or more are
+removed; their original character offsets are kept in `removed`.
+
+`line_words`, if given, makes every whole line of that many words or more a unit as well,
+the later ones of which go however short they are.
+
+A digest's rows are pre-aggregated before they are shuffled. Digests that many documents
+share are joined where the documents are, by broadcast; no group is gathered, and what comes
+to a document is the list of its own ranges.
+
+Defined cases: null texts stay null; empty texts, and texts with fewer words than
+`min_words` (or, as lines, `line_words`), are never cut; rows with the same doc_id and text
+are one document and are cut alike; rows with a null doc_id rank last; where a range
+overlaps its own holder in one text, the holder's part stays. A text that is a copy as a
+whole becomes empty.
 """
 
 from __future__ import annotations
 
 import re
+from itertools import accumulate
 
 import numpy as np
 import xxhash
@@ -38,97 +38,28 @@ from pyspark.sql import types as T
 
 from . import base
 
-_CUT = re.compile(r"(?<=[.!?])\s+|\s*\n\s*|\s+(?=[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ])")
-#: A piece of more words than this has no sentence ends to speak of; it is cut before words with these first letters.
-LONG_PIECE = 30
-_CUT_LONG = re.compile(r"\s+(?=[bdfgkmpvwBDFGKMPVW])")
-_WORD = re.compile(r"\w+")
 #: Scripts written without spaces; each of their characters counts as a word.
-_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003134f"
-_EXACT_WORD = re.compile(f"[{_UNSPACED}]|[^\\W{_UNSPACED}]+")
-_EXACT_PIECE = re.compile(f"(?:(?<!\\S)[^\\w\\s{_UNSPACED}]+)?(?:{_EXACT_WORD.pattern})[^\\w\\s{_UNSPACED}]*")
+_UNSPACED = "฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003134f"
+_WORD = re.compile(f"[{_UNSPACED}]|[^\\W{_UNSPACED}]+")
+#: A word with the marks around it.
+_PIECE = re.compile(f"(?:(?<!\\S)[^\\w\\s{_UNSPACED}]+)?(?:{_WORD.pattern})[^\\w\\s{_UNSPACED}]*")
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
-#: Lines of fewer words are not compared as lines.
-LINE_WORDS = 3
 #: The place of a text's first line; smaller places are words.
 _LINES = 1 << 40
 #: Words whose hashes a task remembers.
 _MEMO = 200_000
 
 
-def pieces(text: str) -> list[tuple[int, int]]:
-    """The character ranges of the pieces, without the white space between them."""
-    out, at = [], 0
-    for m in _CUT.finditer(text):
-        if at < m.start():
-            out.append((at, m.start()))
-        at = m.end()
-    if at < len(text):
-        out.append((at, len(text)))
-    if any(b - a > 2 * LONG_PIECE for a, b in out):
-        out = [x for a, b in out for x in (_shorter(text, a, b) if b - a > 2 * LONG_PIECE else [(a, b)])]
-    return out
-
-
-def _shorter(text: str, a: int, b: int) -> list[tuple[int, int]]:
-    if len(text[a:b].split()) <= LONG_PIECE:
-        return [(a, b)]
-    gaps = [m.span() for m in _CUT_LONG.finditer(text, a, b)]
-    return [(x, y) for x, y in zip([a, *(g[1] for g in gaps)], [*(g[0] for g in gaps), b], strict=True) if x < y]
-
-
-def unit_digests(text: str | None, unit_words: int) -> list[int]:
-    """A digest for each piece at which a unit begins, in order; the last pieces of a text begin none."""
-    text = text or ""
-    found = [_WORD.findall(text, a, b) for a, b in pieces(text)]
-    sizes, out, b, have = [len(x) for x in found], [], 0, 0
-    joined = [" ".join(x).lower() for x in found]
-    for a in range(len(found)):
-        while have < unit_words and b < len(found):
-            have += sizes[b]
-            b += 1
-        if have < unit_words:
-            break
-        out.append(xxhash.xxh3_64_intdigest(" ".join(filter(None, joined[a:b]))) - (1 << 63))
-        have -= sizes[a]
-    return out
-
-
-def repeated_runs(text: str, begins: list[int], unit_words: int, min_words: int) -> list[tuple[int, int]]:
-    """Character ranges to remove, given the pieces at which repeated units begin."""
-    at = pieces(text)
-    sizes = [len(_WORD.findall(text[a:b])) for a, b in at]
-    hit = [False] * len(at)
-    for a in begins:
-        have, k = 0, a
-        while have < unit_words and k < len(at):
-            hit[k] = True
-            have += sizes[k]
-            k += 1
-    runs, k = [], 0
-    while k < len(at):
-        if not hit[k]:
-            k += 1
-            continue
-        start = k
-        while k < len(at) and hit[k]:
-            k += 1
-        if sum(sizes[start:k]) >= min_words:
-            runs.append((at[start][0], at[k - 1][1]))
-    return runs
-
-
-def _hashes(words: list[str], memo: dict[str, int]) -> np.ndarray:
+def hashes(text: str | None, memo: dict[str, int]) -> np.ndarray:
+    """The hash of each word of a text."""
     if len(memo) > _MEMO:
         memo.clear()
-    out = []
+    words = _WORD.findall(text or "")
     for w in words:
-        h = memo.get(w)
-        if h is None:
-            h = memo[w] = xxhash.xxh3_64_intdigest(w.lower())
-        out.append(h)
-    return np.array(out, np.uint64)
+        if w not in memo:
+            memo[w] = xxhash.xxh3_64_intdigest(w.lower())
+    return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -137,196 +68,243 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def window_digests(hashes: np.ndarray, unit_words: int) -> np.ndarray:
-    """The digest of the unit at each word; the last words of a text begin none."""
-    n = len(hashes) - unit_words + 1
+def digests(words: np.ndarray, size: int) -> np.ndarray:
+    """The digest of the `size` words from each word on; the last words of a text begin none."""
+    n = len(words) - size + 1
     if n < 1:
         return np.zeros(0, np.uint64)
     out, power = np.zeros(n, np.uint64), 1
-    for k in range(unit_words):
-        out += hashes[k : k + n] * np.uint64(power)
+    for k in range(size):
+        out += words[k : k + n] * np.uint64(power)
         power = power * _BASE & _MASK
     return _mixed(out)
 
 
-def line_digests(lines: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The digests of the lines that are compared, given the hashes of each line's words, and their places."""
+def _slide(best, x: np.ndarray, width: int) -> np.ndarray:
+    """best (a minimum or maximum) of each `width` values in a row."""
+    size = 1
+    while 2 * size <= width:
+        x = best(x[:-size], x[size:])
+        size *= 2
+    return best(x[: len(x) - width + size], x[width - size :]) if size < width else x
+
+
+def anchors(found: np.ndarray, width: int) -> np.ndarray:
+    """The places at which a digest is the least of some `width` digests in a row."""
+    if len(found) < width:
+        return np.zeros(0, np.int64)
+    edge = np.zeros(width - 1, np.uint64)
+    least = np.concatenate((edge, _slide(np.minimum, found, width), edge))
+    return np.flatnonzero(found == _slide(np.maximum, least, width))
+
+
+def line_digests(lines: list[np.ndarray], line_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The digests of the lines of line_words words or more, given the hashes of each line's words, and their places."""
     out, places = [], []
-    powers = np.cumprod(np.full(max(map(len, lines)), _BASE, np.uint64))
-    for k, hashes in enumerate(lines):
-        if len(hashes) >= LINE_WORDS:
-            out.append(np.dot(hashes, powers[: len(hashes)]) + np.uint64(len(hashes)))
+    powers = np.array(list(accumulate(range(max(map(len, lines))), lambda p, _: p * _BASE & _MASK, initial=1)), np.uint64)
+    for k, words in enumerate(lines):
+        if len(words) >= line_words:
+            out.append((words * powers[: len(words)]).sum() + np.uint64(len(words)))
             places.append(_LINES + k)
     return _mixed(_mixed(np.array(out, np.uint64)) ^ np.uint64(_BASE)), np.array(places, np.int64)
 
 
-def anchors(digests: np.ndarray, window: int) -> np.ndarray:
-    """The places of the least digest of each window."""
-    if len(digests) < window:
-        return np.zeros(0, np.int64)
-    least = np.lib.stride_tricks.sliding_window_view(digests, window).argmin(axis=1)
-    return np.unique(least + np.arange(len(least)))
-
-
-def near(places: list[int], before: int, after: int, n: int) -> np.ndarray:
-    """The places at most `before` before or `after` after any of the given ones, out of n."""
-    edge = np.zeros(n + 1, np.int64)
-    at = np.array(places, np.int64)
-    np.add.at(edge, np.maximum(at - before, 0), 1)
-    np.add.at(edge, np.minimum(at + after + 1, n), -1)
-    return np.flatnonzero(np.cumsum(edge[:n]) > 0)
-
-
-def exact_runs(text: str, begins: list[int], unit_words: int, min_words: int) -> list[tuple[int, int]]:
-    """Character ranges to remove, given the words at which repeated units begin and the repeated lines."""
-    at = [m.span() for m in _EXACT_PIECE.finditer(text)]
-    found, start, end = [], 0, 0
-    for a in [*sorted(x for x in begins if x < _LINES), len(at) + 1]:
-        if a > end:
-            if end - start >= min_words:
-                found.append((at[start][0], at[end - 1][1]))
-            start = a
-        end = max(end, min(a + unit_words, len(at)))
-    lines, again = 0, {x - _LINES for x in begins if x >= _LINES}
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many first values are the same."""
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(a[:n] != b[:n])
+    return int(differ[0]) if len(differ) else n
+
+
+def ranges(words: np.ndarray, chains: list, min_words: int) -> list[tuple[int, int]]:
+    """The word ranges to remove. A chain: its first word, the word after its last, the distance to its holder in the same text (0: another text), the holder's words before it (from the nearest on) and after it."""
+    out = []
+    for low, high, shift, before, after in chains:
+        start = low - common(words[:low][::-1], np.frombuffer(before, "<u8"))
+        end = high + common(words[high:], np.frombuffer(after, "<u8"))
+        if shift:
+            start = max(start, end - shift)
+        if end - start >= min_words:
+            out.append((start, end))
+    return out
+
+
+def spans(text: str, found: list[tuple[int, int]], lines: list[int]) -> list[tuple[int, int]]:
+    """The character ranges of word ranges and of whole lines, merged where only white space lies between."""
+    if found:
+        at = [m.span() for m in _PIECE.finditer(text)]
+        found = [(at[a][0], at[b - 1][1]) for a, b in found]
+    again, start = set(lines), 0
     for k, line in enumerate(text.split("\n") if again else []):
         if k in again:
-            found.append((lines + len(line) - len(line.lstrip()), lines + len(line.rstrip())))
-        lines += len(line) + 1
-    runs: list[tuple[int, int]] = []
+            found.append((start + len(line) - len(line.lstrip()), start + len(line.rstrip())))
+        start += len(line) + 1
+    out: list[tuple[int, int]] = []
     for a, b in sorted(found):
-        if runs and (a <= runs[-1][1] or text[runs[-1][1] : a].isspace()):
-            runs[-1] = runs[-1][0], max(runs[-1][1], b)
+        if out and (a <= out[-1][1] or text[out[-1][1] : a].isspace()):
+            out[-1] = out[-1][0], max(out[-1][1], b)
         else:
-            runs.append((a, b))
-    return runs
+            out.append((a, b))
+    return out
 
 
 def without(text: str, runs: list[tuple[int, int]]) -> str:
-    """The text without the ranges; the white space around a removed range becomes the longer of its two sides' breaks."""
-    out, at = "", 0
+    """The text without the ranges. White space on both sides of one becomes a single break, a new line if either side has one; at the text's ends it goes."""
+    parts, at = [], 0
     for a, b in runs:
-        out += text[at:a]
-        at = b
-        if not out.strip() or not text[b:].strip():
-            while at < len(text) and text[at].isspace() and not out.strip():
-                at += 1
-        elif out[-1:].isspace():
-            rest = len(text[b:]) - len(text[b:].lstrip())
-            gap = text[b : b + rest]
-            out = out.rstrip() + ("\n" if "\n" in gap or "\n" in out[len(out.rstrip()) :] else " ")
-            at = b + rest
-    out += text[at:]
-    return out.rstrip() if runs and runs[-1][1] >= len(text.rstrip()) else out
-
-
-def repeated_places(docs: DataFrame, unit_words: int = 8) -> DataFrame:
-    """(doc_id, h, begins): for each document that has any, the pieces at which repeated units begin."""
-    fields = T.StructType([T.StructField("digests", T.ArrayType(T.LongType()))])
-    units = base.add_text_columns(docs.select("doc_id", "text", F.xxhash64("text").alias("h")), "text", fields, lambda: lambda texts: [(unit_digests(x, unit_words),) for x in texts]).drop("text")
-    units = base.written(units.filter("size(digests) > 0"), "units")
-    each = units.select("doc_id", "h", F.posexplode("digests").alias("place", "digest"))
-    rank = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h", "place")
-    # partial aggregation leaves one row for a digest and task
-    first = each.groupBy("digest").agg(F.min(rank).alias("first"), F.max(rank).alias("last"), F.count("*").alias("n")).filter("n > 1 and not first <=> last").select("digest", "first", "n")
-    later = base.join_with_hot_keys(each, base.written(first, "repeated"), "digest", "n").filter(rank > F.col("first"))
-    return later.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("place")).alias("begins"))
-
+        left, right = a, b
+        while left > at and text[left - 1].isspace():
+            left -= 1
+        while right < len(text) and text[right].isspace():
+            right += 1
+        parts.append(text[at:left])
+        if left > 0 and right < len(text) and not (left == at and len(parts) == 1):
+            gap = text[left:a] + text[b:right]
+            parts.append(("\n" if "\n" in gap else " ") if left < a and b < right else gap)
+        at = right
+    return "".join([*parts, text[at:]])
 
-_FIELDS = T.StructType([T.StructField("digests", T.ArrayType(T.LongType())), T.StructField("places", T.ArrayType(T.LongType()))])
 
+_UNITS = T.StructType([T.StructField("digests", T.ArrayType(T.LongType())), T.StructField("places", T.ArrayType(T.LongType()))])
+_AROUND = T.StructType([T.StructField("around", T.ArrayType(T.StructType([T.StructField("digest", T.LongType()), T.StructField("before", T.BinaryType()), T.StructField("after", T.BinaryType())])))])
+_CHAINS = "doc_id long, h long, low long, high long, shift long, first long, last long, first_at long, last_at long, held_by long, held_h long"
 
-def _signed(*parts) -> tuple[list[int], list[int]]:
-    return [d for digests, _ in parts for d in digests.view(np.int64).tolist()], [p for _, places in parts for p in places.tolist()]
 
+def _units(size: int, window: int, line_words: int | None):
+    memo: dict[str, int] = {}
 
-def _each(units: DataFrame) -> DataFrame:
-    both = units.select("doc_id", "h", F.explode(F.arrays_zip("digests", "places")).alias("u"))
-    return both.select("doc_id", "h", F.col("u.digests").alias("digest"), F.col("u.places").alias("place"))
+    def work(texts):
+        for text in texts:
+            found = digests(hashes(text, memo), size)
+            places = anchors(found, window)
+            parts = [(found[places], places)]
+            if line_words is not None:
+                parts.append(line_digests([hashes(x, memo) for x in (text or "").split("\n")], line_words))
+            yield [d for x, _ in parts for d in x.view(np.int64).tolist()], [p for _, x in parts for p in x.tolist()]
 
+    return work
 
-def exact_places(docs: DataFrame, unit_words: int = 8, min_words: int = 25) -> DataFrame:
-    """(doc_id, h, begins): for each document that has any, the words at which repeated units begin."""
-    wide = min(2 * unit_words, min_words)
-    window = min_words - wide + 1
 
-    def coarse():
-        memo: dict[str, int] = {}
+def _around(size: int, reach: int):
+    """The words around asked units, as bytes: those before, from the nearest on, and those after."""
+    memo: dict[str, int] = {}
 
-        def work(texts):
-            for text in texts:
-                lines = [_hashes(_EXACT_WORD.findall(x), memo) for x in (text or "").split("\n")]
-                digests = window_digests(np.concatenate(lines), wide)
-                places = anchors(digests, window)
-                yield _signed([digests[places], places], line_digests(lines))
+    def work(rows):
+        for row in rows:
+            words, asked = hashes(row["text"], memo), {(x["digest"], x["place"]) for x in row["asked"]}
+            yield ([{"digest": d, "before": words[max(0, p - reach) : p][::-1].astype("<u8").tobytes(), "after": words[p + size : p + size + reach].astype("<u8").tobytes()} for d, p in sorted(asked)],)
 
-        return work
+    return work
 
-    def fine():
-        memo: dict[str, int] = {}
 
-        def work(rows):
-            for row in rows:
-                lines = [_hashes(_EXACT_WORD.findall(x), memo) for x in row["text"].split("\n")]
-                digests = window_digests(np.concatenate(lines), unit_words)
-                places = near([x for x in row["met"] if x < _LINES], window - 1, min_words - unit_words, len(digests))
-                again = {x - _LINES for x in row["met"] if x >= _LINES}
-                yield _signed([digests[places], places], line_digests([x if k in again else x[:0] for k, x in enumerate(lines)]))
+def _chained(size: int):
+    """Joins each document's later units to chains that follow their holder at the same distance without a gap."""
 
-        return work
+    def run(batches):
+        import pyarrow as pa
 
+        for batch in batches:
+            units = batch.column(2)
+            flat = units.flatten()
+            row = np.repeat(np.arange(len(batch)), np.diff(units.offsets.to_numpy()))
+            place, digest, at, held_h = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+            held = flat.field(4)
+            held_by = held.fill_null(0).to_numpy(zero_copy_only=False)
+            none = held.is_null().to_numpy(zero_copy_only=False)
+            if not len(row):
+                continue
+            order = np.lexsort((place, at - place, held_h, held_by, none, row))
+            keys = np.stack([x[order].astype(np.int64) for x in (row, none, held_by, held_h, at - place)])
+            begins = np.concatenate(([True], (np.diff(keys) != 0).any(0) | (np.diff(place[order]) > size)))
+            first, last = order[begins], order[np.concatenate((begins[1:], [True]))]
+            ids, own = batch.column(0), batch.column(1)
+            take = pa.array(row[first])
+            same = (own.to_numpy()[row[first]] == held_h[first]) & (ids.fill_null(0).to_numpy(zero_copy_only=False)[row[first]] == held_by[first]) & (ids.is_null().to_numpy(zero_copy_only=False)[row[first]] == none[first])
+            columns = [ids.take(take), own.take(take), *(pa.array(x) for x in (place[first], place[last] + size, np.where(same, place[first] - at[first], 0), digest[first], digest[last], at[first], at[last])), held.take(pa.array(first)), pa.array(held_h[first])]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "low", "high", "shift", "first", "last", "first_at", "last_at", "held_by", "held_h"])
+
+    return run
+
+
+def repeated(docs: DataFrame, min_words: int = 50, line_words: int | None = None) -> DataFrame:
+    """(doc_id, h, chains, lines): for each document that has any, what it repeats of earlier ones.
+
+    docs: doc_id (a long) and text; h: xxhash64 of the text.
+    """
+    size = max(1, min_words // 3)
+    window = min_words - size + 1
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
-    units = base.add_text_columns(texts, "text", _FIELDS, coarse).drop("text")
-    coarse_units = base.written(units.filter("size(digests) > 0"), "anchors")
-    each = _each(coarse_units)
-    # partial aggregation leaves one row for a digest and task
-    again = base.written(each.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1"), "met")
-    met = base.join_with_hot_keys(each, again, "digest", "n").groupBy("doc_id", "h").agg(F.collect_set("place").alias("met"))
-    met = met.select(F.col("doc_id").alias("_key"), F.col("h").alias("_own"), "met")
-    there = texts.join(met, F.col("doc_id").eqNullSafe(F.col("_key")) & (F.col("h") == F.col("_own")))
-    units = base.add_text_columns(there.select("doc_id", "h", F.struct("text", "met").alias("row")), "row", _FIELDS, fine).drop("row")
-    each = _each(base.written(units, "units"))
-    base.forget(coarse_units)
-    base.forget(again)
+    units = base.add_text_columns(texts, "text", _UNITS, lambda: _units(size, window, line_words)).drop("text").filter("size(digests) > 0")
+    units = base.written(units, "units")
+    each = units.select("doc_id", "h", F.inline(F.arrays_zip("digests", "places"))).toDF("doc_id", "h", "digest", "place")
     rank = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h", "place")
-    first = each.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    later = base.join_with_hot_keys(each, base.written(first, "repeated"), "digest", "n").filter(rank > F.col("first"))
-    return later.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("place")).alias("begins"))
-
-
-def deduplicate(docs: DataFrame, unit_words: int = 8, min_words: int = 25, exact: bool = False) -> DataFrame:
+    # partial aggregation leaves one row for a digest and task
+    first = base.written(each.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).filter("n > 1"), "repeated")
+    later = base.join_with_hot_keys(each, first, "digest", "n").filter(rank > F.col("first"))
+    unit = F.struct("place", "digest", F.col("first.place").alias("at"), F.col("first.h").alias("held_h"), F.col("first.doc_id").alias("held_by"))
+    by_text = later.groupBy("doc_id", "h").agg(F.collect_list(F.when(F.col("place") < _LINES, unit)).alias("units"), F.collect_set(F.when(F.col("place") >= _LINES, F.col("place") - _LINES)).alias("lines"))
+    by_text = base.written(by_text, "later")
+    chains = base.written(by_text.select("doc_id", "h", "units").mapInArrow(_chained(size), _CHAINS), "chains")
+
+    # the words around the chains' ends, asked of their holders
+    own = ["doc_id", "h", "low", "high", "shift"]
+    ends = chains.select(*own, "held_by", "held_h", F.inline(F.array(F.struct(F.lit(True).alias("begin"), F.col("first").alias("digest"), F.col("first_at").alias("place")), F.struct(F.lit(False).alias("begin"), F.col("last").alias("digest"), F.col("last_at").alias("place")))))
+    asked = base.written(ends.groupBy("digest", "place", "held_by", "held_h").agg(F.count("*").alias("n")), "asked")
+    wanted = asked.groupBy(F.col("held_by").alias("_by"), F.col("held_h").alias("_h")).agg(F.collect_list(F.struct("digest", "place")).alias("asked"))
+    holders = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_by")) & (F.col("h") == F.col("_h"))).select(F.struct("text", "asked").alias("row"))
+    around = base.add_text_columns(holders, "row", _AROUND, lambda: _around(size, window - 1)).select(F.inline("around")).dropDuplicates(["digest"])
+    around = base.written(around.join(asked.select("digest", "n"), "digest"), "around")
+    side = F.when(F.col("begin"), F.col("before")).otherwise(F.col("after"))
+    met = base.join_with_hot_keys(ends.select(*own, "begin", "digest"), around, "digest", "n").select(*own, "begin", side.alias("words"))
+    by_end = met.groupBy("doc_id", "h").agg(F.collect_list(F.struct("low", "high", "shift", "begin", "words")).alias("chains"))
+    lines = by_text.filter("size(lines) > 0").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "lines")
+    both = by_end.join(lines, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "full") if line_words is not None else by_end.withColumn("lines", F.array().cast("array<bigint>"))
+    return both.select(F.coalesce("doc_id", "_id").alias("doc_id"), F.coalesce("h", "_h").alias("h"), "chains", "lines") if line_words is not None else both
+
+
+def _ends_paired(chains: list[dict] | None) -> list[tuple]:
+    """(low, high, shift, before, after) of each chain, of which either end came in a row of its own."""
+    paired: dict[tuple, dict[bool, bytes]] = {}
+    for c in chains or ():
+        paired.setdefault((c["low"], c["high"], c["shift"]), {})[c["begin"]] = c["words"]
+    return [(*key, words.get(True, b""), words.get(False, b"")) for key, words in paired.items()]
+
+
+def deduplicate(docs: DataFrame, min_words: int = 50, line_words: int | None = None) -> DataFrame:
     """docs (columns doc_id and text among others) with repeated passages cut out of text, plus `removed`: their [start, end) in the original text."""
-    h, begins, removed = (base.fresh(docs, x) for x in ("_h", "_begins", "removed"))
-    found = exact_places(docs, unit_words, min_words) if exact else repeated_places(docs, unit_words)
-    places = found.select(F.col("doc_id").alias("_key"), F.col("h").alias("_own"), F.col("begins").alias(begins))
-    joined = docs.withColumn(h, F.xxhash64("text")).join(places, F.col("doc_id").eqNullSafe(F.col("_key")) & (F.col(h) == F.col("_own")), "left").drop(h, "_key", "_own")
+    h, found, removed = (base.fresh(docs, x) for x in ("_h", "_found", "removed"))
+    places = repeated(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), min_words, line_words)
+    places = places.select(F.col("doc_id").alias("_key"), F.col("h").alias("_own"), F.struct("chains", "lines").alias(found))
+    joined = docs.withColumn(h, F.xxhash64("text")).join(places, F.col("doc_id").cast("long").eqNullSafe(F.col("_key")) & (F.col(h) == F.col("_own")), "left").drop(h, "_key", "_own")
     schema = T.StructType([*docs.schema.fields, T.StructField(removed, T.ArrayType(T.ArrayType(T.LongType())))])
-    find = exact_runs if exact else repeated_runs
-    text_at, begins_at = joined.columns.index("text"), joined.columns.index(begins)
+    text_at, found_at = joined.columns.index("text"), joined.columns.index(found)
 
     def run(batches):
         import pyarrow as pa
 
         from pyspark.sql.pandas.types import to_arrow_type
 
-        kind = to_arrow_type(schema[removed].dataType)
+        kind, memo = to_arrow_type(schema[removed].dataType), {}
         for batch in batches:
-            texts, spans = [], []
-            for text, places in zip(batch.column(text_at).to_pylist(), batch.column(begins_at).to_pylist(), strict=True):
-                runs = find(text, places, unit_words, min_words) if places else []
-                texts.append(without(text, runs) if runs else text)
-                spans.append([list(r) for r in runs])
+            cut = batch.column(text_at).to_pylist()
+            out: list[list] = [[] for _ in cut]
+            for k in np.flatnonzero(batch.column(found_at).is_valid().to_numpy(zero_copy_only=False)).tolist():
+                own = batch.column(found_at)[k].as_py()
+                chains = _ends_paired(own["chains"])
+                runs = spans(cut[k], ranges(hashes(cut[k], memo), chains, min_words) if chains else [], own["lines"] or [])
+                if runs:
+                    cut[k], out[k] = without(cut[k], runs), [list(r) for r in runs]
             columns = list(batch.columns)
-            columns[text_at] = pa.array(texts, pa.string())
-            columns[begins_at] = pa.array(spans, kind)
+            columns[text_at], columns[found_at] = pa.array(cut, pa.string()), pa.array(out, kind)
             yield pa.RecordBatch.from_arrays(columns, [*schema.names])
 
     return joined.mapInArrow(run, schema)
 
 
-def cut(docs: DataFrame, unit_words: int = 8, min_words: int = 25) -> DataFrame:
+def cut(docs: DataFrame, min_words: int = 50, line_words: int | None = None) -> DataFrame:
     """docs with repeated passages cut out; n_chars follows the text; same columns. Texts of which nothing stays go."""
     name = base.fresh(docs, "removed")
-    out = deduplicate(docs, unit_words, min_words, exact=True)
+    out = deduplicate(docs, min_words, line_words)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size(name) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.filter(~((F.size(name) > 0) & F.col("text").rlike("^\\s*$"))).select(*docs.columns)

@@ -1,6 +1,7 @@
 """SimHash, substring deduplication and decontamination against brute force."""
 
 import itertools
+import re
 
 import numpy as np
 import xxhash
@@ -77,84 +78,73 @@ def test_simhash_of_odd_rows(spark, odd, nothing):
     assert simhash.near_duplicates(nothing).count() == 0 and simhash.keep_one(nothing).count() == 0
 
 
-def plain_units(text, unit_words):
-    at, out = substring.pieces(text), []
-    words = [substring._WORD.findall(text[a:b].lower()) for a, b in at]
-    for a in range(len(at)):
-        have, b = [], a
-        while len(have) < unit_words and b < len(at):
-            have += words[b]
-            b += 1
-        if len(have) >= unit_words:
-            out.append((a, " ".join(have)))
+def plain_words(text):
+    return [w.lower() for w in re.findall(r"[^\W]+", text or "")]
+
+
+def repeated_places(rows, size):
+    """By comparing every window of `size` words with all earlier ones: the words that stand in one met before, but not in an overlapping one. rows: (doc_id, text) by rank."""
+    seen, out = {}, {}
+    for key, text in rows:
+        words, hit = plain_words(text), set()
+        for k in range(len(words) - size + 1):
+            window = tuple(words[k : k + size])
+            held, at = seen.setdefault(window, (key, k))
+            if held != key or k >= at + size:
+                hit.update(range(k, k + size))
+        out[key] = hit
     return out
 
 
-def test_substrings_against_a_dictionary(spark, sf_dir):
+def removed_places(text, spans):
+    """The numbers of the words inside the spans."""
+    return {k for k, m in enumerate(re.finditer(r"\w+", text or "")) if any(a <= m.start() and m.end() <= b for a, b in spans)}
+
+
+def test_substrings_against_brute_force(spark, sf_dir):
     docs = base.table(spark, sf_dir, "documents").select("doc_id", "text")
-    seen, want = set(), {}
-    for d in sorted(docs.collect(), key=lambda r: r.doc_id):
-        begins = []
-        for place, unit in plain_units(d.text or "", 8):
-            if unit in seen:
-                begins.append(place)
-            seen.add(unit)
-        want[d.doc_id] = [list(r) for r in substring.repeated_runs(d.text, begins, 8, 25)] if begins else []
-    text = {d.doc_id: d.text for d in docs.collect()}
-    got = substring.deduplicate(docs).collect()
-    assert {r.doc_id: r.removed for r in got} == want and any(want.values())
-    for r in got:
-        if not r.removed:
-            assert r.text == text[r.doc_id]
-        else:
-            left = "".join(text[r.doc_id][a:b] for a, b in zip([0, *(x[1] for x in r.removed)], [*(x[0] for x in r.removed), len(text[r.doc_id])], strict=True))
-            assert left.split() == r.text.split()
-
-
-def test_a_planted_passage_goes_from_all_but_the_first(spark):
-    rng = np.random.default_rng(3)
-    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
-    sentence = lambda n: " ".join(word() for _ in range(n)).capitalize() + "."
-    passage = " ".join(sentence(n) for n in (9, 3, 14, 7, 12, 4, 8))
-    rows = []
-    for k in range(40):
-        own = [word() for _ in range(60)]
-        at = 20 if k % 2 else 0
-        rows.append((k, " ".join([*own[:at], passage, *own[at:]]) if k % 4 != 3 else " ".join(own)))
-    got = {r.doc_id: r for r in substring.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    for k, text in rows:
-        if k % 4 == 3 or k == 0:
-            assert got[k].text == text and not got[k].removed
-        else:
-            assert [text[a:b] for a, b in got[k].removed] == [passage]
-
-
-def test_a_passage_without_sentences(spark):
-    rng = np.random.default_rng(5)
-    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6))
-    passage = [word() for _ in range(60)]
-    texts = [" ".join([*(word() for _ in range(30 + k)), *passage, *(word() for _ in range(40))]) for k in range(5)]
-    got = {r.doc_id: r for r in substring.deduplicate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    assert got[0].text == texts[0]
-    for k in range(1, 5):
-        left, gone = got[k].text.split(), [w for a, b in got[k].removed for w in texts[k][a:b].split()]
-        assert set(gone) <= set(passage) and len(gone) >= 30 and len(left) + len(gone) == len(texts[k].split())
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    want, text = repeated_places(rows, 50), dict(rows)
+    got = {r.doc_id: r for r in substring.deduplicate(docs).collect()}
+    assert set(got) == set(text)
+    total = found = 0
+    for key, r in got.items():
+        gone = removed_places(text[key], r.removed)
+        assert gone <= want[key]  # nothing goes that does not stand in an earlier place
+        total, found = total + len(want[key]), found + len(gone)
+        left = "".join(text[key][a:b] for a, b in zip([0, *(x[1] for x in r.removed)], [*(x[0] for x in r.removed), len(text[key])], strict=True))
+        assert left.split() == r.text.split()
+        assert r.removed or r.text == text[key]
+    assert total and found >= 0.98 * total, (found, total)  # what is left is shared with a later holder only
 
 
 def test_a_passage_at_any_offset_goes_whole(spark):
+    """Each passage stands in three texts at any word; it stays in the first only, and nothing else goes."""
     rng = np.random.default_rng(11)
     kinds = ["word", "Word", "word.", "WORD", "日本語", "слово", "w-w", "(word)"]
     own = lambda: "".join(rng.choice(list("abcdefgh"), 8))
     word = lambda: rng.choice(kinds) + own()
     rows, want = [], {}
     for k in range(60):
-        passage = [word() for _ in range(51)]
-        for copy in range(2):
-            before, after = ([own() for _ in range(rng.integers(0, 40))] for _ in range(2))
-            text = " ".join([*before, *passage, *after])
-            rows.append((2 * k + copy, text))
-            want[2 * k + copy] = " ".join([*before, *after]) if copy else text
-    got = substring.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), exact=True).collect()
+        passage = [word() for _ in range(int(rng.integers(51, 140)))]
+        for copy in range(3):
+            before, after = ([own() for _ in range(rng.integers(0, 80))] for _ in range(2))
+            rows.append((3 * k + copy, " ".join([*before, *passage, *after])))
+            want[3 * k + copy] = " ".join([*before, *after]) if copy else rows[-1][1]
+    got = substring.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in got} == want
+
+
+def test_a_line_and_the_same_words_inside_a_line_meet(spark):
+    """30 words on a line of their own, and the same within longer lines, with a threshold of 25."""
+    rng = np.random.default_rng(13)
+    own = lambda n: [("".join(rng.choice(list("abcdefgh"), 8))) for _ in range(n)]
+    rows, want = [], {}
+    for k in range(50):
+        passage, before, after = own(30), own(33), own(21)
+        rows += [(2 * k, "First line.\n" + " ".join(passage) + "\nLast line."), (2 * k + 1, " ".join([*before, *passage, *after]))]
+        want |= {2 * k: rows[-2][1], 2 * k + 1: " ".join([*before, *after])}
+    got = substring.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), min_words=25).collect()
     assert {r.doc_id: r.text for r in got} == want
 
 
@@ -163,18 +153,46 @@ def test_a_passage_without_spaces(spark):
     letters = lambda n: "".join(chr(c) for c in rng.integers(0x4E00, 0x9FA0, n))
     passage = letters(60)
     texts = [letters(33) + passage + letters(20), letters(50) + passage + letters(41)]
-    got = {r.doc_id: r for r in substring.deduplicate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), exact=True).collect()}
+    got = {r.doc_id: r for r in substring.deduplicate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert not got[0].removed and [texts[1][a:b] for a, b in got[1].removed] == [passage]
 
 
-def test_repeated_lines_go_at_any_length(spark):
+def test_a_passage_that_repeats_inside_a_text(spark):
+    rng = np.random.default_rng(14)
+    own = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 8)) for _ in range(n))
+    passage, a, b, c = own(70), own(20), own(10), own(30)
+    rows = [(1, f"{a} {passage} {b} {passage} {c}"), (2, " ".join(["ha"] * 200)), (None, f"{c} {passage}"), (3, " ".join(["one two"] * 100))]
+    got = {r.doc_id: r.text for r in substring.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == f"{a} {passage} {b} {c}" and got[None] == c
+    assert set(got[2].split()) == {"ha"} and 50 <= len(got[2].split()) < 120 and 50 <= len(got[3].split()) < 160
+
+
+def test_whole_lines_go_at_any_length_if_asked(spark):
     texts = [
         "Own first words.\nShare this page now\nSome more of the text\nok", "An other text.\n  - share THIS page, now\nIts own end here\nok", "Share this page now",
         "Before it: share this page now and after", None, "",
     ]
-    got = substring.deduplicate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), exact=True).collect()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = substring.deduplicate(docs, line_words=3).collect()
     assert {r.doc_id: r.text for r in got} == {**dict(enumerate(texts)), 1: "An other text.\nIts own end here\nok", 2: ""}
     assert [texts[1][a:b] for r in got if r.doc_id == 1 for a, b in r.removed] == ["- share THIS page, now"]
+    assert not any(r.removed for r in substring.deduplicate(docs).collect())
+
+
+@given(st.text(alphabet="a \n", max_size=30), st.lists(st.integers(0, 30), max_size=6))
+@settings(max_examples=200, deadline=None)
+def test_what_is_left(text, cuts):
+    cuts = sorted({c for c in cuts if c <= len(text)})
+    runs = [(a, b) for a, b in zip(cuts[::2], cuts[1::2], strict=False) if not text[a:b].isspace() and not text[a].isspace() and not text[b - 1].isspace()]
+    runs = substring.spans(text, [], []) if not runs else [r for k, r in enumerate(runs) if not k or not text[runs[k - 1][1] : r[0]].isspace()]
+    kept = [text[a:b] for a, b in zip([0, *(b for _, b in runs)], [*(a for a, _ in runs), len(text)], strict=True)]
+    assert "".join(substring.without(text, runs).split()) == "".join("".join(kept).split())
+
+
+def test_a_long_text_with_many_repeats_is_linear():
+    text = " ".join(f"w{k}" for k in range(200_000))
+    runs = [(m.start(), m.end()) for k, m in enumerate(re.finditer(r"\w+", text)) if k % 2]
+    assert len(substring.without(text, runs).split()) == 100_000
 
 
 def test_substrings_of_odd_rows(spark, odd, nothing):
