@@ -15,15 +15,20 @@ one space. Repeated rows are each encoded.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import mmap
 import os
 import re
 import tempfile
 from collections import Counter
+from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
@@ -33,13 +38,17 @@ from tokenizers import Tokenizer
 
 from . import base
 
-#: Chunks and words of one task's memo; when it is full it starts again.
-MEMO_WORDS = 300_000
-_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
+#: Chunks of one task's memo; when it is full it becomes the older one, of which what is met again is taken over.
+MEMO_CHUNKS = 250_000
+#: Words of more bytes than this are merged by a heap.
+LONG_WORD = 48
+_LETTERS, _NUMBERS, _SPACES = "a-zªµºßà-öø-ɏ", "0-9²³¹¼-¾", "\t-\r \x85\xa0"  # of lower-cased text up to U+024F
+_LATIN_WORD = re.compile(f"[{_LETTERS}]+|[{_NUMBERS}]|'(?:s|t|re|ve|m|ll|d)|[^{_SPACES}{_LETTERS}{_NUMBERS}]+")
 _SPACE = regex.compile(r"\p{White_Space}+")
-_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-_BEYOND_LATIN = re.compile("[^\\x00-\u024f]")
 _ODD_SPACE = re.compile(r"[\x1c-\x1f]")  # split() takes these for white space, the vocabulary's rules don't
+_BEYOND_LATIN = re.compile("[^\\x00-ɏ]")
+#: The rank of pairs that never merge.
+NEVER = 1 << 40
 
 
 @lru_cache(maxsize=1)
@@ -50,6 +59,26 @@ def byte_letters() -> list[str]:
     return [chr(b if b in shown else next(spare)) for b in range(256)]
 
 
+@dataclass(frozen=True)
+class Ragged:
+    """Rows of numbers, end to end."""
+
+    values: np.ndarray
+    sizes: np.ndarray
+
+    @classmethod
+    def of(cls, rows: list[list[int]]) -> Ragged:
+        return cls(np.array([x for row in rows for x in row], np.int64), np.array([len(row) for row in rows], np.int64))
+
+    def rows(self) -> list[list[int]]:
+        return [x.tolist() for x in np.split(self.values, np.cumsum(self.sizes)[:-1])] if len(self.sizes) else []
+
+    def take(self, k: np.ndarray) -> Ragged:
+        sizes = self.sizes[k]
+        begins = (np.cumsum(self.sizes) - self.sizes)[k]
+        return Ragged(self.values[np.repeat(begins - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())], sizes)
+
+
 class Vocabulary:
     """A word-end BPE vocabulary: token numbers, merge ranks and special tokens."""
 
@@ -58,29 +87,93 @@ class Vocabulary:
         model = data["model"]
         self.number: dict[str, int] = model["vocab"]
         self.end: str = model["end_of_word_suffix"]
-        self.rank = {tuple(m) if isinstance(m, list) else tuple(m.split(" ")): k for k, m in enumerate(model["merges"])}
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        keys = np.array([self.number[x] << 32 | self.number[y] for x, y in pairs], np.int64)
+        order = np.argsort(keys)
+        self.pairs, self.ranks = np.append(keys[order], -1), np.append(order, NEVER)
+        self.joined = np.append(np.array([self.number[x + y] for x, y in pairs], np.int64)[order], -1)
+        letters = byte_letters()
+        self.inner, self.last = (np.array([self.number.get(x + end, -1) for x in letters], np.int64) for end in ("", self.end))
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.token = {i: t for t, i in (self.number | self.special).items()}
         self.special_at = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
-    def merge(self, word: str) -> list[int]:
-        """The ids of one word: the best-ranked pair is joined, the leftmost first, until no pair has a rank."""
-        letters, rank, none = byte_letters(), self.rank, 1 << 30
-        parts = [letters[b] for b in word.encode()]
-        parts[-1] += self.end
-        ranks = [rank.get(p, none) for p in zip(parts, parts[1:], strict=False)]
-        while ranks and (best := min(ranks)) < none:
-            k = ranks.index(best)
-            parts[k] += parts.pop(k + 1)
-            ranks.pop(k)
-            if k < len(ranks):
-                ranks[k] = rank.get((parts[k], parts[k + 1]), none)
-            if k:
-                ranks[k - 1] = rank.get((parts[k - 1], parts[k]), none)
-        return [self.number[p] for p in parts]
-
-    def decode(self, ids: list[int]) -> str:
-        return " ".join(self.token[i] for i in ids)
+    def looked_up(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The places of pairs in the merge table; its last entry for pairs that never merge."""
+        key = left << 32 | right
+        k = np.searchsorted(self.pairs[:-1], key)
+        return np.where(self.pairs[k] == key, k, len(self.pairs) - 1)
+
+    def merge_all(self, words: list[str]) -> Ragged:
+        """The ids of each word: its best-ranked pair is joined, the leftmost first, until no pair has a rank. Words of like length take their n-th join together."""
+        raw = [w.encode() for w in words]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        order = np.argsort(size, kind="stable")
+        short = order[: np.searchsorted(size[order], LONG_WORD, "right")]
+        out = [Ragged.of([])]
+        for start in range(0, len(short), 4096):
+            own = short[start : start + 4096]
+            width = int(size[own[-1]])
+            letters = np.frombuffer(b"".join(raw[k].ljust(width, b"\0") for k in own), np.uint8).reshape(-1, width)
+            ends = size[own, None] - 1
+            place = np.arange(width)
+            out.append(self._joined(np.where(place < ends, self.inner[letters], np.where(place == ends, self.last[letters], -1))))
+        out.append(Ragged.of([self._merged(raw[k]) for k in order[len(short) :].tolist()]))
+        return Ragged(np.concatenate([x.values for x in out]), np.concatenate([x.sizes for x in out])).take(np.argsort(order, kind="stable"))
+
+    def _joined(self, ids: np.ndarray) -> Ragged:
+        """ids: a word a row, -1 after its end."""
+        rows, left = np.arange(len(ids)), ids.shape[1]
+        rank = self.ranks[np.where(ids[:, 1:] < 0, len(self.pairs) - 1, self.looked_up(ids[:, :-1], ids[:, 1:]))] if left > 1 else np.zeros((len(ids), 0), np.int64)
+        rank = np.concatenate((rank, np.full((len(ids), 1), NEVER)), 1)
+        done = ids.copy()
+        going, now = rows, ids
+        while len(going):
+            at = rank.argmin(1)
+            more = rank[np.arange(len(at)), at] < NEVER
+            done[going[~more]] = now[~more]
+            going, now, rank, at = going[more], now[more], rank[more], at[more]
+            if not len(going):
+                break
+            each, place = np.arange(len(at)), np.arange(left)
+            new = self.joined[self.looked_up(now[each, at], now[each, at + 1])]
+            take = np.minimum(place + (place > at[:, None]), left - 1)
+            now, rank = np.take_along_axis(now, take, 1), np.take_along_axis(rank, np.minimum(place + (place >= at[:, None]), left - 1), 1)
+            now[:, -1], rank[:, -1] = -1, NEVER
+            now[each, at] = new
+            for k, ok in ((at, now[each, np.minimum(at + 1, left - 1)] >= 0), (at - 1, at > 0)):
+                rank[each[ok], k[ok]] = self.ranks[self.looked_up(now[each[ok], k[ok]], now[each[ok], k[ok] + 1])]
+            rank[each, at] = np.where(now[each, np.minimum(at + 1, left - 1)] >= 0, rank[each, at], NEVER)
+        return Ragged(done[done >= 0], (done >= 0).sum(1))
+
+    def _merged(self, word: bytes) -> list[int]:
+        """The same for one long word: a heap of pairs over a linked list of its parts."""
+        letters = np.frombuffer(word, np.uint8)
+        ids = [*self.inner[letters[:-1]].tolist(), int(self.last[letters[-1]])]
+        after, before = [*range(1, len(ids)), -1], [*range(-1, len(ids) - 1)]
+        found = self.looked_up(np.array(ids[:-1], np.int64), np.array(ids[1:], np.int64))
+        table = {(a, b): (int(self.ranks[k]), int(self.joined[k])) for a, b, k in zip(ids, ids[1:], found.tolist(), strict=False) if k < len(self.pairs) - 1}
+
+        def pair(a: int, b: int) -> tuple[int, int]:
+            if (a, b) not in table:
+                k = int(self.looked_up(np.array([a]), np.array([b]))[0])
+                table[a, b] = int(self.ranks[k]), int(self.joined[k])
+            return table[a, b]
+
+        heap = [(r, k, ids[k], ids[k + 1]) for k in range(len(ids) - 1) if (r := pair(ids[k], ids[k + 1])[0]) < NEVER]
+        heapq.heapify(heap)
+        while heap:
+            _, k, a, b = heapq.heappop(heap)
+            to = after[k]
+            if ids[k] != a or to < 0 or ids[to] != b:
+                continue  # one of the two has been joined since
+            ids[k], ids[to], after[k] = pair(a, b)[1], -1, after[to]
+            if after[k] >= 0:
+                before[after[k]] = k
+            for x, y in ((before[k], k), (k, after[k])):
+                if x >= 0 and y >= 0 and (r := pair(ids[x], ids[y])[0]) < NEVER:
+                    heapq.heappush(heap, (r, x, ids[x], ids[y]))
+        return [x for x in ids if x >= 0]
 
 
 def chunks(text: str, library: Tokenizer) -> list[str]:
@@ -96,12 +189,7 @@ def words(chunk: str, library: Tokenizer) -> list[str]:
     """The words of a chunk, which has no white space."""
     if _BEYOND_LATIN.search(chunk):
         return [chunk[a:b] for _, (a, b) in library.pre_tokenizer.pre_tokenize_str(chunk)]
-    if chunk.isalpha():
-        return [chunk]
-    core = chunk.rstrip(_MARKS)
-    if core.isalpha():  # letters, then marks of which none is an apostrophe: two words
-        return [core, chunk[len(core) :]]
-    return _SPLIT.findall(chunk)
+    return _LATIN_WORD.findall(chunk)
 
 
 @lru_cache(maxsize=2)
@@ -116,8 +204,6 @@ def count_words(docs: DataFrame, vocabulary: str, text: str = "text", flush: int
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
-        import pyarrow as pa
-
         seen: Counter[str] = Counter()
         library = library_of(sent.value)
 
@@ -127,10 +213,9 @@ def count_words(docs: DataFrame, vocabulary: str, text: str = "text", flush: int
                 for word in words(chunk, library):
                     total[word] += n
             seen.clear()
-            names = list(total)
+            names, counts = list(total), list(total.values())
             for k in range(0, len(names), 50_000):
-                part = names[k : k + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([total[w] for w in part], pa.int64())], ["word", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(names[k : k + 50_000], pa.string()), pa.array(counts[k : k + 50_000], pa.int64())], ["word", "n"])
 
         for batch in batches:
             for x in batch.column(0).to_pylist():
@@ -210,8 +295,8 @@ class Lexicon:
         with open(path, "rb") as f:
             return cls(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
-    def ids_of(self, asked: list[str]) -> list[list[int] | None]:
-        """The ids of each word of the lexicon, None for others. All words take their n-th step together."""
+    def numbers(self, asked: list[str]) -> np.ndarray:
+        """The number of each word of the lexicon, -1 for others. All words take their n-th step together."""
         raw = [w.encode() for w in asked]
         size = np.fromiter(map(len, raw), np.int64, len(raw))
         order = np.argsort(-size, kind="stable")
@@ -220,6 +305,8 @@ class Lexicon:
         going = order  # words that still follow arcs, the longest first
         for step in range(int(size.max(initial=0))):
             going = going[: np.searchsorted(-size[going], -step, "left")]
+            if not len(going):
+                break
             key = node[going] << 8 | flat[starts[going] + step]
             k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
             met = self.keys[k] == key
@@ -227,8 +314,10 @@ class Lexicon:
             going, k = going[met], k[met]
             number[going] += self.output[k]
             node[going] = self.target[k]
-        known = (node >= 0) & (self.final[node] == 1)
-        return [self.ids[self.run[n] : self.run[n + 1]].tolist() if x else None for x, n in zip(known.tolist(), number.tolist(), strict=True)]
+        return np.where((node >= 0) & (self.final[node] == 1), number, -1)
+
+    def ids_of(self, numbers: np.ndarray) -> Ragged:
+        return Ragged(self.ids, np.diff(self.run.astype(np.int64))).take(numbers)
 
 
 class Codec:
@@ -236,41 +325,71 @@ class Codec:
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon, library: Tokenizer):
         self.vocabulary, self.lexicon, self.library = vocabulary, lexicon, library
-        # two memos of strings: the ids and the tokens of a chunk, joined by spaces; a special token's key starts with a space
-        self.ids: dict[str, str] = {}
-        self.tokens: dict[str, str] = {}
-
-    def learn(self, asked: set[str]) -> None:
-        """Put chunks into the memos: their words by the automaton, or else by merging."""
-        ids, tokens = self.ids, self.tokens
-        for c in [c for c in asked if c[0] == " "]:
-            ids[c], tokens[c] = str(self.vocabulary.special[c[1:]]), c[1:]
-            asked.discard(c)
-        parts = {c: words(c, self.library) for c in asked}
-        new = [w for w in {w for ws in parts.values() for w in ws} if w not in ids]
-        for word, own in zip(new, self.lexicon.ids_of(new), strict=True):
-            own = self.vocabulary.merge(word) if own is None else own
-            ids[word], tokens[word] = " ".join(map(str, own)), self.vocabulary.decode(own)
-        for c, ws in parts.items():
-            if len(ws) > 1:
-                ids[c], tokens[c] = " ".join([ids[w] for w in ws]), " ".join([tokens[w] for w in ws])
-
-    def encoded(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
-        """Of each whole text: number of ids, ids joined by a space, decoded text."""
-        special, cut = self.vocabulary.special_at, []
+        # of a chunk: its ids and its tokens, each joined by spaces, and their number; a special token's key starts with a space
+        self.memo: dict[str, tuple[str, str, int]] = {}
+        self.older: dict[str, tuple[str, str, int]] = {}
+        self.digits = pa.array([str(k) for k in range(max(vocabulary.token) + 1)])
+        self.token = pa.array([vocabulary.token.get(k, "") for k in range(max(vocabulary.token) + 1)])
+
+    def ids(self, asked: list[str]) -> Ragged:
+        """The ids of words: by the automaton, or else by merging."""
+        number = self.lexicon.numbers(asked)
+        unseen = np.flatnonzero(number < 0)
+        known, merged = self.lexicon.ids_of(number[number >= 0]), self.vocabulary.merge_all([asked[k] for k in unseen.tolist()])
+        order = np.concatenate((np.flatnonzero(number >= 0), unseen))
+        return Ragged(np.concatenate((known.values, merged.values)), np.concatenate((known.sizes, merged.sizes))).take(np.argsort(order, kind="stable"))
+
+    def learn(self, asked: list[str]) -> None:
+        """Put chunks that it lacks into the memo."""
+        older = {c: x for c in asked if (x := self.older.get(c))}
+        self.memo |= older
+        for start in range(0, len(new := [c for c in asked if c not in older]), 50_000):
+            own = new[start : start + 50_000]
+            parts = [[c] if c[0] == " " else words(c, self.library) for c in own]
+            every = set().union(*parts)
+            special = [w for w in every if w[0] == " "]
+            plain = list(every.difference(special))
+            ids = self.ids(plain)
+            ids = Ragged(np.concatenate((ids.values, [self.vocabulary.special[w[1:]] for w in special])).astype(np.int64), np.concatenate((ids.sizes, np.ones(len(special), np.int64))))
+            place = {w: k for k, w in enumerate([*plain, *special])}
+            lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+            of = Ragged(np.fromiter(map(place.__getitem__, chain.from_iterable(parts)), np.int64, lengths.sum()), lengths)
+            spread = ids.take(of.values)
+            ends = np.cumsum(spread.sizes)
+            sizes = np.diff(np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(of.sizes)))])
+            self.memo.update(zip(own, zip(strings_of(joined(self.digits, spread.values, sizes)), strings_of(joined(self.token, spread.values, sizes)), sizes.tolist(), strict=True), strict=True))
+
+    def encoded(self, texts: list[str | None]) -> list[pa.Array]:
+        """Of each whole text: number of ids, ids joined by a space, decoded text; as columns."""
+        special, flat, sizes = self.vocabulary.special_at, [], []
         for text in texts:
-            parts, at, text = [], 0, text or ""
+            before, at, text = len(flat), 0, text or ""
             for m in special.finditer(text) if special else ():
-                parts += [*chunks(text[at : m.start()], self.library), " " + m[0]]
+                flat += [*chunks(text[at : m.start()], self.library), " " + m[0]]
                 at = m.end()
-            cut.append(parts + chunks(text[at:] if at else text, self.library))
-        seen = set().union(*cut)
-        if len(self.ids) + len(seen) > MEMO_WORDS:
-            self.ids, self.tokens = {}, {}
-        self.learn({c for c in seen if c not in self.ids})
-        ids, tokens = self.ids.__getitem__, self.tokens.__getitem__
-        rows = [(" ".join(map(ids, parts)), " ".join(map(tokens, parts))) for parts in cut]
-        return [(x.count(" ") + 1 if x else 0, x, y) for x, y in rows]
+            flat += chunks(text[at:] if at else text, self.library)
+            sizes.append(len(flat) - before)
+        coded = pa.array(flat, pa.string()).dictionary_encode()
+        each, index = strings_of(coded.dictionary), coded.indices.to_numpy()
+        if len(self.memo) + len(each) > MEMO_CHUNKS:
+            self.memo, self.older = {}, self.memo
+        self.learn([c for c in each if c not in self.memo])
+        memo = self.memo
+        found = [memo[c] for c in each]
+        ids, tokens = (pa.array([x[k] for x in found], pa.string()) for k in (0, 1))
+        n = np.concatenate(([0], np.cumsum(np.array([x[2] for x in found], np.int64)[index])))
+        ends = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+        return [pa.array(np.diff(n[ends])), joined(ids, index, np.array(sizes)), joined(tokens, index, np.array(sizes))]
+
+
+def strings_of(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+def joined(strings: pa.Array, index: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """The strings of each row, joined by a space."""
+    ends = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), strings.take(pa.array(index))), " ")
 
 
 _parts: dict[str, tuple[Vocabulary, Lexicon, Tokenizer]] = {}
@@ -300,8 +419,8 @@ def frequent_words(docs: DataFrame, vocabulary: str, most: int, least: int = 3)
     return chosen
 
 
-#: Files already shipped, by application; Spark takes a name once.
-_shipped: set[tuple[str, str]] = set()
+#: Files already shipped, by application; Spark takes a name once. Each lies in a folder that goes when the driver ends.
+_shipped: dict[tuple[str, str], tempfile.TemporaryDirectory] = {}
 
 
 def prepared(docs: DataFrame, vocabulary_path: str, lexicon_words: int = 200_000):
@@ -309,14 +428,15 @@ def prepared(docs: DataFrame, vocabulary_path: str, lexicon_words: int = 200_000
     with open(vocabulary_path, encoding="utf-8") as f:
         text = f.read()
     vocabulary = Vocabulary(text)
-    raw = Lexicon.compiled({w: vocabulary.merge(w) for w in frequent_words(docs, text, lexicon_words)})
+    frequent = frequent_words(docs, text, lexicon_words)
+    raw = Lexicon.compiled(dict(zip(frequent, vocabulary.merge_all(frequent).rows(), strict=True)))
     sc = docs.sparkSession.sparkContext
     name = f"lexicon-{hashlib.sha256(raw).hexdigest()[:24]}"
     if (sc.applicationId, name) not in _shipped:
-        with open(os.path.join(tempfile.mkdtemp(prefix="spark-"), name), "wb") as f:
+        folder = _shipped[sc.applicationId, name] = tempfile.TemporaryDirectory(prefix="spark-")
+        with open(os.path.join(folder.name, name), "wb") as f:
             f.write(raw)
         sc.addFile(f.name)  # Spark sends it to each executor's own folder once
-        _shipped.add((sc.applicationId, name))
     return sc.broadcast((name, text))
 
 

@@ -20,7 +20,7 @@ def codec():
     text = open(PATH).read()
     v = bpe.Vocabulary(text)
     listed = ["the", "of", "a", "abc", "abd", "été", "zebra", "house"]
-    return bpe.Codec(v, bpe.Lexicon(bpe.Lexicon.compiled({w: v.merge(w) for w in listed})), bpe.library_of(text))
+    return bpe.Codec(v, bpe.Lexicon(bpe.Lexicon.compiled(dict(zip(listed, v.merge_all(listed).rows(), strict=True)))), bpe.library_of(text))
 
 
 @pytest.fixture(scope="module")
@@ -29,7 +29,7 @@ def library():
 
 
 def same(codec, library, texts):
-    for text, (n, ids, decoded) in zip(texts, codec.encoded(texts), strict=True):
+    for text, n, ids, decoded in zip(texts, *(x.to_pylist() for x in codec.encoded(texts)), strict=True):
         want = library.encode(text or "", add_special_tokens=False).ids
         assert (n, ids) == (len(want), " ".join(map(str, want))), text
         assert decoded == library.decode(want, skip_special_tokens=False), text
@@ -48,9 +48,25 @@ def test_bpe_of_any_text(codec, library, texts):
 def test_lexicon_is_minimal_and_exact():
     words = {w: [i, i + 1] for i, w in enumerate(["tap", "taps", "top", "tops", "été", "x"])}
     lexicon = bpe.Lexicon(bpe.Lexicon.compiled(words))
-    assert lexicon.ids_of([*words, "", "t", "tapss", "zz", "é"]) == [*words.values(), None, None, None, None, None]
+    number = lexicon.numbers([*words, "", "t", "tapss", "zz", "é"])
+    assert lexicon.ids_of(number[:6]).rows() == [*words.values()] and set(number[6:]) == {-1}
     assert len(lexicon.final) < sum(len(w.encode()) for w in words) - 6  # ap and op share their ends
-    assert bpe.Lexicon(bpe.Lexicon.compiled({})).ids_of(["a", ""]) == [None, None]
+    assert set(bpe.Lexicon(bpe.Lexicon.compiled({})).numbers(["a", ""])) == {-1}
+
+
+def test_merging_of_long_words(codec, library):
+    """By rows for short words and by a heap for long ones, with the same ids; a word of 600,000 letters ends."""
+    v = codec.vocabulary
+    for word in ("x", "a" * 100, "thntinor" * 40, "é" * 30, "日本語" * 30, "ab" * 500, "antidisestablishmentarianism"):
+        want = library.encode(word, add_special_tokens=False).ids
+        assert v.merge_all(["of", word]).rows()[1] == v._merged(word.encode()) == want
+    assert len(v.merge_all(["abcdxy" * 100_000]).values) > 100_000
+
+
+def test_memo_that_turns_over(codec, library, monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO_CHUNKS", 5)
+    for _ in range(3):
+        same(codec, library, ["the quick brown fox, jumps", "over the lazy dog.", "the dog. over", "fox, fox, fox,"])
 
 
 def test_bpe_query(spark, sf_dir, library):
