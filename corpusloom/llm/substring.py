@@ -118,10 +118,10 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
 
 def ranges(words: np.ndarray, chains: list, min_words: int) -> list[tuple[int, int]]:
     """The word ranges to remove. A chain: its first word, the word after its last, the distance to its holder in the same text (0: another text), the holder's words before it (from the nearest on) and after it."""
-    out = []
+    out, words = [], words.astype("<u4")
     for low, high, shift, before, after in chains:
-        start = low - common(words[:low][::-1], np.frombuffer(before, "<u8"))
-        end = high + common(words[high:], np.frombuffer(after, "<u8"))
+        start = low - common(words[:low][::-1], np.frombuffer(before, "<u4"))
+        end = high + common(words[high:], np.frombuffer(after, "<u4"))
         if shift:
             start = max(start, end - shift)
         if end - start >= min_words:
@@ -191,8 +191,8 @@ def _around(size: int, reach: int):
 
     def work(rows):
         for row in rows:
-            words, asked = hashes(row["text"], memo), {(x["digest"], x["place"]) for x in row["asked"]}
-            yield ([{"digest": d, "before": words[max(0, p - reach) : p][::-1].astype("<u8").tobytes(), "after": words[p + size : p + size + reach].astype("<u8").tobytes()} for d, p in sorted(asked)],)
+            words, asked = hashes(row["text"], memo).astype("<u4"), {(x["digest"], x["place"]) for x in row["asked"]}
+            yield ([{"digest": d, "before": words[max(0, p - reach) : p][::-1].tobytes(), "after": words[p + size : p + size + reach].tobytes()} for d, p in sorted(asked)],)
 
     return work
 
@@ -244,6 +244,8 @@ def repeated(docs: DataFrame, min_words: int = 50, line_words: int | None = None
     unit = F.struct("place", "digest", F.col("first.place").alias("at"), F.col("first.h").alias("held_h"), F.col("first.doc_id").alias("held_by"))
     by_text = later.groupBy("doc_id", "h").agg(F.collect_list(F.when(F.col("place") < _LINES, unit)).alias("units"), F.collect_set(F.when(F.col("place") >= _LINES, F.col("place") - _LINES)).alias("lines"))
     by_text = base.written(by_text, "later")
+    base.forget(units)
+    base.forget(first)
     chains = base.written(by_text.select("doc_id", "h", "units").mapInArrow(_chained(size), _CHAINS), "chains")
 
     # the words around the chains' ends, asked of their holders
