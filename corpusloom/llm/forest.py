@@ -1,17 +1,20 @@
 """Approximate nearest neighbours by a hash-prefix forest.
 
-Every tree gives a vector a string of `letters` letters out of 16: the nearest of 16
-codewords of one codebook per letter. The codebooks are fitted on a bounded sample; every
-row is indexed. In a tree the rows are kept as sorted arrays of strings, dealt over tasks
-by first letter and, where a letter has many rows, by blocks of them.
-
-A search has two steps. Descending: each query finds in each tree, by binary search, how
-many rows share its prefix of every length, up to its longest match. Ascending, in all
-trees at once: the longest length at which the trees together hold enough rows is taken
-(`share` of all rows, at least `least`), down to length 0, which is every row. The rows
-with that prefix are then compared by Euclidean distance in double precision, task by task,
-and only the best of a task leave it. There is no cap on a prefix's rows: hot prefixes are
-dealt over more blocks, of rows as well as of queries.
+In each tree a vector has a string of `letters` letters out of 16. A letter is the one of
+16 directions, drawn for that tree and place alone, along which the vector less the mean
+reaches furthest; the directions are random mixtures of the vectors of a bounded sample, so
+they lie where the vectors do. Every row is indexed.
+
+The rows are dealt over shards of about `shard_rows` by a hash of their ids; each shard
+keeps, for every tree, the sorted array of its rows' strings. A query visits each shard. It
+descends in every tree, by binary search, to its longest matching prefix and then ascends
+in all trees at once, letter by letter, until the distinct rows that share a prefix of that
+length with it in some tree are `share` of the shard's rows and more than k. These rows are
+compared once each, by Euclidean distance in double precision, and the best k of a shard
+leave its task. There is no cap: what shares the prefix is compared, however much it is.
+
+Vectors are shuffled once. A task reads a shard's rows and then its queries as a stream, so
+it holds one shard and one batch of queries.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold null or
 non-finite components take no part; of rows with one vec_id the smallest vector counts; a
@@ -33,37 +36,79 @@ LETTERS = 16
 
 
 @dataclass(frozen=True)
-class Books:
-    """codes: trees x letters x 16 x dimensions."""
+class Directions:
+    """of: dimensions x (trees * letters * 16), of length 1."""
 
-    codes: np.ndarray
+    mean: np.ndarray
+    of: np.ndarray
+    trees: int
+    letters: int
 
     def strings(self, x: np.ndarray) -> np.ndarray:
-        """rows x trees: the strings as numbers, the first letter highest."""
-        trees, letters, _, dim = self.codes.shape
-        flat = self.codes.reshape(-1, dim)
-        out = np.zeros((len(x), trees), np.int64)
+        """trees x rows: the strings as numbers, the first letter highest."""
+        out = np.zeros((len(x), self.trees), np.int64)
         for k in range(0, len(x), 256):  # bounded memory
-            near = (2 * x[k : k + 256] @ flat.T - (flat**2).sum(1)).reshape(-1, trees, letters, LETTERS).argmax(-1)
-            for j in range(letters):
+            near = ((x[k : k + 256] - self.mean).astype(np.float32) @ self.of).reshape(-1, self.trees, self.letters, LETTERS).argmax(-1)
+            for j in range(self.letters):
                 out[k : k + 256] = out[k : k + 256] * LETTERS + near[:, :, j]
-        return out
-
-
-def fit(sample: np.ndarray, trees: int, letters: int, seed: int = 7, rounds: int = 8) -> Books:
-    """k-means codebooks, each from another start."""
-    rng = np.random.default_rng(seed)
-    out = np.zeros((trees, letters, LETTERS, sample.shape[1]))
-    for t in range(trees):
-        for j in range(letters):
-            c = sample[rng.choice(len(sample), LETTERS, replace=len(sample) < LETTERS)].copy()
-            for _ in range(rounds):
-                near = (2 * sample @ c.T - (c**2).sum(1)).argmax(1)
-                n = np.bincount(near, minlength=LETTERS)
-                total = np.stack([np.bincount(near, sample[:, d], LETTERS) for d in range(sample.shape[1])], 1)
-                c = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], sample[rng.integers(len(sample), size=LETTERS)])
-            out[t, j] = c
-    return Books(out)
+        return out.T
+
+
+def fit(sample: np.ndarray, trees: int, letters: int, seed: int = 7) -> Directions:
+    rng, mean = np.random.default_rng(seed), sample.mean(0)
+    parts = [(sample - mean).T @ rng.normal(size=(len(sample), letters * LETTERS)) for _ in range(trees)]
+    of = np.concatenate(parts, 1)
+    return Directions(mean, (of / np.maximum(np.linalg.norm(of, axis=0), 1e-12)).astype(np.float32), trees, letters)
+
+
+class Shard:
+    """Some rows with, for each tree, the sorted array of their strings."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, directions: Directions):
+        self.ids, self.x, self.directions = ids, x, directions
+        codes = directions.strings(x)
+        self.order = np.argsort(codes, axis=1, kind="stable")
+        self.sorted = np.take_along_axis(codes, self.order, 1)
+
+    def descend(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For strings (trees x queries): where the rows begin and end that share their first 1 to `letters` letters; letters x trees x queries."""
+        begin = np.zeros((self.directions.letters, *codes.shape), np.int64)
+        end = begin.copy()
+        for t, (stored, own) in enumerate(zip(self.sorted, codes, strict=True)):
+            for n in range(1, self.directions.letters + 1):
+                width = np.int64(LETTERS) ** (self.directions.letters - n)
+                low = own // width * width
+                begin[n - 1, t], end[n - 1, t] = np.searchsorted(stored, low), np.searchsorted(stored, low + width)
+        return begin, end
+
+    def candidates(self, begin: np.ndarray, end: np.ndarray, enough: int) -> np.ndarray:
+        """The rows (a mask) met on the way up from the deepest prefixes (letters x trees) until they are enough; at the root, every row."""
+        met = np.zeros(len(self.ids), bool)
+        most = (end - begin).sum(1)
+        for n in range(len(begin) - 1, -1, -1):
+            if most[n] < enough:
+                continue  # not even if all of them were distinct; they are met again one letter higher
+            for order, a, b in zip(self.order, begin[n].tolist(), end[n].tolist(), strict=True):
+                met[order[a:b]] = True
+            if np.count_nonzero(met) >= enough:
+                return met
+        return np.ones(len(self.ids), bool)
+
+    def nearest(self, ids: np.ndarray, x: np.ndarray, k: int, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, row, distance) of the k nearest found of each query."""
+        begin, end = self.descend(self.directions.strings(x))
+        enough = max(k + 1, int(np.ceil(share * len(self.ids))))
+        out = []
+        for j, (q, v) in enumerate(zip(ids.tolist(), x, strict=True)):
+            met = np.flatnonzero(self.candidates(begin[:, :, j], end[:, :, j], enough) & (self.ids != q))
+            d = np.sqrt(((self.x[met] - v) ** 2).sum(1))
+            if len(d) > k:
+                best = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
+                met, d = met[best], d[best]
+            own = self.ids[met]
+            best = np.lexsort((own, d))[:k]
+            out.append((np.full(len(best), q), own[best], d[best]))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 def usable(vectors: DataFrame, key: str = "vec_id", value: str = "embedding") -> DataFrame:
@@ -81,94 +126,45 @@ def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def _index(rows: DataFrame, books, with_vectors: bool) -> DataFrame:
-    """One row per tree: key, tree, head (first letter), code and, if asked for, the vector."""
-    key, value = rows.columns
-    shift = np.int64(LETTERS) ** (books.value.codes.shape[1] - 1)
-
-    def run(batches):
-        import pyarrow as pa
-
-        for whole in batches:
-            for start in range(0, whole.num_rows, 1024):
-                batch = whole.slice(start, 1024)
-                codes = books.value.strings(_matrix(batch.column(1)))
-                n, trees = codes.shape
-                take = pa.array(np.repeat(np.arange(n), trees))
-                cols = [batch.column(0).take(take), pa.array(np.tile(np.arange(trees, dtype=np.int32), n)), pa.array((codes.ravel() // shift).astype(np.int32)), pa.array(codes.ravel())]
-                yield pa.RecordBatch.from_arrays([*cols, batch.column(1).take(take)][: 5 if with_vectors else 4], ["id", "tree", "head", "code", "vector"][: 5 if with_vectors else 4])
-
-    kind = rows.schema[value].dataType.simpleString()
-    return rows.mapInArrow(run, "id long, tree int, head int, code long" + f", vector {kind}" * with_vectors)
-
-
-def search(vectors: DataFrame, queries: Column, k: int = 10, trees: int = 16, letters: int = 6, share: float = 0.5, least: int = 2000, sample: int = 4096, block_rows: int = 20_000, block_queries: int = 2_000, key: str = "vec_id", value: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, queries: Column, k: int = 10, trees: int = 128, letters: int = 6, share: float = 0.2, sample: int = 4096, shard_rows: int = 4096, key: str = "vec_id", value: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row for which `queries` holds."""
     spark = vectors.sparkSession
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = base.written(usable(vectors, key, value).select(F.col(key).cast("long").alias(key), value), "vectors")
     count = rows.count()
     if not count:
-        return empty
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     fitted = _matrix(base.bounded_sample(rows, sample, key).toArrow().column(value).combine_chunks())
-    books = spark.sparkContext.broadcast(fit(fitted, trees, letters))
-    keys = ["tree", "head", "rb", "qb"]
-    codes = _index(rows, books, False)
-    asked = _index(rows.filter(queries), books, True)
-    # one line for each tree and first letter: at most trees * 16
-    sizes = codes.groupBy("tree", "head").count().join(asked.groupBy("tree", "head").agg(F.count("*").alias("q")), ["tree", "head"], "left")
-    sizes = sizes.select("tree", "head", F.ceil(F.col("count") / block_rows).cast("int").alias("n_rows"), F.greatest(F.lit(1), F.ceil(F.coalesce("q", F.lit(0)) / block_queries)).cast("int").alias("n_queries"))
-    sizes = spark.createDataFrame(sizes.collect(), "tree int, head int, n_rows int, n_queries int")
-
-    def deal(df, own):
-        out = df.join(F.broadcast(sizes), ["tree", "head"])
-        n_own, n_other, other = ("n_rows", "n_queries", "qb") if own == "rb" else ("n_queries", "n_rows", "rb")
-        return out.withColumn(own, F.pmod(F.xxhash64("id"), F.col(n_own)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(n_other) - 1))).drop("n_rows", "n_queries")
-
-    def descend(rows, queries):
-        import pandas as pd
-
-        stored, code = np.sort(rows["code"].to_numpy(np.int64)), queries["code"].to_numpy(np.int64)
-        met = np.zeros((len(code), letters), np.int64)
-        for x in range(1, letters + 1):
-            width = np.int64(LETTERS) ** (letters - x)
-            low = code // width * width
-            met[:, x - 1] = np.searchsorted(stored, low + width) - np.searchsorted(stored, low)
-        return pd.DataFrame({"id": queries["id"].to_numpy(np.int64)} | {f"m{x + 1}": met[:, x] for x in range(letters)})
-
-    met = deal(codes, "rb").groupBy(*keys).cogroup(deal(asked.select("id", "tree", "head", "code"), "qb").groupBy(*keys)).applyInPandas(descend, "id long, " + ", ".join(f"m{x + 1} long" for x in range(letters)))
-    total = met.groupBy("id").agg(*(F.sum(f"m{x + 1}").alias(f"m{x + 1}") for x in range(letters)))
-    enough = max(least, int(share * count)) + trees  # every tree also holds the query itself
-    depth = F.coalesce(*(F.when(F.col(f"m{x}") >= enough, x) for x in range(letters, 0, -1)), F.lit(0))
-    levels = base.written(total.select("id", depth.alias("depth")), "levels")
-    at = asked.join(levels, "id")
-    deep = at.filter("depth > 0")
-    # length 0: all rows, which are those of the first tree
-    heads = F.broadcast(sizes.filter("tree = 0").select(F.col("head").alias("every")))
-    flat = at.filter("depth = 0 and tree = 0").join(heads).withColumn("head", F.col("every")).drop("every")
-
-    def ascend(rows, queries):
-        import pandas as pd
-
-        out: list[tuple[np.ndarray, ...]] = []
-        if len(queries) and len(rows):
-            order = np.argsort(rows["code"].to_numpy(), kind="stable")
-            stored, ids = rows["code"].to_numpy()[order], rows["id"].to_numpy()[order]
-            x = np.stack(rows["vector"].to_list()).astype(np.float64)[order]
-            for q, code, depth, vector in zip(queries["id"], queries["code"], queries["depth"], queries["vector"], strict=True):
-                width = np.int64(LETTERS) ** (letters - depth)
-                a, b = np.searchsorted(stored, [code // width * width, code // width * width + width]) if depth else (0, len(stored))
-                d = np.sqrt(((x[a:b] - np.asarray(vector, np.float64)) ** 2).sum(1))
-                d[ids[a:b] == q] = np.inf
-                best = np.nonzero(d <= np.partition(d, k - 1)[k - 1])[0] if len(d) > k else np.arange(len(d))
-                best = best[np.isfinite(d[best])]
-                best = best[np.lexsort((ids[a:b][best], d[best]))[:k]]
-                out.append((np.full(len(best), q), ids[a:b][best], d[best]))
-        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), cols, strict=True)))
-
-    found = deal(_index(rows, books, True), "rb").groupBy(*keys).cogroup(deal(deep.unionByName(flat), "qb").groupBy(*keys)).applyInPandas(ascend, "query_id long, vec_id long, score double")
-    ranked = found.distinct().withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
+    directions = spark.sparkContext.broadcast(fit(fitted, trees, letters))
+    shards = -(-count // shard_rows)
+    columns = [F.col(key).alias("id"), F.col(value).alias("vector")]
+    stored = rows.select(F.pmod(F.xxhash64(key), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("asks"), *columns)
+    asking = rows.filter(queries).select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("asks"), *columns)
+    dealt = stored.unionByName(asking).repartition(shards, "shard").sortWithinPartitions("shard", "asks")
+
+    def run(batches):
+        import pyarrow as pa
+
+        at, held, shard = None, [], None
+        for whole in batches:
+            of = whole.column(0).to_numpy() * 2 + whole.column(1).to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if a == b:
+                    continue
+                own = int(of[a]) // 2
+                if own != at:
+                    at, held, shard = own, [], None
+                ids, x = whole.column(2)[a:b].to_numpy(), _matrix(whole.column(3)[a:b])
+                if not of[a] % 2:
+                    held.append((ids, x))
+                elif held:
+                    shard = shard or Shard(*(np.concatenate(c) for c in zip(*held, strict=True)), directions.value)
+                    for start in range(0, b - a, 512):  # bounded memory
+                        found = shard.nearest(ids[start : start + 512], x[start : start + 512], k, share)
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["query_id", "vec_id", "score"])
+
+    found = dealt.mapInArrow(run, "query_id long, vec_id long, score double")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -24,12 +24,22 @@ from pyspark.sql import types as T
 from . import base
 
 _OTHER = re.compile(r"[\W\d_]+")
+_BEYOND_ASCII = re.compile(r"[^\x00-\x7f]")
 UNKNOWN = "und"
 
 
+def letters_of(text: str | None) -> str:
+    """The lower-cased letters of a text, with a space for whatever else lies between them."""
+    words = _OTHER.sub(" ", (text or "").lower())
+    if _BEYOND_ASCII.search(words):
+        numerals = {c for c in set(words) if c != " " and not c.isalpha()}
+        words = re.sub(f"[{re.escape(''.join(numerals))}]+", " ", words) if numerals else words
+    return words.strip()
+
+
 def buckets(texts: list[str | None], order: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(bucket of every n-gram of every text, index of its text)."""
-    kept = [(" " + x + " ") if (x := _OTHER.sub(" ", (t or "").lower()).strip()) else "" for t in texts]
+    kept = [(" " + x + " ") if (x := letters_of(t)) else "" for t in texts]
     sizes = np.fromiter(map(len, kept), np.int64, len(kept))
     code = np.frombuffer("".join(kept).encode("utf-32-le", "surrogatepass"), np.uint32)
     if not len(code):
@@ -103,7 +113,7 @@ def identify(docs: DataFrame, allowed: Column, sample: int = 40_000, order: int
     parameter) chosen by a hash of doc_id; rows without one are not learnt from.
     """
     known = docs.select("doc_id", "text", "lang").filter(allowed & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    return predict(docs.select("doc_id", "text"), fit(base.bounded_sample(known, sample, "doc_id"), order, bits)).drop("text")
+    return predict(docs.select("doc_id", "text"), fit(base.bounded_sample(known, sample, "doc_id", "text"), order, bits)).drop("text")
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

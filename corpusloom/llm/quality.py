@@ -3,16 +3,16 @@
 Each class of labelled documents gets a Gaussian over transformed statistics of the text.
 Its covariance is shrunk towards the pooled covariance and towards a scaled identity, so
 that it always has a Cholesky factor. A score is the posterior of class 1 from the
-difference of the two log densities, whose Mahalanobis terms come from triangular solves
-with the cached factors.
+difference of the two log densities, whose Mahalanobis terms come from the cached inverse
+of the factor.
 
 Fitting is one distributed aggregation: every task sums counts, vectors and outer products
 by class, and only those sums (2 x (1 + d + d^2) numbers) reach the driver.
 
 Defined cases: a null or empty text has the statistics of an empty text and is scored like
 any other; repeated rows are scored each; rows without a label, or with a null label, do
-not take part in fitting; several labels of one id count as the smallest; without any
-labelled row of a class the score is the share of class 1 (0.5 without labels).
+not take part in fitting; several labels of one id count as the smallest; with fewer than
+two labelled rows of a class the score is the share of class 1 (0.5 without labels).
 """
 
 from __future__ import annotations
@@ -72,7 +72,7 @@ class Discriminant:
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.fallback is not None or not len(x):
-            return np.full(len(x), self.fallback or 0.5)
+            return np.full(len(x), 0.5 if self.fallback is None else self.fallback)
         log = [self.log_prior[k] - 0.5 * self.log_det[k] - 0.5 * (((x - self.mean[k]) @ self.whitener[k].T) ** 2).sum(1) for k in (0, 1)]
         return 1 / (1 + np.exp(np.clip(log[0] - log[1], -700, 700)))
 
@@ -130,18 +130,16 @@ def score(df: DataFrame, model: Discriminant, statistics: str = "statistics", na
     return df.withColumn(name, posterior(F.col(statistics)))
 
 
-def classify(docs: DataFrame, labels: DataFrame, train: Column, threshold: float, stored: bool = True) -> tuple[DataFrame, Discriminant]:
+def classify(docs: DataFrame, labels: DataFrame, train: Column, threshold: float) -> tuple[DataFrame, Discriminant]:
     """(doc_id, statistics, score, predicted) of each row of docs, with the model, fitted on rows where `train` holds."""
-    narrow = with_statistics(docs.select("doc_id", "text")).drop("text")
-    narrow = base.written(narrow, "quality") if stored else narrow
+    narrow = base.written(with_statistics(docs.select("doc_id", "text")).drop("text"), "quality")
     model = fit(labelled(narrow.filter(train), labels, "quality"))
     return score(narrow, model).withColumn("predicted", (F.col("score") >= threshold).cast("int")), model
 
 
 def reject(docs: DataFrame, labels: DataFrame, train: Column, threshold: float) -> DataFrame:
-    """docs without those that score below the threshold; all columns kept."""
-    _, model = classify(docs, labels, train, threshold)
-    sent, value = docs.sparkSession.sparkContext.broadcast(model), base.fresh(docs, "_score")
-    fields = T.StructType([T.StructField(value, T.DoubleType())])
-    make = lambda: lambda texts: [(float(x),) for x in sent.value.score(np.array([statistics(t) for t in texts]))]
-    return base.add_text_columns(docs, "text", fields, make).filter(F.col(value) >= threshold).select(*docs.columns)
+    """docs without those that score below the threshold; all columns kept. Statistics are computed once, beside the rows."""
+    own, value = base.fresh(docs, "statistics"), base.fresh(docs, "score")
+    both = base.written(with_statistics(docs), "quality")
+    model = fit(labelled(both.select("doc_id", F.col(own).alias("statistics")).filter(train), labels, "quality"))
+    return score(both, model, own, value).filter(F.col(value) >= threshold).select(*docs.columns)

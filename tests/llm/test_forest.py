@@ -16,13 +16,30 @@ def test_recall(spark, sf_dir):
     assert set(counts.values()) == {10} and len(counts) == vectors.filter("vec_id % 100 = 0").count()
 
 
-def test_recall_below_every_row(spark):
-    """Small thresholds, so that prefixes decide, with many blocks; scores are exact and ordered."""
+def compared(x, share, k=10, **options):
+    """The mean share of rows that queries compare, and whether none ends at the root."""
+    shard = forest.Shard(np.arange(len(x)), x, forest.fit(x[:4096], **options))
+    begin, end = shard.descend(shard.directions.strings(x[::100]))
+    met = [shard.candidates(begin[:, :, j], end[:, :, j], max(k + 1, int(share * len(x)))).mean() for j in range(begin.shape[2])]
+    return float(np.mean(met)), max(met) < 1
+
+
+def test_prefixes_decide(spark, sf_dir):
+    """With the query's own parameters no query compares every row, and on average under half of them."""
+    x = np.stack([np.array(r.embedding) for r in base.table(spark, sf_dir, "embeddings").orderBy("vec_id").collect()])
+    mean, below = compared(x, 0.2, trees=128, letters=6)
+    assert below and mean < 0.5
+
+
+def test_clustered_vectors_need_few_comparisons(spark):
+    """10,000 rows in 200 clusters: a hundredth of the rows is enough."""
     rng = np.random.default_rng(2)
-    x = rng.normal(size=(3000, 16)).astype(np.float32)
+    x = (rng.normal(size=(200, 32))[rng.integers(200, size=10_000)] + 0.2 * rng.normal(size=(10_000, 32))).astype(np.float32)
     df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], SCHEMA)
-    found = forest.search(df, F.col("vec_id") % 100 == 0, trees=12, letters=4, least=100, block_rows=60, block_queries=2)
+    found = forest.search(df, F.col("vec_id") % 100 == 0, trees=32, share=0.01, shard_rows=3000)
     assert forest.recall(found, df) >= 0.9
+    mean, below = compared(x.astype(np.float64), 0.01, trees=32, letters=6)
+    assert below and mean < 0.1
     rows = found.orderBy("query_id", "rank").collect()
     wide = x.astype(np.float64)
     for r in rows:
@@ -48,6 +65,6 @@ def test_one_hot_vector(spark):
     x = rng.normal(size=(900, 8)).astype(np.float32)
     x[::3] = x[0]
     df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], SCHEMA)
-    got = [(r.query_id, r.vec_id, r.score) for r in forest.search(df, F.col("vec_id") % 300 == 0, least=50, block_rows=40).orderBy("query_id", "rank").collect()]
+    got = [(r.query_id, r.vec_id, r.score) for r in forest.search(df, F.col("vec_id") % 300 == 0, shard_rows=200).orderBy("query_id", "rank").collect()]
     for q in (0, 300, 600):
         assert [(v, s) for i, v, s in got if i == q] == [(v, 0.0) for v in range(0, 33, 3) if v != q][:10]
