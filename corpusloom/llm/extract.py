@@ -4,11 +4,20 @@ The standard library's parser streams over the whole page. Block-level tags cut
 into lines; each line has the number of its characters for each tag met since the line
 before. The ratios are smoothed with a Gaussian along the page, and a threshold between
 the low and the high cluster (two means, in one dimension) marks the lines that look like
-content. The content is every <article> and <main>; without one it is the innermost container
-of all marked lines and <h1> headings, less those of its own containers that hold none. Every
-line of it is kept, except those inside menus, headers, footers, side bars, notices, adverts,
-forms and comments. An element taken for one of these by its name or role, or a form or
-header, stays if it holds most of the marked text or the page's only <article> or <main>.
+content. Marked lines decide by the elements around them:
+
+- An element named as a menu, header, footer, side bar, notice, advert, form or comments (by
+  its tag, role, or a whole class or id) goes, unless it holds most of the marked text or the
+  page's only <article> or <main>. One whose name only has such a word between hyphens goes
+  if less than half of its text is marked, or half of it or more is links.
+- The region is every <article> and <main> that is left; without one it is the innermost
+  container of all marked lines and <h1> headings, less those of its own containers that hold
+  none.
+- Inside the region a container or list without a marked line, whose text is mostly links,
+  is a menu and goes.
+
+Every other line of the region is kept. Elements are numbered, and all sums run along the
+links to their parents, so the work is linear in the page, however deep it nests.
 
 Defined cases: a null or empty page, or one without text, gives an empty text; unclosed and
 unmatched tags, and pages that break off, are read as far as they go; repeated rows are
@@ -19,6 +28,8 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame
@@ -29,55 +40,66 @@ from . import base
 
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 CONTAINERS = frozenset("article main section div td body html".split())
-DROPPED = frozenset("head title nav aside footer form script style noscript template button select textarea iframe svg canvas object dialog menu audio video map".split())
+LISTS = frozenset("ul ol dl table".split())
+DROPPED = frozenset("head title nav aside footer script style noscript template button select textarea iframe svg canvas object dialog menu audio video map".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_NAMED = re.compile(r"(?:ads?|advert(?:s|isement)?|banner|breadcrumbs?|comments?|cookies?|consent|footer|menu|nav(?:bar|igation)?|newsletter|notice|popup|promo(?:tion)?|related|share|sidebar|social|sponsor(?:ed)?|subscribe|widget)", re.I)
+TOPS = frozenset(("article", "main"))
+_NAMES = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments cookie cookies consent footer menu nav navbar navigation newsletter notice popup promo promotion related share sidebar social sponsor sponsored subscribe widget".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
+#: An element may be named as something else than content by a whole name, or by a part of one.
+WHOLE, PART = 1, 2
+
+
+@dataclass
+class Line:
+    text: str
+    tags: int
+    node: int
+    links: int  # characters inside <a>
+    heading: bool
 
 
 class Lines(HTMLParser):
-    """A page as lines: (text, tags, containers open around it, elements open around it that may be dropped, whether it is a heading)."""
+    """A page as lines, and its elements as numbered nodes; node 0 is the page."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool, int]] = []  # tag, number of the container (0: none), dropped for good, number of the element if it may be dropped
-        self.containers = [("page", ())]  # tag and path of each
-        self.lines: list[tuple[str, int, tuple[int, ...], tuple[int, ...], bool]] = []
+        self.tag, self.parent, self.dropped, self.named = ["page"], [0], [False], [0]
+        self.open = [0]
+        self.opened: Counter[str] = Counter()  # open elements by tag
+        self.lines: list[Line] = []
         self.part: list[str] = []
-        self.tags = 0
-        self.path: tuple[int, ...] = (0,)
-        self.dropped = 0
-        self.maybe = 0
+        self.tags = self.links = self.anchors = 0
 
     def cut(self) -> None:
         if text := " ".join("".join(self.part).split()):
-            if not self.dropped:
-                self.lines.append((text, self.tags, self.path, tuple(m for *_, m in self.open if m), any(x[0] == "h1" for x in self.open)))
+            if not self.dropped[self.open[-1]]:
+                self.lines.append(Line(text, self.tags, self.open[-1], min(self.links, len(text)), self.opened["h1"] > 0))
             self.tags = 0
         self.part.clear()
+        self.links = 0
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
         if tag in BLOCKS:
             self.cut()
+        if tag == "a":
+            self.anchors += 1
         if tag in VOID or (tag not in BLOCKS and tag not in DROPPED):
             return
-        if tag in ("p", "li", "td", "th", "tr", "option", "dt", "dd"):  # these end an open one of their kind
-            if self.open and self.open[-1][0] == tag:
-                self.pop()
-        has = dict(attrs)
-        inside = any(self.containers[n][0] in ("article", "main") for n in self.path)
-        named = f"{has.get('class') or ''} {has.get('id') or ''}".strip()
-        drop = (tag in DROPPED and tag != "form") or "hidden" in has or has.get("aria-hidden") == "true" or "display:none" in (has.get("style") or "").replace(" ", "").lower()
-        maybe = tag == "form" or (tag == "header" and not inside) or (tag not in ("body", "html", "article", "main") and any(_NAMED.fullmatch(x) for x in named.split())) or (has.get("role") or "").lower() in _ROLES
-        self.maybe += maybe
-        number = 0
-        if tag in CONTAINERS:
-            number = len(self.containers)
-            self.path = (*self.path, number)
-            self.containers.append((tag, self.path))
-        self.dropped += drop
-        self.open.append((tag, number, drop, self.maybe if maybe else 0))
+        if tag in ("p", "li", "td", "th", "tr", "option", "dt", "dd") and self.tag[self.open[-1]] == tag:
+            self.pop()  # these end an open one of their kind
+        has, above = dict(attrs), self.open[-1]
+        names = f"{has.get('class') or ''} {has.get('id') or ''}".lower().split()
+        whole = tag == "form" or (tag == "header" and not any(self.opened[x] for x in TOPS)) or (has.get("role") or "").lower() in _ROLES or (tag not in TOPS and any(x in _NAMES for x in names))
+        part = any(x in _NAMES for name in names for x in re.split(r"[-_]+", name))
+        own = tag in DROPPED or "hidden" in has or has.get("aria-hidden") == "true" or "display:none" in (has.get("style") or "").replace(" ", "").lower()
+        self.open.append(len(self.tag))
+        self.opened[tag] += 1
+        self.tag.append(tag)
+        self.parent.append(above)
+        self.dropped.append(own or self.dropped[above])
+        self.named.append(0 if tag in ("body", "html") else WHOLE if whole else PART if part and tag not in TOPS else 0)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -85,22 +107,23 @@ class Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def pop(self) -> None:
-        _, number, drop, _ = self.open.pop()
-        self.dropped -= drop
-        if number:
-            self.path = self.path[: self.path.index(number)]
+        self.opened[self.tag[self.open.pop()]] -= 1
 
     def handle_endtag(self, tag):
         self.tags += 1
         if tag in BLOCKS:
             self.cut()
-        if any(x[0] == tag for x in self.open):
-            while self.open[-1][0] != tag:
+        if tag == "a":
+            self.anchors = max(0, self.anchors - 1)
+        if self.opened[tag]:
+            while self.tag[self.open[-1]] != tag:
                 self.pop()
             self.pop()
 
     def handle_data(self, data):
         self.part.append(data)
+        if self.anchors:
+            self.links += len(data.strip())
 
 
 def smoothed(values: list[float], sigma: float) -> list[float]:
@@ -130,44 +153,85 @@ def threshold(values: list[float]) -> float:
     return (low + high) / 2
 
 
+def marked(lines: list[Line], sigma: float) -> list[bool]:
+    ratio = smoothed([len(x.text) / max(1, x.tags) for x in lines], sigma)
+    cut = threshold(ratio)
+    return [r >= cut for r in ratio]
+
+
+class Page:
+    """Sums over the nodes of a page, of lines below them."""
+
+    def __init__(self, reader: Lines, sigma: float):
+        self.tag, self.parent, self.named = reader.tag, reader.parent, reader.named
+        self.lines = reader.lines
+        self.inside = self.down([x in TOPS for x in self.tag])  # an article or main, or in one
+        self.weigh(self.lines, sigma)
+
+    def weigh(self, lines: list[Line], sigma: float) -> None:
+        marks = marked(lines, sigma) if lines else []
+        self.text = self.up([(x.node, len(x.text)) for x in lines])
+        self.linked = self.up([(x.node, x.links) for x in lines])
+        self.heavy = self.up([(x.node, len(x.text)) for x, m in zip(lines, marks, strict=True) if m])
+        self.marks = self.up([(x.node, 1) for x, m in zip(lines, marks, strict=True) if m])
+        self.anchors = self.up([(x.node, 1) for x, m in zip(lines, marks, strict=True) if m or x.heading])
+        self.tops = self.up([(x.node, 1) for x in lines if self.inside[x.node]])
+
+    def up(self, own: list[tuple[int, int]]) -> list[int]:
+        out = [0] * len(self.tag)
+        for node, n in own:
+            out[node] += n
+        for k in range(len(out) - 1, 0, -1):  # children have higher numbers
+            out[self.parent[k]] += out[k]
+        return out
+
+    def down(self, own: list[bool]) -> list[bool]:
+        out = list(own)
+        for k in range(1, len(out)):
+            out[k] = out[k] or out[self.parent[k]]
+        return out
+
+    def left(self, most: float) -> list[Line]:
+        """The lines outside elements named as something else."""
+
+        def goes(k: int) -> bool:
+            if self.named[k] == PART:
+                return 2 * self.heavy[k] < self.text[k] or 0 < self.text[k] <= 2 * self.linked[k]
+            return self.named[k] == WHOLE and (not self.heavy[0] or self.heavy[k] < most * self.heavy[0])
+
+        own = [goes(k) for k in range(len(self.tag))]
+        gone = self.down(own)
+        if not any(self.inside[x.node] and not gone[x.node] for x in self.lines):
+            gone = self.down([x and not self.tops[k] for k, x in enumerate(own)])
+        return [x for x in self.lines if not gone[x.node]]
+
+    def region(self, lines: list[Line]) -> list[Line]:
+        if any(self.inside[x.node] for x in lines):
+            return [x for x in lines if self.inside[x.node]]
+        least = max((k for k in range(len(self.tag)) if self.anchors[k] == self.anchors[0] and (k == 0 or self.tag[k] in CONTAINERS)), default=0)
+        # the branch of a node: the outermost container below the least one, or none
+        branch = [0] * len(self.tag)
+        for k in range(1, len(self.tag)):
+            above = branch[self.parent[k]]
+            branch[k] = above or (k if self.tag[k] in CONTAINERS and k > least else 0)
+        within = self.down([k == least for k in range(len(self.tag))])
+        return [x for x in lines if within[x.node] and (not branch[x.node] or self.anchors[branch[x.node]])]
+
+    def without_menus(self, lines: list[Line]) -> list[Line]:
+        menu = self.down([k > 0 and x in (CONTAINERS | LISTS) - TOPS and not self.marks[k] and 0 < self.text[k] <= 2 * self.linked[k] for k, x in enumerate(self.tag)])
+        return [x for x in lines if not menu[x.node]]
+
+
 def extract(html: str | None, sigma: float = 1.0, most: float = 0.7) -> str:
     """The main text of one whole page."""
     reader = Lines()
     reader.feed(html or "")
     reader.close()
     reader.cut()
-    top = {n for n, (tag, _) in enumerate(reader.containers) if tag in ("article", "main")}
-    lines = kept_lines(reader.lines, top, sigma, most)
-    if not lines:
-        return ""
-    if any(top.intersection(path) for _, _, path, _, _ in lines):
-        return " ".join(text for text, _, path, _, _ in lines if top.intersection(path))
-    marks = [path for (_, _, path, _, heading), marked in zip(lines, marked_lines(lines, sigma), strict=True) if marked or heading]
-    common = 0
-    while all(len(path) > common for path in marks) and len({path[common] for path in marks}) == 1:
-        common += 1
-    inner = {path[: common + 1] for path in marks} | {marks[0][:common]}
-    return " ".join(text for text, _, path, _, _ in lines if path[: common + 1] in inner)
-
-
-def marked_lines(lines: list, sigma: float) -> list[bool]:
-    ratio = smoothed([len(text) / max(1, tags) for text, tags, *_ in lines], sigma)
-    cut = threshold(ratio)
-    return [r >= cut for r in ratio]
-
-
-def kept_lines(lines: list, top: set[int], sigma: float, most: float) -> list:
-    """The lines outside dropped elements; an element that holds most of the marked text or the only articles is not dropped."""
-    if not lines or not any(x[3] for x in lines):
-        return lines
-    weight: dict[int, int] = {}
-    for (text, _, _, maybe, _), marked in zip(lines, marked_lines(lines, sigma), strict=True):
-        for m in (0, *maybe):
-            weight[m] = weight.get(m, 0) + len(text) * marked
-    stay = {m for m in weight if m and weight[m] >= most * weight[0]}
-    if not any(top.intersection(path) and stay.issuperset(maybe) for _, _, path, maybe, _ in lines):
-        stay.update(m for _, _, path, maybe, _ in lines if top.intersection(path) for m in maybe)
-    return [x for x in lines if stay.issuperset(x[3])]
+    page = Page(reader, sigma)
+    lines = page.left(most)
+    page.weigh(lines, sigma)  # what is named as something else no longer counts
+    return " ".join(x.text for x in page.without_menus(page.region(lines)))
 
 
 def main_text(pages: DataFrame) -> DataFrame:

@@ -1,7 +1,9 @@
 """BPE, token counts and page extraction against libraries and fixtures."""
 
 import hashlib
+import time
 
+import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -153,6 +155,45 @@ def test_content_in_several_places_stays():
     assert extract.extract(f"<div>{a}{b}{a}</div><div class='x related'>{c}</div>").find("third") < 0
 
 
+def test_names_between_hyphens_are_judged_by_the_ratio():
+    long = "<p>" + "A sentence of the article with some words in it. " * 8 + "</p>"
+    for name in ("no-sidebar", "has-sidebar", "content with-comments", "social-studies", "notice-board", "entry related-works", "wrap has-comments"):
+        assert "A sentence" in extract.extract(f"<body><div class='{name}'>{long}{long}</div></body>"), name
+        assert "A sentence" in extract.extract(f"<body><div class='{name}'><article>{long}</article></div></body>"), name
+    html = f"<body><article><h1>T</h1>{long}<div class='share-buttons'><a>x</a> <a>y</a></div>{long}<ul><li><a>More</a></li><li><a>Other</a></li></ul><ul><li>own point</li></ul>{long}</article></body>"
+    got = extract.extract(html)
+    assert "x y" not in got and "More" not in got and "own point" in got and got.startswith("T A sentence")
+
+
+def test_lines_inside_an_article_are_selected():
+    text = "<p>" + "Words of the text that go on for a while. " * 6 + "</p>"
+    menu = "<div>" + "".join(f"<a href='/{k}'>link {k}</a><br>" for k in range(12)) + "</div>"
+    got = extract.extract(f"<main>{menu}<div>{text}{text}{text}</div>{menu}</main>")
+    assert "link" not in got and got.count("Words") == 18
+
+
+def test_smoothing_and_threshold_against_brute_force():
+    rng = np.random.default_rng(6)
+    for _ in range(50):
+        x = rng.exponential(20, rng.integers(1, 40)).tolist()
+        w = lambda d: np.exp(-0.5 * (d / 1.5) ** 2) * (abs(d) <= 5)
+        want = [sum(w(j - k) * v for j, v in enumerate(x)) / sum(w(j - k) for j in range(len(x))) for k in range(len(x))]
+        assert np.allclose(extract.smoothed(x, 1.5), want)
+    for _ in range(50):  # two clear clusters: the cut that a search over all cuts finds
+        x = [*rng.normal(5, 1, 20), *rng.normal(50, 4, 10)]
+        cuts = sorted(x)
+        best = min(cuts[:-1], key=lambda c: sum(np.var([v for v in x if (v <= c) == side]) * sum((v <= c) == side for v in x) for side in (True, False)))
+        cut = extract.threshold(x)
+        assert [v <= cut for v in x] == [v <= best for v in x]
+
+
+def test_deep_pages_are_linear():
+    began = time.process_time()
+    assert extract.extract("<div>" * 100_000 + "some text here").endswith("some text here")
+    assert extract.extract("".join(f"<div class='a'><p>t{k}</b></i></section>" for k in range(30_000))).endswith("t29998 t29999")
+    assert time.process_time() - began < 20
+
+
 def test_pages(spark, sf_dir):
     rows = queries.op8_extract(spark, sf_dir).collect()
     html = {r.page_id: r.html for r in base.table(spark, sf_dir, "pages").collect()}
