@@ -6,8 +6,9 @@ one window. The automaton reads each document's words once; every occurrence mar
 words as hit and keeps the original character offsets of their union.
 
 The benchmark is counted before it is sent to the executors: every automaton holds at most
-`part_windows` windows, and a larger benchmark is dealt over several automata which pass
-over the documents one after the other, within the same tasks and without a shuffle.
+`part_windows` windows, and a larger benchmark is dealt over several automata. Each passes
+over the documents in a job of its own, which writes what was found so far beside them, so
+that only one automaton is held at a time; there is no shuffle.
 
 Defined cases: null or wordless texts have no words and no hits; null item texts or ids
 take no part; a repeated item_id is one item with all its windows; repeated documents are
@@ -21,7 +22,7 @@ import re
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -104,21 +105,36 @@ def _scanner(sent) -> Scanner:
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, size: int = 13, part_windows: int = 2_000_000, text: str = "text", name: str = "found") -> DataFrame:
     """docs with a struct: n_words, hits (word ranges), items (sorted), spans (character ranges of the original text)."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("item_id is not null and text is not null")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("item_id is not null and text is not null").distinct()
     words = items.agg(F.sum(F.length("text") + 1)).first()[0] or 0  # a bound of the number of windows
     parts = max(1, -(-words // part_windows))
-    sc = docs.sparkSession.sparkContext
-    out, prior = docs, None
+    name, out = base.fresh(docs, name), docs
     for part in range(parts):
         rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part) if parts > 1 else items
-        found = windows([tuple(r) for r in rows.distinct().toLocalIterator()], size)
-        sent = sc.broadcast({"key": uuid.uuid4().hex, "windows": found})
-        out = base.add_text_columns(out, text, T.StructType([T.StructField(own := base.fresh(out, f"{name}_{part}"), _STATE)]), lambda sent=sent: lambda texts: [(_scan(_scanner(sent), x),) for x in texts])
-        prior = [own] if prior is None else [*prior, own]
-    if parts == 1:
-        return out.withColumnRenamed(prior[0], name)
-    gather = F.udf(lambda *of: _joined(of), _STATE)
-    return out.withColumn(name, gather(*prior)).drop(*prior)
+        sent = docs.sparkSession.sparkContext.broadcast({"key": uuid.uuid4().hex, "windows": windows([tuple(r) for r in rows.toLocalIterator()], size)})
+        add = lambda sent=sent: lambda texts: [(_scan(_scanner(sent), x),) for x in texts]
+        if part == 0:
+            out = base.add_text_columns(out, text, T.StructType([T.StructField(name, _STATE)]), add)
+        else:  # the part before is over and written, so only one automaton is held at a time
+            own = base.fresh(out, "_found")
+            out = base.add_text_columns(out, text, T.StructType([T.StructField(own, _STATE)]), add).withColumn(name, _both(F.col(name), F.col(own))).drop(own)
+        if parts > 1:
+            out = base.written(out, "decontamination")
+            sent.unpersist()
+    return out
+
+
+def _both(x: Column, y: Column) -> Column:
+    """The two findings of one text as one."""
+
+    def union(key: str) -> Column:  # ranges in order, merged where they meet
+        every = F.array_sort(F.concat(x[key], y[key]))
+        none = F.array().cast("array<array<bigint>>")
+        last = lambda done: F.element_at(done, -1)
+        joined = lambda done, r: F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.array(last(done)[0], F.greatest(last(done)[1], r[1]))))
+        return F.aggregate(every, none, lambda done, r: F.when((F.size(done) > 0) & (r[0] <= F.try_element_at(done, F.lit(-1))[1]), joined(done, r)).otherwise(F.concat(done, F.array(r))))
+
+    return F.struct(x["n_words"].alias("n_words"), union("hits").alias("hits"), F.array_sort(F.array_union(x["items"], y["items"])).alias("items"), union("spans").alias("spans"))
 
 
 def _scan(scanner: Scanner, text: str | None) -> dict:
@@ -133,10 +149,6 @@ def _scan(scanner: Scanner, text: str | None) -> dict:
     return {"n_words": len(words), "hits": hits, "items": sorted(items), "spans": spans}
 
 
-def _joined(found) -> dict:
-    return {"n_words": found[0]["n_words"], "items": sorted({x for f in found for x in f["items"]}), **{k: merged([list(x) for f in found for x in f[k]]) for k in ("hits", "spans")}}
-
-
 def report(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: int = 20, part_windows: int = 2_000_000) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans."""
     got = occurrences(docs.select("doc_id", "text"), benchmark, size, part_windows)

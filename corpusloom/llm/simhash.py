@@ -115,33 +115,43 @@ def components(pairs: DataFrame, limit: int = 50) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def near_duplicates(docs: DataFrame, bits: int = 4, shingle: int = 4, seed: int = 42, count: int | None = None, key: str = "doc_id") -> DataFrame:
-    """One row per row of docs: key, fp, component_id, n_links (distinct fingerprints linked to its own).
+def grouped(prints: DataFrame, bits: int, count: int | None, key: str) -> tuple[DataFrame, DataFrame]:
+    """Of a written table with columns key and fp: (fp, root, n_links, copies) of each distinct fingerprint and (root, component_id).
 
     count: segments; by default 3, and 2 from 2^27 distinct fingerprints on, where longer
     segments keep the lists that a look-up meets short. The links are the same either way.
     """
-    prints = base.written(with_fingerprint(docs.select(key, "text"), shingle=shingle, seed=seed).drop("text"), "fingerprints")
     reps = base.written(prints.groupBy("fp").agg(F.min(key).alias("least"), F.count("*").alias("copies")), "representatives")
     count = count or (3 if reps.count() < 1 << 27 else 2)
     pairs = base.written(links(reps.select("fp"), bits, count), "links")
     roots = components(pairs)
     degree = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
-    linked = roots.join(degree, "node").join(reps, F.col("node") == F.col("fp")).select("fp", "root", "n", "least")
-    named = linked.join(linked.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id", "n")
-    all_of = reps.join(named, "fp", "left").select("fp", "copies", F.when(F.col("n").isNotNull(), F.col("component_id")).otherwise(F.col("least")).alias("component_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"))
-    return base.join_with_hot_keys(prints, base.written(all_of, "components"), "fp", "copies").select(key, "fp", "component_id", "n_links")
-
+    linked = roots.join(degree, "node").select(F.col("node").alias("fp"), "root", "n")
+    every = reps.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), "copies", "least")
+    every = base.written(every, "components")
+    return every.drop("least"), every.groupBy("root").agg(F.min("least").alias("component_id"))
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs with one row of each component: the one whose doc_id names it.
 
-    Of rows that share that doc_id the one with the smallest hash over all its columns
-    stays, once; rows whose doc_id is null stay.
-    """
-    found = near_duplicates(docs, **options)
-    stays = found.filter("component_id is not null and doc_id = component_id").select("doc_id").distinct()
-    own = docs.filter("doc_id is not null").join(stays, "doc_id", "left_semi").select(*docs.columns)
-    order = base.fresh(docs, "_order")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns)))
-    return own.withColumn(order, first).filter(F.col(order) == 1).drop(order).unionByName(docs.filter("doc_id is null"))
+def near_duplicates(docs: DataFrame, bits: int = 4, shingle: int = 4, seed: int = 42, count: int | None = None, key: str = "doc_id") -> DataFrame:
+    """One row per row of docs: key, fp, component_id, n_links (distinct fingerprints linked to its own)."""
+    prints = base.written(with_fingerprint(docs.select(key, "text"), shingle=shingle, seed=seed).drop("text"), "fingerprints")
+    every, named = grouped(prints, bits, count, key)
+    all_of = base.written(every.join(named, "root"), "named")
+    return base.join_with_hot_keys(prints, all_of, "fp", "copies").select(key, "fp", "component_id", "n_links")
+
+
+def keep_one(docs: DataFrame, bits: int = 4, shingle: int = 4, seed: int = 42, count: int | None = None) -> DataFrame:
+    """docs with exactly one row of each component: that with the least doc_id, nulls last; of rows with one doc_id the one with the least hash over all its columns, then any of those that are equal."""
+    fp, own = "fp", F.xxhash64(*docs.columns)
+    narrow = docs.select("doc_id", "text", own.alias("own"))
+    prints = base.written(with_fingerprint(narrow, shingle=shingle, seed=seed).drop("text"), "fingerprints")
+    every, _ = grouped(prints, bits, count, "doc_id")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "own")
+    # the best row of each fingerprint first, so that only one row for each is joined
+    best = prints.groupBy(fp).agg(F.min(rank).alias("best")).join(every, fp).groupBy("root").agg(F.min(F.struct("best", fp)).alias("b"))
+    id_, order = base.fresh(docs, "_id"), base.fresh(docs, "_order")
+    h = base.fresh(docs, "_h")
+    stays = base.written(best.select(F.col("b.best.doc_id").alias(id_), F.col("b.best.own").alias(h)), "stays")
+    kept = docs.withColumn(h, own).join(stays, h).filter(F.col("doc_id").eqNullSafe(F.col(id_)))
+    first = F.row_number().over(Window.partitionBy(h, "doc_id").orderBy(F.lit(0)))  # dealt by h already
+    return kept.withColumn(order, first).filter(F.col(order) == 1).select(*docs.columns)

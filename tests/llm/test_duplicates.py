@@ -4,6 +4,7 @@ import itertools
 import re
 
 import numpy as np
+import public_tokenizers
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -74,7 +75,7 @@ def test_simhash_of_odd_rows(spark, odd, nothing):
     assert {r.component_id for r in got if r.doc_id in (4, 9)} == {4}
     kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns
-    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 0, 1, 4, 5, 7, 8]
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 4, 5, 7, 8]  # the empty ones are one group, the null id among them
     assert simhash.near_duplicates(nothing).count() == 0 and simhash.keep_one(nothing).count() == 0
 
 
@@ -82,6 +83,30 @@ def plain_words(text):
     return [w.lower() for w in re.findall(r"[^\W]+", text or "")]
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Ids that several texts share, null ids and equal rows: exactly one row of each component."""
+    rng = np.random.default_rng(8)
+    a, b, c, d = (" ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(60)) for _ in range(4))
+    rows = [(5, a), (5, b), (6, b), (6, b), (None, c), (None, c), (7, d), (None, d), (8, a)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept), key=lambda r: r[1]) == sorted([(5, a), (5, b), (None, c), (7, d)], key=lambda r: r[1])
+
+
+def test_names_that_clash(spark):
+    """Columns that already have an operator's names stay, and its own get others."""
+    from corpusloom.llm import bpe, pieces, quality, toxicity
+
+    docs = spark.createDataFrame([(1, "Some words here.", 1, 2, 3, 4, 5, 6)], "doc_id long, text string, score int, ids int, n_tokens int, fp int, statistics int, found int")
+    bench = spark.createDataFrame([("i", "some words")], "item_id string, text string")
+    path = public_tokenizers.path
+    for got, new in (
+        (toxicity.score(docs, toxicity.Model(-4.0, {})), "_score"), (pieces.token_counts(docs, path("byte_bpe_50k.json")), "_n_tokens"), (bpe.encode(docs, path("word_bpe_49k.json")), "_ids"),
+        (quality.with_statistics(docs), "_statistics"), (simhash.with_fingerprint(docs), "_fp"), (decontaminate.occurrences(docs, bench), "_found"),
+    ):
+        row = got.first()
+        assert got.columns[:8] == docs.columns and new in got.columns and tuple(row)[:8] == (1, "Some words here.", 1, 2, 3, 4, 5, 6) and row[new] is not None
+
+
 def repeated_places(rows, size):
     """By comparing every window of `size` words with all earlier ones: the words that stand in one met before, but not in an overlapping one. rows: (doc_id, text) by rank."""
     seen, out = {}, {}
