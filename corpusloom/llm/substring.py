@@ -98,6 +98,18 @@ def anchors(found: np.ndarray, width: int) -> np.ndarray:
     return np.flatnonzero(found == _slide(np.maximum, least, width))
 
 
+def thinned(found: np.ndarray, places: np.ndarray, size: int) -> np.ndarray:
+    """Of places that have one digest and overlap, as in a text that repeats a few words, the first, the last and one for each quarter of `size` words."""
+    if len(np.unique(found)) == len(found):
+        return places
+    order = np.lexsort((places, found))
+    digest, at = found[order], places[order]
+    begins = np.concatenate(([True], (digest[1:] != digest[:-1]) | (np.diff(at) > size)))
+    step = (at - at[np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0))]) // max(1, size // 4)
+    kept = begins | np.concatenate((begins[1:], [True])) | (np.diff(step, prepend=0) != 0)
+    return np.sort(at[kept])
+
+
 def line_digests(lines: list[np.ndarray], line_words: int) -> tuple[np.ndarray, np.ndarray]:
     """The digests of the lines of line_words words or more, given the hashes of each line's words, and their places."""
     out, places = [], []
@@ -177,6 +189,7 @@ def _units(size: int, window: int, line_words: int | None):
         for text in texts:
             found = digests(hashes(text, memo), size)
             places = anchors(found, window)
+            places = thinned(found[places], places, size)
             parts = [(found[places], places)]
             if line_words is not None:
                 parts.append(line_digests([hashes(x, memo) for x in (text or "").split("\n")], line_words))

@@ -192,6 +192,16 @@ def test_a_passage_that_repeats_inside_a_text(spark):
     assert set(got[2].split()) == {"ha"} and 50 <= len(got[2].split()) < 120 and 50 <= len(got[3].split()) < 160
 
 
+def test_units_of_a_repeated_word_are_few():
+    """A text of one word has a unit for each 4 words; the passages around it are found from both sides."""
+    words = substring.hashes("a b c d " + "ha " * 10_000 + "x y z", {})
+    found = substring.digests(words, 16)
+    places = substring.anchors(found, 35)
+    few = substring.thinned(found[places], places, 16)
+    assert len(places) > 9_000 and len(few) < 2_600 and set(few) <= set(places) and {4, 4 + 10_000 - 16} <= set(few)
+    assert max(np.diff(few)) <= 35
+
+
 def test_whole_lines_go_at_any_length_if_asked(spark):
     texts = [
         "Own first words.\nShare this page now\nSome more of the text\nok", "An other text.\n  - share THIS page, now\nIts own end here\nok", "Share this page now",
