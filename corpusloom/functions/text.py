@@ -25,9 +25,10 @@ def contains_any(c: Column, words: Iterable[str], whole_word: bool = False) -> C
     return F.lower(c).rlike(rf"\b(?:{either})\b" if whole_word else either)
 
 
-def slug(c: Column, length: int = 50) -> Column:
-    """A file name from the first characters: letters, digits, space, _ and - stay."""
-    return F.regexp_replace(F.substring(c, 1, length), r"[^\p{L}\p{N} _-]", "_")
+def slug(c: Column, length: int = 50, index: Column | None = None) -> Column:
+    """A file name from the first characters: letters, digits, space, _ and - stay; after a number of three digits or more, if one is given."""
+    name = F.regexp_replace(F.substring(c, 1, length), r"[^\p{L}\p{N} _-]", "_")
+    return name if index is None else F.concat(F.format_string("%03d_", index), name)
 
 
 def resolve_caption(txt: Column, json: Column) -> Column:

@@ -88,13 +88,16 @@ def select_output(df: DataFrame) -> DataFrame:
 
 
 def filter_funnel(df: DataFrame, cfg: FilterConfig = BROAD) -> DataFrame:
-    """(step, filter, removed, survivors) of each filter in order, in one pass over df."""
+    """(step, filter, removed, survivors) of each filter in order, then of the deduplication by URL, in one pass over df."""
     steps = predicates(df, cfg)
     failed = F.coalesce(*(F.when(F.coalesce(keep, F.lit(False)), None).otherwise(F.lit(k)) for k, (_, keep) in enumerate(steps)), F.lit(len(steps)))
-    counts = df.groupBy(failed.alias("at")).agg(F.count("*").alias("n"))  # at most one row for each filter and one for what passes
-    one = counts.agg(*(F.coalesce(F.sum(F.when(F.col("at") == k, F.col("n"))), F.lit(0)).alias(f"r{k}") for k in range(len(steps))), F.coalesce(F.sum("n"), F.lit(0)).alias("seen"))
+    # one row for each filter, and one for each URL of what passes, of which all but one row go
+    counts = df.groupBy(failed.alias("at"), F.when(failed == len(steps), F.col("URL")).alias("url")).agg(F.count("*").alias("n"))
+    repeats = F.sum(F.when(F.col("at") == len(steps), F.col("n") - 1))
+    removed = [*(F.sum(F.when(F.col("at") == k, F.col("n"))) for k in range(len(steps))), repeats]
+    one = counts.agg(*(F.coalesce(x, F.lit(0)).alias(f"r{k}") for k, x in enumerate(removed)), F.coalesce(F.sum("n"), F.lit(0)).alias("seen"))
     gone = lambda k: sum((F.col(f"r{j}") for j in range(k + 1)), F.lit(0))
-    rows = F.array(*(F.struct(F.lit(k + 1).alias("step"), F.lit(name).alias("filter"), F.col(f"r{k}").alias("removed"), (F.col("seen") - gone(k)).alias("survivors")) for k, (name, _) in enumerate(steps)))
+    rows = F.array(*(F.struct(F.lit(k + 1).alias("step"), F.lit(name).alias("filter"), F.col(f"r{k}").alias("removed"), (F.col("seen") - gone(k)).alias("survivors")) for k, name in enumerate([*(name for name, _ in steps), "dedup"])))
     return one.select(F.inline(rows))
 
 

@@ -8,7 +8,7 @@ from .. import storage
 from ..functions import text
 from ..operators import filters
 from ..sources import archives, metadata, sinks
-from .registry import query, table
+from .registry import META, meta, query, table
 
 
 def _tars(spark, sf_dir):
@@ -65,3 +65,20 @@ def read_metadata(spark, sf_dir):
     docs.filter("doc_id % 2 = 0").select(F.col("doc_id").alias("row_id"), url.alias("url"), F.col("text").alias("caption"), F.col("n_chars").alias("width")).write.parquet(f"{path}/a")
     docs.filter("doc_id % 2 <> 0").select(F.col("doc_id").alias("row_id"), url.alias("URL"), F.col("text").alias("TEXT"), F.col("n_chars").alias("WIDTH")).write.parquet(f"{path}/b")
     return metadata.read_metadata(spark, path).select("row_id", "URL", "TEXT", "WIDTH")
+
+
+@query(f"""with {META} select row_id, "URL", "TEXT" from meta where "URL" is not null and "TEXT" is not null and aesthetic_score >= 6.5""")
+def write_filtered(spark, sf_dir):
+    """Filtered rows written as Parquet and read back."""
+    path = storage.new_path(spark, "filtered")
+    sinks.write_filtered(meta(spark, sf_dir).filter("URL is not null and TEXT is not null and aesthetic_score >= 6.5").select("row_id", "URL", "TEXT"), path)
+    return spark.read.parquet(path)
+
+
+@query("select count(*) as n, sum(o_orderkey) as keys, true as bounded from orders")
+def write_batches(spark, sf_dir):
+    """Files of at most 1,000 rows: what they hold together, and whether each keeps to the bound."""
+    path = storage.new_path(spark, "batches")
+    sinks.write_batches(table(spark, sf_dir, "orders").select("o_orderkey"), path, 1_000)
+    each = spark.read.parquet(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
+    return each.agg(F.sum("n").alias("n"), F.sum("keys").alias("keys"), (F.max("n") <= 1_000).alias("bounded"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys
 from ..operators import features, joins, sampling
+from ..sources import metadata
 from .registry import ITEMS, META, items, meta, query, table
 
 _LATENT = "concat(replace(replace(image_key, '/', '_'), '::', '__'), '.npy')"
@@ -41,10 +42,10 @@ def keyed_items(spark, sf_dir):
     return items(spark, sf_dir).filter(F.contains("image_key", F.lit(keys.SEPARATOR))).select("l_orderkey", "l_linenumber")
 
 
-@query("select concat('s_', cast(l_orderkey % 50 as varchar), '_', cast(l_linenumber as varchar), '.npy') as latent_name, cast(2 as bigint) as n_keys from lineitem group by 1")
+@query("select concat('s_', cast(l_orderkey as varchar), '_', cast(l_linenumber as varchar), '.npy') as latent_name, cast(2 as bigint) as n_keys from lineitem group by 1")
 def name_collisions(spark, sf_dir):
     """Keys with / and with _ share latent names."""
-    part = lambda sep: F.concat(F.lit("s"), F.lit(sep), (F.col("l_orderkey") % 50).cast("string"), F.lit(sep), F.col("l_linenumber").cast("string"))
+    part = lambda sep: F.concat(F.lit("s"), F.lit(sep), F.col("l_orderkey").cast("string"), F.lit(sep), F.col("l_linenumber").cast("string"))
     both = table(spark, sf_dir, "lineitem").select(F.explode(F.array(part("/"), part("_"))).alias("image_key"))
     return joins.name_collisions(both)
 
@@ -173,15 +174,15 @@ def union_sources(spark, sf_dir):
     return union(table(spark, sf_dir, "orders").select("o_orderkey"), table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select(F.col("l_orderkey").alias("o_orderkey")))
 
 
-@query(f"with {META} select row_id, source from meta")
+@query("select doc_id from documents")
 def read_keys(spark, sf_dir):
-    """A scan of key columns only."""
-    return meta(spark, sf_dir).select("row_id", "source")
+    """A scan of the key column only."""
+    return metadata.read_keys(spark, f"{sf_dir}/documents.parquet", "doc_id")
 
 
 @query("select count(*) as n from lineitem")
 def count_rows(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").agg(F.count("*").alias("n"))
+    return spark.createDataFrame([(metadata.count_rows(spark, f"{sf_dir}/lineitem.parquet"),)], "n long")
 
 
 @query("""with s as (select row_id, w, h, least(w, h) as m from (select doc_id as row_id, 256 + (doc_id * 37) % 1280 as w, 256 + (doc_id * 53) % 1280 as h from documents)),

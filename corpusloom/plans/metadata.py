@@ -35,7 +35,8 @@ def refined_metadata(spark, sf_dir):
   when not coalesce("WIDTH" / cast("HEIGHT" as double) between 0.5 and 2.0, false) then 4 when not coalesce(length("TEXT") between 20 and 300, false) then 5
   when not coalesce(pwatermark < 0.5, false) then 6 when not coalesce("NSFW" in ('UNLIKELY', 'unlikely'), false) then 7 else 8 end as failed from meta)
 select cast(s.step + 1 as int) as step, s.filter, cast((select count(*) from m where failed = s.step) as bigint) as removed, cast((select count(*) from m where failed > s.step) as bigint) as survivors
-from (select unnest(['null_drop', 'aesthetic', 'clip_sim', 'dimensions', 'aspect', 'caption_len', 'watermark', 'nsfw']) as filter, unnest(range(8)) as step) s""")
+from (select unnest(['null_drop', 'aesthetic', 'clip_sim', 'dimensions', 'aspect', 'caption_len', 'watermark', 'nsfw']) as filter, unnest(range(8)) as step) s
+union all select 9, 'dedup', (select count(*) - count(distinct "URL") from m where failed = 8), (select count(distinct "URL") from m where failed = 8)""")
 def filter_funnel(spark, sf_dir):
     return filters.filter_funnel(meta(spark, sf_dir))
 
@@ -153,11 +154,11 @@ def shard_stats(spark, sf_dir):
 
 
 @query("""with t as (select conv_id, turn, regexp_replace(text, '(?i)^\\s+|\\s+$', '', 'g') as t from conversations)
-select conv_id, turn, len(list_filter(regexp_split_to_array(t, '\\s+'), lambda x: x <> '')) as n_words, substr(regexp_replace(substr(t, 1, 50), '[^\\p{L}\\p{N} _-]', '_', 'g'), 1, 50) as slug from t where t is not null""".replace("\\\\", "\\"))
+select conv_id, turn, len(list_filter(regexp_split_to_array(t, '\\s+'), lambda x: x <> '')) as n_words, substr(regexp_replace(substr(t, 1, 50), '[^\\p{L}\\p{N} _-]', '_', 'g'), 1, 50) as slug, concat(lpad(cast(turn as varchar), 3, '0'), '_', substr(regexp_replace(substr(t, 1, 50), '[^\\p{L}\\p{N} _-]', '_', 'g'), 1, 50)) as file from t where t is not null""".replace("\\\\", "\\"))
 def prompt_slugs(spark, sf_dir):
     """Word counts and file names of prompts."""
     t = text.strip(F.col("text"))
-    return table(spark, sf_dir, "conversations").filter("text is not null").select("conv_id", "turn", text.word_count(t).cast("long").alias("n_words"), text.slug(t).alias("slug"))
+    return table(spark, sf_dir, "conversations").filter("text is not null").select("conv_id", "turn", text.word_count(t).cast("long").alias("n_words"), text.slug(t).alias("slug"), text.slug(t, index=F.col("turn")).alias("file"))
 
 
 @query("""select event_id, coalesce(cast(json_extract_string(props, '$.k') as varchar), event_type) as caption from events""")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..streaming import jobs
-from .registry import query, table
+from . import training  # noqa: F401  registers the batch query, whose SQL is used here
+from .registry import ORACLES, query, table
 
 
 def _stream(spark, sf_dir, name):
@@ -39,7 +40,7 @@ def progress_stream(spark, sf_dir):
     return jobs.progress_stream(events, "ts", ["event_type"], "1 hour", "10 minutes", *jobs.scratch(spark, "progress")).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
-@query()
+@query(ORACLES["ema"])
 def ema_stream(spark, sf_dir):
     """The average as keyed state; equals the batch query on one micro-batch."""
     events = _stream(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")

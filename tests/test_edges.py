@@ -28,8 +28,8 @@ def test_thresholds_and_traps(spark):
     df = spark.createDataFrame(bad + good, META)
     assert filters.quality_filter(df).count() == len(good)
     funnel = filters.filter_funnel(df).orderBy("step").collect()
-    assert sum(r.removed for r in funnel) == len(bad) and funnel[-1].survivors == len(good)
-    assert {r["filter"]: r.removed for r in funnel} == {"null_drop": 2, "aesthetic": 3, "clip_sim": 2, "dimensions": 2, "aspect": 1, "caption_len": 2, "watermark": 2, "nsfw": 2}
+    assert sum(r.removed for r in funnel) == len(bad) + 4 and [r.survivors for r in funnel[-2:]] == [len(good), 1]  # all good rows share one URL
+    assert {r["filter"]: r.removed for r in funnel} == {"null_drop": 2, "aesthetic": 3, "clip_sim": 2, "dimensions": 2, "aspect": 1, "caption_len": 2, "watermark": 2, "nsfw": 2, "dedup": 4}
     assert filters.quality_filter(df, FilterConfig(allow_nsfw=True)).count() == len(good) + 2
 
 

@@ -39,4 +39,4 @@ def test_against_duckdb(name, spark, duck, sf_dir):
 
 
 def test_every_query_has_sql_or_a_test_of_its_own():
-    assert set(catalogue.QUERIES) - set(catalogue.ORACLES) == {"near_dedup", "examples_flow", "ema_stream"}
+    assert set(catalogue.QUERIES) - set(catalogue.ORACLES) == {"near_dedup", "examples_flow"}
