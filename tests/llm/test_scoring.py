@@ -102,3 +102,25 @@ def test_langid_of_odd_rows(spark, odd, nothing):
     assert {r.lang_pred for r in got if r.doc_id in (1, 2, 3, 7)} == {"und"} and all(0 <= r.score <= 1 for r in got)
     assert langid.identify(nothing, F.lit(True)).count() == 0
     assert {r.lang_pred for r in langid.identify(odd, F.lit(False)).collect()} == {"und"}
+
+
+def test_numerals_are_no_letters():
+    """Numerals of all kinds count as word characters, but a text of them alone has no language."""
+    model = langid.Model(["en"], np.zeros((1 << 15, 1), np.float32), np.zeros(1), 3, 15)
+    got = model.predict(["½ ² ③ Ⅷ ①", "12 ٣ _", None, "", "é", "½a", "日"])
+    assert [x for x, _ in got] == ["und", "und", "und", "und", "en", "en", "en"]
+
+
+def test_labels_of_one_class_only(spark):
+    docs = spark.createDataFrame([(i, f"text number {i}") for i in range(6)], "doc_id long, text string")
+    for label in (0, 1):
+        labels = spark.createDataFrame([(i, label) for i in range(6)], "doc_id long, quality int")
+        scored, _ = quality.classify(docs, labels, F.lit(True), 0.3)
+        assert {(r.score, r.predicted) for r in scored.collect()} == {(float(label), label)}
+
+
+def test_a_bounded_sample_is_the_same_however_rows_are_dealt(spark):
+    df = spark.range(20_000)
+    ids = [{r.id for r in base.bounded_sample(df.repartition(n), 1_000, "id").collect()} for n in (1, 7)]
+    assert ids[0] == ids[1] and 600 <= len(ids[0]) <= 1_000
+    assert base.bounded_sample(df.limit(10), 10, "id").count() == 10
