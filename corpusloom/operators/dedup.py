@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import storage
-from ..llm import simhash
+from .components import components
 
 
 def dedup_keep_first(df: DataFrame, keys: list[str], order: list[Column | str], scope: str = "global", file: str = "file") -> DataFrame:
@@ -85,7 +85,7 @@ def near_duplicate_classes(df: DataFrame, key: str, text: str, threshold: float
     """
     sets, classes = _sets(df, key, text, words, True)
     links = storage.written(_links(classes, threshold).select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")), "links")
-    roots = simhash.components(links).toDF("k", "root")
+    roots = components(links).toDF("k", "root")
     members = storage.written(sets.join(classes.withColumnRenamed("k", "first"), "s").select("k", "first"), "members")
     sizes = members.groupBy("first").agg(F.count("*").alias("n"))
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))

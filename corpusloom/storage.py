@@ -27,4 +27,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write df below the shared folder and read it back."""
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete what `written` stored, once nothing reads it any more."""
+    if path := getattr(df, "_written_at", None):
+        spark = df.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
