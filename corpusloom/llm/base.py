@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..storage import new_path
+from ..storage import forget, written  # noqa: F401  the operators take them from here
 
 #: Rows, and characters beyond one row, handed to a text function at once; these bound a worker's memory, not the data.
 SLICE_ROWS, SLICE_CHARS = 512, 1 << 23
@@ -22,24 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write df below the shared folder and read it back."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._written_at = path
-    return out
-
-
-def forget(df: DataFrame) -> None:
-    """Delete what `written` stored, once nothing reads it any more."""
-    if path := getattr(df, "_written_at", None):
-        spark = df.sparkSession
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df does not have yet."""
     return _free(df.columns, name)

@@ -39,6 +39,8 @@ class Automaton:
         depth_first: list[tuple[int, int, int]] = []  # node, parent, letter
         token = [False]
         for t in tokens:
+            if any(c >= 512 for c in map(ord, t)):
+                raise ValueError(f"not a byte-level token: {t!r}")
             node = 0
             for c in map(ord, t):
                 key = node * 512 + c

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.components import components
 from . import base
 
 
@@ -92,29 +93,6 @@ def links(fps: DataFrame, bits: int = 4, count: int = 3) -> DataFrame:
     return p.join(t, (F.col("p.s") == F.col("t.s")) & (F.col("p.v") == F.col("t.v")) & (F.col("p.a") < F.col("t.b")) & (F.bit_count(differ) <= bits) & first).select("a", "b")
 
 
-def components(pairs: DataFrame, limit: int = 50) -> DataFrame:
-    """(node, root) of every node of the pairs (a, b); root: the smallest node reachable.
-
-    Each round replaces the edges by those of a large star and a small star and writes them;
-    it ends when a round changes nothing. limit only guards against endless loops and raises.
-    """
-    edges = base.written(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    state = None
-    for _ in range(limit):
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == state:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        state = tuple(now)
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v"))))).filter("u <> v").distinct()
-        edges, old = base.written(small, "edges"), edges
-        base.forget(old)
-    raise RuntimeError("components did not settle")
-
-
 def grouped(prints: DataFrame, bits: int, count: int | None, key: str) -> tuple[DataFrame, DataFrame]:
     """Of a written table with columns key and fp: (fp, root, n_links, copies) of each distinct fingerprint and (root, component_id).
 
