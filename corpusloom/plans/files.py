@@ -15,7 +15,7 @@ def _tars(spark, sf_dir):
     """Tar shards of 1,000 documents, a sample for each: its text as the image, its language as the caption."""
     path = storage.new_path(spark, "tars")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("key"), F.encode("text", "UTF-8").alias("image"), F.col("lang").alias("caption"), F.floor(F.col("doc_id") / 1000).alias("shard"))
-    sinks.write_tar_samples(docs, path).count()
+    sinks.write_tar_samples(docs, path, stats=True)
     return path
 
 
@@ -27,9 +27,21 @@ def tar_samples(spark, sf_dir):
     return usable.select(F.concat("shard", F.lit("::"), "base").alias("image_key"), F.length(F.col("files")["jpg"]).cast("long").alias("bytes"), text.resolve_caption(F.col("txt"), F.col("json")).alias("caption"))
 
 
-@query("select count(distinct doc_id // 1000) as n_shards, cast(0 as bigint) as successes from documents")
+_PADDED = "cast(ceil(octet_length(encode({0})) / 512.0) as bigint) * 512"
+
+
+@query(f"""with s as (select doc_id // 1000 as shard, count(*) as n, cast(ceil((1024 + sum(1024 + {_PADDED.format("text")} + {_PADDED.format("lang")})) / 10240.0) as bigint) * 10240 as bytes from documents group by 1)
+select count(*) as n_shards, cast(sum(bytes) as bigint) as bytes, cast(sum(n) as bigint) as successes from s""")
 def shard_inventory(spark, sf_dir):
-    return metadata.shard_inventory(spark, _tars(spark, sf_dir)).select("n_shards", "successes")
+    """Shards, their bytes (blocks of 512 in records of 10,240) and what their sidecars report."""
+    return metadata.shard_inventory(spark, _tars(spark, sf_dir)).select("n_shards", "bytes", "successes")
+
+
+@query(f"""select concat(lpad(cast(doc_id // 1000 as varchar), 5, '0'), '.tar') as shard, count(*) as n, md5(string_agg(concat(cast(doc_id as varchar), '.txt'), ',' order by cast(doc_id as varchar))) as names from documents group by 1""")
+def tar_members(spark, sf_dir):
+    """The captions' names in each archive, by the headers alone."""
+    found = archives.read_members(spark, _tars(spark, sf_dir), suffixes=(".txt",), content=False)
+    return found.groupBy("shard").agg(F.count("*").alias("n"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.regexp_replace("name", "[.]txt$", ""))), lambda x: F.concat(x, F.lit(".txt"))), ",")).alias("names"))
 
 
 @query("select count(*) - least(100, count(*) // 10) as train_size, least(100, count(*) // 10) as val_size, 512 as image_size, 11 as seed from orders")

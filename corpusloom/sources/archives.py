@@ -1,7 +1,8 @@
 """Archives of samples: tar shards, zip manifests and .npy tensors.
 
-Archive bytes come from Spark's own binary reader, so any store it can read will do; one
-archive is one row and one unit of work, and may hold up to 2 GB.
+Spark lists the archives without their contents and deals them over tasks; a task opens
+its archives one after the other and streams their members, so an archive has no greatest
+size. A member is one value of a row and may hold up to 2 GB.
 """
 
 from __future__ import annotations
@@ -10,49 +11,75 @@ import io
 import json
 import tarfile
 import zipfile
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import keys
+from .stores import opened
 
 IMAGES = (".jpg", ".jpeg", ".png", ".webp")
+#: Rows and bytes of members that a task hands on at once, and most tasks that archives are dealt over.
+BATCH_ROWS, BATCH_BYTES, MOST_TASKS = 256, 32 << 20, 10_000
 
 
 def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select("path", "content")
 
 
-def read_members(spark: SparkSession, path: str, pattern: str = "*.{tar,tgz,tar.gz}", suffixes: tuple[str, ...] | None = None) -> DataFrame:
+def _listed(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """The paths of archives, dealt one by one; no content is read."""
+    found = _files(spark, path, pattern).select("path")
+    return found.repartition(max(1, min(found.count(), MOST_TASKS)))
+
+
+def _members(archive, wanted, content: bool):
+    """(position, name, content) of the wanted members of an open tar, compressed or not; raises at a break."""
+    with tarfile.open(fileobj=archive, mode="r:*") as tar:
+        k = 0
+        while (member := tar.next()) is not None:
+            if member.isfile() and wanted(member.name):
+                yield k, member.name, tar.extractfile(member).read() if content else None
+            tar.members.clear()  # else it remembers all
+            k += 1
+        tar.fileobj.seek(tar.offset)
+        if 0 < len(tar.fileobj.read(tarfile.BLOCKSIZE)) < tarfile.BLOCKSIZE:  # a header that breaks off ends the loop quietly
+            raise tarfile.ReadError("unexpected end of data")
+
+
+def read_members(spark: SparkSession, path: str, pattern: str = "*.{tar,tgz,tar.gz}", suffixes: tuple[str, ...] | None = None, content: bool = True) -> DataFrame:
     """(shard, position, name, content, status) of each member file of each archive, compressed or not.
 
-    suffixes: only names that end so, in any case. What a broken archive holds up to the
+    suffixes: only names that end so, in any case. Without `content`, that column is null
+    and plain tars are read by their headers only. What a broken archive holds up to the
     break is kept; a last row without a name then says 'corrupt'.
     """
+    names = ["shard", "position", "name", "content", "status"]
+
+    def rows_of(where):
+        shard = where.rsplit("/", 1)[-1]
+        try:
+            with opened(where) as archive:
+                for k, name, data in _members(archive, lambda n: suffixes is None or n.lower().endswith(suffixes), content):
+                    yield shard, k, name, data, "ok"
+        except (tarfile.TarError, EOFError, OSError, zlib.error) as e:
+            yield shard, None, None, None, f"corrupt: {type(e).__name__}"
 
     def run(batches):
         import pandas as pd
 
         for pdf in batches:
-            for where, content in zip(pdf["path"], pdf["content"], strict=True):
-                shard, rows = where.rsplit("/", 1)[-1], []
-                try:
-                    with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as tar:
-                        for k, member in enumerate(tar):
-                            if member.isfile() and (suffixes is None or member.name.lower().endswith(suffixes)):
-                                rows.append((shard, k, member.name, tar.extractfile(member).read(), "ok"))
-                            if len(rows) >= 256:
-                                yield pd.DataFrame(rows, columns=names)
-                                rows = []
-                        tar.fileobj.seek(tar.offset)
-                        if 0 < len(tar.fileobj.read(tarfile.BLOCKSIZE)) < tarfile.BLOCKSIZE:  # a header that breaks off ends the loop quietly
-                            raise tarfile.ReadError("unexpected end of data")
-                except (tarfile.TarError, EOFError, OSError) as e:
-                    rows.append((shard, None, None, None, f"corrupt: {type(e).__name__}"))
-                yield pd.DataFrame(rows, columns=names)
+            rows, held = [], 0
+            for row in (row for where in pdf["path"] for row in rows_of(where)):
+                rows.append(row)
+                held += len(row[3] or b"")
+                if len(rows) >= BATCH_ROWS or held >= BATCH_BYTES:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, held = [], 0
+            yield pd.DataFrame(rows, columns=names)
 
-    names = ["shard", "position", "name", "content", "status"]
-    return _files(spark, path, pattern).mapInPandas(run, "shard string, position long, name string, content binary, status string")
+    return _listed(spark, path, pattern).mapInPandas(run, "shard string, position long, name string, content binary, status string")
 
 
 def read_tar_samples(spark: SparkSession, path: str, pattern: str = "*.tar") -> DataFrame:
@@ -68,31 +95,35 @@ def read_tar_samples(spark: SparkSession, path: str, pattern: str = "*.tar") ->
 
 def read_tgz_members(spark: SparkSession, path: str, suffixes: tuple[str, ...] = IMAGES) -> DataFrame:
     """(shard, position, name, status) of image members of gzip tars."""
-    return read_members(spark, path, "*.{tgz,tar.gz}", suffixes).drop("content")
+    return read_members(spark, path, "*.{tgz,tar.gz}", suffixes, content=False).drop("content")
 
 
 def read_zip_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(archive, name, p, prompt): entries of each zip's first .json that name a file of the archive."""
+    """(archive, name, p, prompt, status): entries of each zip's first .json that name a file of the archive.
+
+    A broken zip, or one whose .json is no JSON, is one row without a name that says 'corrupt'.
+    """
 
     def run(batches):
         import pandas as pd
 
         for pdf in batches:
-            for where, content in zip(pdf["path"], pdf["content"], strict=True):
+            for where in pdf["path"]:
+                archive = where.rsplit("/", 1)[-1]
                 rows = []
                 try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    with opened(where) as file, zipfile.ZipFile(file) as z:
                         inside = z.namelist()
                         if first := next((n for n in inside if n.endswith(".json")), None):
                             there = {n.rsplit("/", 1)[-1] for n in inside} | set(inside)
                             found = json.loads(z.read(first))
-                            rows = [(where.rsplit("/", 1)[-1], k, json.dumps(v)) for k, v in found.items() if k in there] if isinstance(found, dict) else []
-                except (zipfile.BadZipFile, ValueError):
-                    rows = []
-                yield pd.DataFrame(rows, columns=["archive", "name", "attributes"])
+                            rows = [(archive, k, json.dumps(v), "ok") for k, v in found.items() if k in there] if isinstance(found, dict) else []
+                except (zipfile.BadZipFile, ValueError, EOFError, OSError, zlib.error) as e:
+                    rows = [(archive, None, None, f"corrupt: {type(e).__name__}")]
+                yield pd.DataFrame(rows, columns=["archive", "name", "attributes", "status"])
 
-    got = _files(spark, path, "*.zip").mapInPandas(run, "archive string, name string, attributes string")
-    return got.select("archive", "name", F.get_json_object("attributes", "$.p").alias("p"), F.get_json_object("attributes", "$.prompt").alias("prompt"))
+    got = _listed(spark, path, "*.zip").mapInPandas(run, "archive string, name string, attributes string, status string")
+    return got.select("archive", "name", F.get_json_object("attributes", "$.p").alias("p"), F.get_json_object("attributes", "$.prompt").alias("prompt"), "status")
 
 
 def read_npy_latents(spark: SparkSession, path: str, fraction: float = 1.0) -> DataFrame:

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import io
+import json
 import tarfile
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..operators.sampling import train_val_split
+from .stores import located
 
 
 def write_filtered(df: DataFrame, path: str) -> None:
@@ -41,44 +44,33 @@ def write_dataset(df: DataFrame, path: str, val_size: int, seed: int, key: str,
     return spark.read.json(f"{path}/dataset_config")
 
 
-def write_tar_samples(samples: DataFrame, path: str, shard: str = "shard") -> DataFrame:
-    """One tar per shard with <key>.jpg and <key>.txt of its rows (key, image, caption).
+def write_tar_samples(samples: DataFrame, path: str, shard: str = "shard", stats: bool = False) -> DataFrame:
+    """One tar per shard with <key>.jpg and <key>.txt of its rows (key, image, caption); (shard, file, n_samples, bytes), once all are written.
 
-    A shard's bytes are made in one task (assign_shards bounds its rows) and written by the
-    Hadoop file system of the path, first under another name and then renamed, so that a
-    retried task leaves no half archive. Returns (shard, file, n_samples, bytes).
+    A shard is written by one task (assign_shards bounds its rows), straight to the store,
+    first under another name and then renamed, so that a retried task leaves no half
+    archive. stats: a sidecar <shard>_stats.json with the number of successes beside it.
     """
+    target = path.rstrip("/")
 
     def pack(group):
         import pandas as pd
 
-        out = io.BytesIO()
-        with tarfile.open(fileobj=out, mode="w") as tar:
+        name = str(group[shard].iloc[0])
+        store, folder = located(target)
+        store.create_dir(folder, recursive=True)
+        stem = f"{folder}/{int(name):05d}" if name.isdigit() else f"{folder}/{name}"
+        final, part = f"{stem}.tar", f"{stem}.{uuid.uuid4().hex}"
+        with store.open_output_stream(part) as out, tarfile.open(fileobj=out, mode="w|") as tar:
             for key, image, caption in zip(group["key"], group["image"], group["caption"], strict=True):
                 for ext, data in (("jpg", image), ("txt", (caption or "").encode())):
                     info = tarfile.TarInfo(f"{key}.{ext}")
                     info.size = len(data)
                     tar.addfile(info, io.BytesIO(data))
-        return pd.DataFrame({"shard": [str(group[shard].iloc[0])], "n_samples": [len(group)], "content": [out.getvalue()]})
+        store.move(part, final)
+        if stats:
+            with store.open_output_stream(f"{stem}_stats.json") as out:
+                out.write(json.dumps({"successes": len(group)}).encode())
+        return pd.DataFrame({"shard": [name], "file": [final], "n_samples": [len(group)], "bytes": [store.get_file_info(final).size]})
 
-    packed = samples.groupBy(shard).applyInPandas(pack, "shard string, n_samples long, content binary")
-    target, tag = path.rstrip("/"), uuid.uuid4().hex
-
-    def store(batches):
-        import pandas as pd
-        import pyarrow.fs as fs
-
-        for pdf in batches:
-            rows = []
-            for name, n, content in zip(pdf["shard"], pdf["n_samples"], pdf["content"], strict=True):
-                store, folder = fs.FileSystem.from_uri(target if "://" in target else f"file://{target}")
-                store.create_dir(folder, recursive=True)
-                final = f"{folder}/{int(name):05d}.tar" if name.isdigit() else f"{folder}/{name}.tar"
-                part = f"{final}.{tag}-{uuid.uuid4().hex[:8]}"
-                with store.open_output_stream(part) as f:
-                    f.write(content)
-                store.move(part, final)
-                rows.append((name, final, n, len(content)))
-            yield pd.DataFrame(rows, columns=["shard", "file", "n_samples", "bytes"])
-
-    return packed.select("shard", "n_samples", "content").mapInPandas(store, "shard string, file string, n_samples long, bytes long")
+    return storage.written(samples.groupBy(shard).applyInPandas(pack, "shard string, file string, n_samples long, bytes long"), "shards")

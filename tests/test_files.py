@@ -44,7 +44,9 @@ def test_gzip_and_zip(spark, tmp_path):
         z.writestr("a.png", b"")
         z.writestr("b.png", b"")
     (tmp_path / "bad.zip").write_bytes(b"no zip")
-    assert sorted(map(tuple, archives.read_zip_manifest(spark, str(tmp_path)).collect())) == [("p.zip", "a.png", "pa", None), ("p.zip", "b.png", None, "pb")]
+    manifest = archives.read_zip_manifest(spark, str(tmp_path))
+    assert sorted(map(tuple, manifest.filter("status = 'ok'").drop("status").collect())) == [("p.zip", "a.png", "pa", None), ("p.zip", "b.png", None, "pb")]
+    assert [(r.archive, r.name, r.status[:8]) for r in manifest.filter("status <> 'ok'").collect()] == [("bad.zip", None, "corrupt:")]
 
 
 def test_latents(spark, tmp_path):
