@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import LATENT_BYTES
 from ..functions import arrays, text
 from .filters import PEOPLE
+from .sampling import ordered_position
 
 
 def keep_summary(df: DataFrame, keep: Column, file: str | None = None) -> DataFrame:
@@ -80,18 +83,27 @@ def ema(df: DataFrame, value: str, order: list[str], by: list[str], decay: float
     """Per group: the exponential average at its last row, and the number of rows.
 
     The decay warms up as min(decay, (1 + s) / (10 + s)) at step s; the first value starts
-    the average. A group is one metric's series, whose rows a fold needs in order.
+    the average. Each row's weight in the result follows from its step and the last one:
+    the product of the decays up to step s is 10! / ((s + 2) ... (s + 10)) as long as it
+    warms up and shrinks by `decay` a step from there on. So the average is a sum, whose
+    rows are numbered in slices and added up in parts, however many a group has.
+    order: the first column is a number or a time.
     """
-    series = F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("_v"))))
-    start = F.struct(F.lit(None).cast("double").alias("e"), F.lit(0).cast("long").alias("s"))
-
-    def step(acc, x):
-        s = acc["s"] + 1
-        d = F.least(F.lit(decay), (1 + s).cast("double") / (10 + s))
-        return F.struct(F.when(acc["e"].isNull(), x["_v"]).otherwise(acc["e"] * d + x["_v"] * (1 - d)).alias("e"), F.when(acc["e"].isNull(), acc["s"]).otherwise(s).alias("s"))
-
-    folded = df.filter(F.col(value).isNotNull()).groupBy(*by).agg(F.aggregate(series, start, step).alias("f"), F.count("*").alias("n"))
-    return folded.select(*by, F.col("f.e").alias("ema"), "n")
+    warm = max(0, math.ceil((10 * decay - 1) / (1 - decay)) - 1) if decay < 1 else 1 << 62  # the last step below `decay`
+
+    def log_product(s):
+        up = F.least(s, F.lit(warm))
+        rising = sum((F.log(up + k) for k in range(3, 11)), F.log(up + 2))
+        return F.lit(math.lgamma(11)) - rising + (s - up) * math.log(decay)
+
+    at, step = F.col("_step"), F.col("_last")
+    rows = df.filter(F.col(value).isNotNull()).select(*by, *order, F.col(value).cast("double").alias("_v"), F.col(order[0]).cast("timestamp" if df.schema[order[0]].dataType.typeName() == "timestamp_ntz" else df.schema[order[0]].dataType).cast("double").alias("_key"))
+    numbered = ordered_position(rows, "_key", order, "_step", by=by).withColumn("_step", at - 1)
+    last = rows.groupBy(*(F.col(c).alias(f"_of{i}") for i, c in enumerate(by))).agg((F.count("*") - 1).alias("_last"))
+    joined = numbered.join(last, [F.col(c).eqNullSafe(F.col(f"_of{i}")) for i, c in enumerate(by)])
+    rate = F.least(F.lit(decay), (1 + at).cast("double") / (10 + at))
+    weight = F.when(at == 0, 1.0).otherwise(1 - rate) * F.exp(log_product(step) - log_product(at))
+    return joined.groupBy(*by).agg(F.sum(F.col("_v") * weight).alias("ema"), F.count("*").alias("n"))
 
 
 def throughput(df: DataFrame, ts: str, order: list[str], by: list[str], every: int) -> DataFrame:

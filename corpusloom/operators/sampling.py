@@ -2,7 +2,7 @@
 
 A global position never needs a window over the whole table: the order is by a hash (or by
 given columns), rows are dealt over slices of that order, numbered inside their slice, and
-shifted by the sizes of the slices before, of which there are at most a few thousand.
+shifted by the sizes of the slices before, of which there are at most 65,536.
 """
 
 from __future__ import annotations
@@ -12,8 +12,16 @@ from pyspark.sql import functions as F
 
 from ..functions import chance
 
-#: Hex digits of the hash that name a slice: 256 slices, each a window partition.
-SLICE_DIGITS = 2
+#: About so many rows a slice, each a window partition.
+SLICE_ROWS = 1 << 22
+
+
+def _slice_digits(rows: int) -> int:
+    """Hex digits of the hash that name a slice: 2 to 4."""
+    digits = 2
+    while digits < 4 and rows > SLICE_ROWS * 16**digits:
+        digits += 1
+    return digits
 
 
 def _numbered(df: DataFrame, slice_: Column, order: list, name: str, by: list[str]) -> DataFrame:
@@ -31,18 +39,14 @@ def _numbered(df: DataFrame, slice_: Column, order: list, name: str, by: list[st
 def position(df: DataFrame, seed: int, key: str, name: str = "rn", by: list[str] | None = None) -> DataFrame:
     """df with the 1-based place of each row in the hash order, overall or within each group."""
     h = chance.hash_order(seed, F.col(key))
-    return _numbered(df, F.substring(h, 1, SLICE_DIGITS), [h, key], name, by or [])
+    return _numbered(df, F.substring(h, 1, _slice_digits(df.count())), [h, key], name, by or [])
 
 
-def ordered_position(df: DataFrame, order: str, ties: list[str], name: str = "rn", slices: int = 256) -> DataFrame:
-    """df with the 1-based place of each row by a numeric column, its slices cut at approximate quantiles."""
+def ordered_position(df: DataFrame, order: str, ties: list[str], name: str = "rn", slices: int = 256, by: list[str] | None = None) -> DataFrame:
+    """df with the 1-based place of each row by a numeric column, overall or within each group, its slices cut at approximate quantiles."""
     cuts = df.agg(F.percentile_approx(order, [k / slices for k in range(1, slices)], 10_000).alias("c")).first()["c"] or []
     bounds = F.array(*(F.lit(c) for c in sorted(set(cuts)))) if cuts else F.array().cast("array<double>")
-    return _numbered(df, F.size(F.filter(bounds, lambda c: c < F.col(order))), [order, *ties], name, [])
-
-
-def count_of(df: DataFrame) -> int:
-    return df.count()
+    return _numbered(df, F.size(F.filter(bounds, lambda c: c < F.col(order))), [order, *ties], name, by or [])
 
 
 def shuffle(df: DataFrame, seed: int, key: str) -> DataFrame:
@@ -58,14 +62,14 @@ def cap_samples(df: DataFrame, n: int, seed: int, file: str, row: str, unit: str
 
 def train_val_split(df: DataFrame, val_size: int, seed: int, key: str, least_val: int = 0) -> DataFrame:
     """df with split: the first min(val_size, n // 10) rows of the hash order are val (at least least_val)."""
-    n = count_of(df)
+    n = df.count()
     val = max(min(val_size, n // 10), least_val)
     return position(df, seed, key, "_rn").withColumn("split", F.when(F.col("_rn") <= val, "val").otherwise("train")).drop("_rn")
 
 
 def epoch_shards(df: DataFrame, epoch: int, ranks: int, seed: int, key: str) -> DataFrame:
     """Rows of one epoch with their rank: equal contiguous slices of the epoch's order, the remainder dropped."""
-    n = count_of(df)
+    n = df.count()
     each = n // ranks
     return position(df, seed + epoch, key, "_rn").filter(F.col("_rn") <= each * ranks).withColumn("rank", F.floor((F.col("_rn") - 1) / max(1, each)).cast("long")).drop("_rn")
 
@@ -86,7 +90,7 @@ def assign_shards(df: DataFrame, size: int, seed: int, key: str) -> DataFrame:
 
 def split_workers(df: DataFrame, order: str, ties: list[str]) -> DataFrame:
     """df with worker: the first n // 2 rows by order are 0, the rest 1."""
-    n = count_of(df)
+    n = df.count()
     return ordered_position(df, order, ties, "_rn").withColumn("worker", F.when(F.col("_rn") <= n // 2, 0).otherwise(1)).drop("_rn")
 
 

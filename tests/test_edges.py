@@ -212,3 +212,21 @@ def test_metrics(spark):
     tokens = {r.k: r for r in features.encode_tokens(docs, "k", "t", vocab).collect()}
     assert tokens[1].input_ids[:6] == [1, 4, 3, 5, 2, 0] and sum(tokens[1].attention_mask) == 5 and tokens[2].input_ids[:3] == [1, 2, 0]
     assert len(tokens[3].input_ids) == 77 and tokens[3].input_ids[-1] == 2 and sum(tokens[3].attention_mask) == 77
+
+
+def test_ema_beyond_its_warm_up_and_in_any_group(spark):
+    def fold(values, decay):
+        e = values[0]
+        for s, v in enumerate(values[1:], 1):
+            d = min(decay, (1 + s) / (10 + s))
+            e = e * d + v * (1 - d)
+        return e
+
+    rows = [(g, t, float(t * 7 % 11)) for g in ("a", None) for t in range(40)] + [("a", 40, None), ("c", 0, 5.0)]
+    df = spark.createDataFrame(rows, "g string, t long, v double")
+    for decay in (0.5, 0.05, 0.9999, 1.0):
+        got = {r.g: (r.ema, r.n) for r in metrics.ema(df, "v", ["t"], ["g"], decay).collect()}
+        want = fold([float(t * 7 % 11) for t in range(40)], decay)
+        assert set(got) == {"a", None, "c"} and got["c"] == (5.0, 1)
+        assert all(math.isclose(got[g][0], want) and got[g][1] == 40 for g in ("a", None))
+    assert metrics.ema(df.filter("v is null"), "v", ["t"], ["g"]).count() == 0
