@@ -25,24 +25,13 @@ def merge_keep_existing(existing: DataFrame, new: DataFrame, key: str, order: li
     return dedup_keep_first(both, [key], ["_rank", *order]).drop("_rank")
 
 
-def _shingles(batches, words: int, short: bool = False):
-    """Arrow batches of (key, text) to (key, sorted distinct hashes of word shingles); with `short`, a text of fewer words has one of all its words."""
-    import pyarrow as pa
-    import xxhash
-
-    for batch in batches:
-        out = []
-        for text in batch.column(1).to_pylist():
-            w = (text or "").lower().split()
-            out.append(sorted({xxhash.xxh3_64_intdigest(" ".join(w[i : i + words])) - (1 << 63) for i in range(max(len(w) - words + 1, int(short and bool(w))))}))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["k", "s"])
-
-
 def _sets(df: DataFrame, key: str, text: str, words: int, short: bool) -> tuple[DataFrame, DataFrame]:
-    """(k, s) of every row that has a shingle, and the smallest key of each distinct set."""
-    kind = df.schema[key].dataType.simpleString()
-    sets = df.select(F.col(key).alias("k"), text).mapInArrow(lambda batches: _shingles(batches, words, short), f"k {kind}, s array<bigint>").filter("size(s) > 0")
-    sets = storage.written(sets, "sets")
+    """(k, s) of every row that has a shingle, s: its distinct shingles' hashes, sorted; and the smallest key of each distinct set. With `short`, a text of fewer words has one shingle of all its words."""
+    w = F.filter(F.split(F.lower(text), r"(?U)[\s\x1c-\x1f]+"), lambda x: x != "")
+    split = df.select(F.col(key).alias("k"), w.alias("w")).filter(F.size("w") >= (1 if short else words))
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - words + 1))
+    hashed = F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice("w", i, words), " ")))
+    sets = storage.written(split.select("k", F.array_sort(F.array_distinct(hashed)).alias("s")), "sets")
     return sets, storage.written(sets.groupBy("s").agg(F.min("k").alias("k")), "shingles")
 
 

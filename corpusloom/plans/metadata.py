@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..config import BROAD, REFINED, FilterConfig
-from ..functions import text
+from ..functions import registered, text
 from ..operators import dedup, filters, metrics
-from .registry import META, items, meta, query, table
+from .registry import ITEMS, META, items, meta, query, table
 
 _PASSES = """"URL" is not null and "TEXT" is not null and aesthetic_score >= {a} and similarity >= {s} and "WIDTH" >= 512 and "HEIGHT" >= 512
   and "WIDTH" / cast("HEIGHT" as double) between 0.5 and 2.0 and length("TEXT") between 20 and 300 and pwatermark < {w} and "NSFW" in ('UNLIKELY', 'unlikely')"""
@@ -92,9 +92,15 @@ def merge_keep_existing(spark, sf_dir):
     return dedup.merge_keep_existing(m.filter("row_id % 3 = 0"), m.filter("row_id % 3 <> 0"), "URL", ["row_id"])
 
 
-@query()
+@query(rf"""with recursive t as (select doc_id, list_filter(regexp_split_to_array(lower(text), '{_SPACE}+'), lambda x: x <> '') as w from documents),
+e as (select doc_id, len(s) as n, unnest(s) as h from (select doc_id, list_distinct(list_transform(range(0, greatest(len(w) - 4, 1)), lambda i: array_to_string(list_slice(w, i + 1, i + 5), ' '))) as s from t where len(w) > 0)),
+links as materialized (select a.doc_id as a, b.doc_id as b from e a join e b on a.h = b.h and a.doc_id < b.doc_id and a.n >= 0.8 * b.n and b.n >= 0.8 * a.n
+  group by a.doc_id, b.doc_id, a.n, b.n having count(*) >= 0.8 * (a.n + b.n - count(*))),
+ways as (select a, b from links union all select b, a from links),
+reach as (select doc_id as node, doc_id as root from documents union select x.b, r.root from reach r join ways x on x.a = r.node where r.root < x.b)
+select d.doc_id, min(r.root) as component_id, coalesce((select count(*) from ways x where x.a = d.doc_id), 0) as n_links from documents d join reach r on r.node = d.doc_id group by d.doc_id""")
 def near_dedup(spark, sf_dir):
-    """Every document with its class: five-word shingles, Jaccard 0.8; held against brute force in the tests."""
+    """Every document with its class: five-word shingles, Jaccard 0.8."""
     return dedup.near_duplicate_classes(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
@@ -161,11 +167,29 @@ def prompt_slugs(spark, sf_dir):
     return table(spark, sf_dir, "conversations").filter("text is not null").select("conv_id", "turn", text.word_count(t).cast("long").alias("n_words"), text.slug(t).alias("slug"), text.slug(t, index=F.col("turn")).alias("file"))
 
 
-@query("""select event_id, coalesce(cast(json_extract_string(props, '$.k') as varchar), event_type) as caption from events""")
+@query("""select event_id, case when event_id % 3 = 0 then event_type else coalesce(json_extract_string(props, '$.k'), '') end as caption from events""")
 def resolve_caption(spark, sf_dir):
-    """The JSON field if there is one, else the plain text."""
+    """The plain text, where there is one, else the JSON field, else nothing."""
     json = F.concat(F.lit('{"caption": "'), F.get_json_object("props", "$.k"), F.lit('"}'))
-    return table(spark, sf_dir, "events").select("event_id", F.when(json.isNull(), F.col("event_type")).otherwise(text.resolve_caption(F.lit(None).cast("string"), json)).alias("caption"))
+    txt = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(" "), "event_type", F.lit("\n")))
+    return table(spark, sf_dir, "events").select("event_id", text.resolve_caption(txt, json).alias("caption"))
+
+
+@query("""select doc_id, case when doc_id % 3 = 1 then lang when doc_id % 2 = 0 then source else cast(doc_id as varchar) end as prompt from documents where lang <> '' and source <> ''""")
+def manifest_prompt(spark, sf_dir):
+    """The manifest's short field, its long one, or the file's name."""
+    docs, i = table(spark, sf_dir, "documents").filter("lang <> '' and source <> ''"), F.col("doc_id")
+    p, prompt = F.when(i % 3 == 1, F.col("lang")).when(i % 3 == 2, F.lit("")), F.when(i % 2 == 0, F.col("source"))
+    return docs.select("doc_id", text.manifest_prompt(p, prompt, i.cast("string")).alias("prompt"))
+
+
+@query("""select doc_id, concat(replace(source, '/', '_'), '__', cast(doc_id as varchar), '.npy') as latent, source as shard, cast(doc_id as varchar) as base,
+  cast(concat('0x', substr(md5(concat('4:', cast(doc_id as varchar))), 1, 8)) as bigint) / 4294967296.0 as u from documents where not contains(source, '::')""")
+def sql_functions(spark, sf_dir):
+    """The registered functions, called from SQL."""
+    registered.register(spark)
+    table(spark, sf_dir, "documents").filter("not contains(source, '::')").selectExpr("doc_id", "concat(source, '::', doc_id) as k").createOrReplaceTempView("_keys_of_documents")
+    return spark.sql("select doc_id, latent_name(k) as latent, key_shard(k) as shard, key_base(k) as base, hash_uniform('4', cast(doc_id as string)) as u from _keys_of_documents")
 
 
 @query("select lang as source, doc_id, 'a photo' as caption from documents")
@@ -174,10 +198,11 @@ def template_caption(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.col("lang").alias("source"), "doc_id", F.lit("a photo").alias("caption"))
 
 
-@query("select l_orderkey % 1000 as shard, count(*) as n_items, min(l_linenumber) as first_base from lineitem group by 1")
+@query(f"with {ITEMS} select l_orderkey % 1000 as shard, count(*) as n_items, md5(string_agg(image_key, ',' order by l_linenumber, image_key)) as outputs from items group by 1")
 def group_by_shard(spark, sf_dir):
+    """Every shard's whole list, as a digest."""
     df = items(spark, sf_dir).select((F.col("l_orderkey") % 1000).alias("shard"), F.col("l_linenumber").alias("base"), F.col("image_key").alias("output"))
-    return metrics.group_by_shard(df, "shard", "base", "output").select("shard", F.size("items").cast("long").alias("n_items"), F.col("items")[0]["base"].alias("first_base"))
+    return metrics.group_by_shard(df, "shard", "base", "output").select("shard", F.size("items").cast("long").alias("n_items"), F.md5(F.array_join(F.transform("items", lambda x: x["output"]), ",")).alias("outputs"))
 
 
 @query("""select count(*) filter (where l_returnflag = 'A') as encoded, count(*) filter (where l_returnflag = 'R') as failed, count(*) filter (where l_returnflag = 'N') as skipped, cast(count(*) * 32768 as bigint) as expected_bytes from lineitem where l_returnflag in ('A', 'R', 'N')""")

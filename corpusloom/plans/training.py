@@ -121,11 +121,22 @@ _examples("epsilon", "list_sum(e)", "p * list_sum(x) + q * list_sum(e)")
 _examples("velocity", "p * list_sum(e) - q * list_sum(x)", "p * list_sum(x) + q * list_sum(e)")
 
 
-@query()
+def _normal(seed, key):
+    return f"sqrt(-2 * ln(1 - {_U.format(seed=seed + 'a', key=key)})) * cos(2 * pi() * {_U.format(seed=seed + 'b', key=key)})"
+
+
+_PLACED = "round(list_sum(list_transform(range(1, len(x) + 1), lambda i: i * ({0}))), 5)"
+
+
+@query(f"""with v as (select vec_id, least(greatest(1 / (1 + exp(-{_normal("3t", "vec_id")})), 0.001), 0.999) as t, list_transform(embedding, lambda y: cast(y as double)) as x,
+  list_transform(range(0, len(embedding)), lambda i: {_normal("3", "concat(cast(vec_id as varchar), ':', cast(i as varchar))")}) as e from embeddings)
+select vec_id, round(t, 9) as t, {_PLACED.format("(1 - t) * x[i] + t * e[i]")} as x_sum, {_PLACED.format("e[i] - x[i]")} as target_sum from v""")
 def examples_flow(spark, sf_dir):
-    """Logit-normal times and drawn noise; checked by moments in the tests."""
+    """Logit-normal times and drawn noise; arrays are compared by sums of their entries times their places."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return features.training_examples(e, "vec_id", "embedding", features.noise_schedule(spark), 3, "flow").select("vec_id", "t", "x_t", "target")
+    out = features.training_examples(e, "vec_id", "embedding", features.noise_schedule(spark), 3, "flow")
+    placed = lambda c: F.round(arrays.total(F.transform(c, lambda x, i: x * (i + 1))), 5)
+    return out.select("vec_id", F.round("t", 9).alias("t"), placed("x_t").alias("x_sum"), placed("target").alias("target_sum"))
 
 
 @query(f"""select row_id, case when u < 0.1 then '' else caption end as caption, case when u < 0.1 then '' else lang end as lang
