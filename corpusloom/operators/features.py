@@ -40,6 +40,22 @@ def encode_tokens(df: DataFrame, key: str, column: str, vocab: DataFrame, max_le
     return grouped.select(key, arrays.fit_length(seq, max_len, PAD).alias("input_ids"), arrays.attention_mask(F.size("ids") + 2, max_len).alias("attention_mask"))
 
 
+def encode_with(df: DataFrame, key: str, column: str, load: Callable[[], Callable], max_len: int = TOKENS) -> DataFrame:
+    """As encode_tokens, with the caller's tokeniser; load() runs once in each task and returns a function from a list of texts to a list of id lists. A null caption is an empty one."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches):
+        import pyarrow as pa
+
+        tokenize = load()
+        for batch in batches:
+            got = tokenize([x or "" for x in batch.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([list(x)[:max_len] for x in got], pa.list_(pa.int32()))], [key, "ids"])
+
+    ids = df.select(key, column).mapInArrow(run, f"{key} {kind}, ids array<int>")
+    return ids.select(key, arrays.fit_length(F.col("ids"), max_len, PAD).alias("input_ids"), arrays.attention_mask(F.size("ids"), max_len).alias("attention_mask"))
+
+
 def crop_plan(width: Column, height: Column, target: int = 512, variant: str = "integer") -> Column:
     """struct(new_w, new_h, left, top, resample): the short side becomes target, then a centre crop.
 
@@ -125,11 +141,6 @@ def caption_dropout(df: DataFrame, columns: list[str], p: float, seed: int, key:
     return df.withColumns({c: F.when(gone, F.lit(empty)).otherwise(F.col(c)) for c in columns})
 
 
-def block_mean(x: list[float], factor: int = 8) -> list[float]:
-    """A stand-in encoder: means of runs of `factor` entries, scaled."""
-    return [sum(x[k : k + factor]) / len(x[k : k + factor]) * SCALING for k in range(0, len(x), factor)]
-
-
 def encode_batches(df: DataFrame, done: DataFrame, key: str, value: str, load: Callable[[], Callable], batch_size: int = 32) -> DataFrame:
     """(key, latent, failed) of the rows that are not done, encoded in batches.
 

@@ -156,12 +156,21 @@ def fit_arrays(spark, sf_dir):
     )
 
 
-@query("""select vec_id, round(list_sum(list_transform(list_slice(embedding, 1, 8), lambda x: cast(x as double))) / 8 * 0.18215, 5) as first, cast(8 as bigint) as n, false as failed from embeddings where vec_id % 5 <> 0""")
+@query("""select vec_id, round(list_sum(list_transform(range(1, 65), lambda i: cast(embedding[i] as double) * ((i - 1) // 8 + 1))) / 8 * 0.18215, 4) as placed, cast(8 as bigint) as n, false as failed from embeddings where vec_id % 5 <> 0""")
 def encode_latents(spark, sf_dir):
-    """Batched encoding of what is not done yet."""
+    """Batched encoding of what is not done yet; latents are compared by the sum of their entries times their places."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     out = features.encode_batches(e, e.filter("vec_id % 5 = 0"), "vec_id", "embedding", features.block_mean_encoder())
-    return out.select("vec_id", F.round(F.col("latent")[0].cast("double"), 5).alias("first"), F.size("latent").cast("long").alias("n"), "failed")
+    placed = arrays.total(F.transform("latent", lambda x, i: x.cast("double") * (i + 1)))
+    return out.select("vec_id", F.round(placed, 4).alias("placed"), F.size("latent").cast("long").alias("n"), "failed")
+
+
+@query("""select doc_id, array_to_string(list_resize(list_slice(list_transform(regexp_split_to_array(coalesce(text, ''), ' '), lambda w: length(w) + 1), 1, 77), 77, 0), ',') as input_ids,
+  cast(least(len(regexp_split_to_array(coalesce(text, ''), ' ')), 77) as bigint) as n_mask from documents""")
+def encode_with(spark, sf_dir):
+    """A tokeniser of the caller's: here each word's length, and one."""
+    out = features.encode_with(table(spark, sf_dir, "documents"), "doc_id", "text", lambda: lambda texts: [[len(w) + 1 for w in t.split(" ")] for t in texts])
+    return out.select("doc_id", F.array_join(F.col("input_ids").cast("array<string>"), ",").alias("input_ids"), F.aggregate("attention_mask", F.lit(0), lambda s, x: s + x).cast("long").alias("n_mask"))
 
 
 @query(f"select event_id, round({_U.format(seed='11', key='event_id')}, 9) as u from events")
