@@ -27,6 +27,32 @@ def tar_samples(spark, sf_dir):
     return usable.select(F.concat("shard", F.lit("::"), "base").alias("image_key"), F.length(F.col("files")["jpg"]).cast("long").alias("bytes"), text.resolve_caption(F.col("txt"), F.col("json")).alias("caption"))
 
 
+@query("""select concat(lpad(cast(doc_id // 1000 as varchar), 5, '0'), '.tar') as shard, cast(doc_id as varchar) as name, octet_length(encode(text)) as bytes, sha256(text) as digest, 'ok' as status
+from documents where text is not null and (doc_id // 1000) % 2 = 0
+union all select concat(lpad(cast(doc_id // 1000 as varchar), 5, '0'), '.tar'), cast(doc_id as varchar), octet_length(encode(lang)), sha256(lang), 'ok' from documents where text is not null and (doc_id // 1000) % 2 = 0""")
+def tar_contents(spark, sf_dir):
+    """Every member of every other shard, contents compared by digest; the other shards are not opened."""
+    members = archives.read_members(spark, _tars(spark, sf_dir), pattern="*[02468].tar")
+    return members.select("shard", F.regexp_replace("name", "[.](jpg|txt)$", "").alias("name"), F.length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("digest"), "status")
+
+
+@query("""select concat(lpad(cast(doc_id // 2000 as varchar), 5, '0'), '.tar.gz') as shard, cast(2 * (row_number() over (partition by doc_id // 2000 order by cast(doc_id as varchar)) - 1) as bigint) as position,
+  concat(cast(doc_id as varchar), '.jpg') as name, 'ok' as status from documents where text is not null""")
+def tgz_members(spark, sf_dir):
+    """Image members of gzip tars with their places; captions lie between them."""
+    path = storage.new_path(spark, "tgz")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("key"), F.encode("text", "UTF-8").alias("image"), F.col("lang").alias("caption"), F.floor(F.col("doc_id") / 2000).alias("shard"))
+    sinks.write_tar_samples(docs, path, compress="gz")
+    return archives.read_tgz_members(spark, path)
+
+
+@query("""select lpad(cast(doc_id // 1000 as varchar), 5, '0') as shard, count(text) as n_samples, count(*) - count(text) as n_failed from (select doc_id, case when doc_id % 17 <> 0 then text end as text from documents) group by 1""")
+def write_tars(spark, sf_dir):
+    """What a write reports of each shard; samples without an image are counted, not written."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.when(F.col("doc_id") % 17 != 0, F.encode("text", "UTF-8")).alias("image"), F.col("lang").alias("caption"), F.lpad(F.floor(F.col("doc_id") / 1000).cast("string"), 5, "0").alias("shard"))
+    return sinks.write_tar_samples(docs, storage.new_path(spark, "tars")).select("shard", "n_samples", "n_failed")
+
+
 _PADDED = "cast(ceil(octet_length(encode({0})) / 512.0) as bigint) * 512"
 
 

@@ -1,27 +1,19 @@
-"""Archives of samples: tar shards, zip manifests and .npy tensors.
-
-Spark lists the archives without their contents and deals them over tasks; a task opens
-its archives one after the other and streams their members, so an archive has no greatest
-size. A member is one value of a row and may hold up to 2 GB.
-"""
+"""Archives of samples: tar shards (by the data source of `tars`), zip manifests and .npy tensors."""
 
 from __future__ import annotations
 
 import io
 import json
-import tarfile
 import zipfile
 import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import keys
-from .stores import opened
+from . import tars
+from .stores import opened, settings
 
 IMAGES = (".jpg", ".jpeg", ".png", ".webp")
-#: Rows and bytes of members that a task hands on at once, and most tasks that archives are dealt over.
-BATCH_ROWS, BATCH_BYTES, MOST_TASKS = 256, 32 << 20, 10_000
 
 
 def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
@@ -29,23 +21,15 @@ def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
 
 
 def _listed(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    """The paths of archives, dealt one by one; no content is read."""
+    """The paths of zips, dealt one by one; no content is read."""
     found = _files(spark, path, pattern).select("path")
-    return found.repartition(max(1, min(found.count(), MOST_TASKS)))
+    return found.repartition(max(1, min(found.count(), tars.MOST_TASKS)))
 
 
-def _members(archive, wanted, content: bool):
-    """(position, name, content) of the wanted members of an open tar, compressed or not; raises at a break."""
-    with tarfile.open(fileobj=archive, mode="r:*") as tar:
-        k = 0
-        while (member := tar.next()) is not None:
-            if member.isfile() and wanted(member.name):
-                yield k, member.name, tar.extractfile(member).read() if content else None
-            tar.members.clear()  # else it remembers all
-            k += 1
-        tar.fileobj.seek(tar.offset)
-        if 0 < len(tar.fileobj.read(tarfile.BLOCKSIZE)) < tarfile.BLOCKSIZE:  # a header that breaks off ends the loop quietly
-            raise tarfile.ReadError("unexpected end of data")
+def _tars(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    tars.register(spark)
+    pushdown = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    return spark.read.format(tars.Tars.name()).options(**settings(spark), pushdown=pushdown, **options).load(path)
 
 
 def read_members(spark: SparkSession, path: str, pattern: str = "*.{tar,tgz,tar.gz}", suffixes: tuple[str, ...] | None = None, content: bool = True) -> DataFrame:
@@ -55,42 +39,16 @@ def read_members(spark: SparkSession, path: str, pattern: str = "*.{tar,tgz,tar.
     and plain tars are read by their headers only. What a broken archive holds up to the
     break is kept; a last row without a name then says 'corrupt'.
     """
-    names = ["shard", "position", "name", "content", "status"]
-
-    def rows_of(where):
-        shard = where.rsplit("/", 1)[-1]
-        try:
-            with opened(where) as archive:
-                for k, name, data in _members(archive, lambda n: suffixes is None or n.lower().endswith(suffixes), content):
-                    yield shard, k, name, data, "ok"
-        except (tarfile.TarError, EOFError, OSError, zlib.error) as e:
-            yield shard, None, None, None, f"corrupt: {type(e).__name__}"
-
-    def run(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            rows, held = [], 0
-            for row in (row for where in pdf["path"] for row in rows_of(where)):
-                rows.append(row)
-                held += len(row[3] or b"")
-                if len(rows) >= BATCH_ROWS or held >= BATCH_BYTES:
-                    yield pd.DataFrame(rows, columns=names)
-                    rows, held = [], 0
-            yield pd.DataFrame(rows, columns=names)
-
-    return _listed(spark, path, pattern).mapInPandas(run, "shard string, position long, name string, content binary, status string")
+    return _tars(spark, path, pattern=pattern, suffixes=",".join(suffixes or ()), content=str(content).lower())
 
 
 def read_tar_samples(spark: SparkSession, path: str, pattern: str = "*.tar") -> DataFrame:
     """(shard, base, files): members that share a base form one sample, a map from extension to content.
 
-    Of members with one base and extension the last counts.
+    A task puts the samples of its archives together, so nothing is shuffled. Of members
+    with one base and extension the last counts.
     """
-    members = read_members(spark, path, pattern).filter("name is not null")
-    base, ext = keys.base_ext(F.col("name"))
-    one = members.select("shard", base.alias("base"), ext.alias("ext"), "position", "content").groupBy("shard", "base", "ext").agg(F.max_by("content", "position").alias("content"))
-    return one.groupBy("shard", "base").agg(F.map_from_entries(F.collect_list(F.struct("ext", "content"))).alias("files"))
+    return _tars(spark, path, pattern=pattern, rows="samples").filter("base is not null").drop("status")
 
 
 def read_tgz_members(spark: SparkSession, path: str, suffixes: tuple[str, ...] = IMAGES) -> DataFrame:
@@ -104,6 +62,8 @@ def read_zip_manifest(spark: SparkSession, path: str) -> DataFrame:
     A broken zip, or one whose .json is no JSON, is one row without a name that says 'corrupt'.
     """
 
+    options = settings(spark)
+
     def run(batches):
         import pandas as pd
 
@@ -112,7 +72,7 @@ def read_zip_manifest(spark: SparkSession, path: str) -> DataFrame:
                 archive = where.rsplit("/", 1)[-1]
                 rows = []
                 try:
-                    with opened(where) as file, zipfile.ZipFile(file) as z:
+                    with opened(where, options) as file, zipfile.ZipFile(file) as z:
                         inside = z.namelist()
                         if first := next((n for n in inside if n.endswith(".json")), None):
                             there = {n.rsplit("/", 1)[-1] for n in inside} | set(inside)

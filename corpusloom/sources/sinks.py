@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import io
-import json
-import tarfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import storage
 from ..operators.sampling import train_val_split
-from .stores import located
+from . import tars
+from .stores import settings
 
 
 def write_filtered(df: DataFrame, path: str) -> None:
@@ -44,33 +40,17 @@ def write_dataset(df: DataFrame, path: str, val_size: int, seed: int, key: str,
     return spark.read.json(f"{path}/dataset_config")
 
 
-def write_tar_samples(samples: DataFrame, path: str, shard: str = "shard", stats: bool = False) -> DataFrame:
-    """One tar per shard with <key>.jpg and <key>.txt of its rows (key, image, caption); (shard, file, n_samples, bytes), once all are written.
+def write_tar_samples(samples: DataFrame, path: str, shard: str = "shard", stats: bool = False, compress: str | None = None) -> DataFrame:
+    """One tar per shard with <key>.jpg and <key>.txt of its rows (key, image, caption), in the order of keys; (shard, file, n_samples, n_failed, bytes), once all are written.
 
-    A shard is written by one task (assign_shards bounds its rows), straight to the store,
-    first under another name and then renamed, so that a retried task leaves no half
-    archive. stats: a sidecar <shard>_stats.json with the number of successes beside it.
+    A shard is written by one task (assign_shards bounds its rows), row by row; nothing of
+    a job that fails stays. A row without key or image is not written, but counted in
+    n_failed; a null caption is empty. stats: a sidecar <shard>_stats.json beside each tar.
+    compress: 'gz' for .tar.gz.
     """
-    target = path.rstrip("/")
-
-    def pack(group):
-        import pandas as pd
-
-        name = str(group[shard].iloc[0])
-        store, folder = located(target)
-        store.create_dir(folder, recursive=True)
-        stem = f"{folder}/{int(name):05d}" if name.isdigit() else f"{folder}/{name}"
-        final, part = f"{stem}.tar", f"{stem}.{uuid.uuid4().hex}"
-        with store.open_output_stream(part) as out, tarfile.open(fileobj=out, mode="w|") as tar:
-            for key, image, caption in zip(group["key"], group["image"], group["caption"], strict=True):
-                for ext, data in (("jpg", image), ("txt", (caption or "").encode())):
-                    info = tarfile.TarInfo(f"{key}.{ext}")
-                    info.size = len(data)
-                    tar.addfile(info, io.BytesIO(data))
-        store.move(part, final)
-        if stats:
-            with store.open_output_stream(f"{stem}_stats.json") as out:
-                out.write(json.dumps({"successes": len(group)}).encode())
-        return pd.DataFrame({"shard": [name], "file": [final], "n_samples": [len(group)], "bytes": [store.get_file_info(final).size]})
-
-    return storage.written(samples.groupBy(shard).applyInPandas(pack, "shard string, file string, n_samples long, bytes long"), "shards")
+    spark = samples.sparkSession
+    tars.register(spark)
+    rows = samples.select(F.col(shard).cast("string").alias("shard"), F.col("key").cast("string").alias("key"), "image", "caption").repartition("shard").sortWithinPartitions("shard", "key")
+    options = {**settings(spark), "stats": str(stats).lower(), "summary": storage.new_path(spark, "shards") + ".jsonl"} | ({"compress": compress} if compress else {})
+    rows.write.format(tars.Tars.name()).mode("append").options(**options).save(path.rstrip("/"))
+    return spark.read.schema("shard string, file string, n_samples long, n_failed long, bytes long").json(options["summary"])
