@@ -201,3 +201,69 @@ def test_pages(spark, sf_dir):
     pages = spark.createDataFrame([(1, None, None, 1), (None, "u", "<p>x", 2), (1, None, None, 1)], "page_id long, url string, html string, text int")
     assert sorted((r.text, r.n_chars) for r in extract.main_text(pages).collect()) == [("", 0), ("", 0), ("x", 1)]
     assert extract.main_text(pages.limit(0)).count() == 0
+
+
+TEXT = "<p>" + "A sentence of the article with some words in it. " * 8 + "</p>"
+SILENT = [
+    "<script>leak()</script>", "<style>.leak{}</style>", "<noscript>leak</noscript>", "<textarea>leak</textarea>", "<template><p>leak</p></template>", "<svg><text>leak</text></svg>", "<button>leak</button>",
+    "<iframe>leak</iframe>", "<span hidden>leak</span>", "<b aria-hidden='true'>leak <i>leak</i> leak</b>", "<div style='display: none'><p>leak</p></div>", "<select><option>leak</option></select>", "<object>leak</object>",
+    "<button><div>leak</div></button>", "<em style='visibility:hidden'>leak</em>",
+]
+
+
+@pytest.mark.parametrize("part", SILENT)
+def test_nothing_is_read_inside_what_goes(part):
+    """First, last, between and inside paragraphs, in an article and in a plain body; the text around stays in its order."""
+    want = " ".join(("A sentence of the article with some words in it. " * 8).split())
+    for left, right in (("<article>", "</article>"), ("<body><div>", "</div></body>"), ("<main><div>", "</div></main>")):
+        for html in (f"{part}{TEXT}{TEXT}", f"{TEXT}{part}{TEXT}", f"{TEXT}{TEXT}{part}"):
+            assert extract.extract(left + html + right) == f"{want} {want}", html
+        got = extract.extract(f"{left}{TEXT}<p>before it {part} after it, with words that go on for a while.</p>{TEXT}{right}")
+        assert got == f"{want} before it after it, with words that go on for a while. {want}", got
+
+
+COMMENT = "<p>Ann, 3 May: " + "I do not agree with what this text says at all. " * 6 + "</p>"
+COMMENTS = [
+    f"<div class='comments-area'>{COMMENT * 4}</div>", f"<ol class='comment-list'>{''.join(f'<li>{COMMENT}</li>' for _ in range(4))}</ol>", f"<div class='comment-list'>{COMMENT * 4}</div>", f"<section id='comments'>{COMMENT * 12}</section>",
+    "<section class='comments'>" + f"<article class='comment'>{COMMENT}</article>" * 6 + "</section>", f"<div id='commentList'>{COMMENT * 3}</div>", f"<article class='comment' id='comment-7'>{COMMENT}</article>",
+    f"<div itemscope itemtype='https://schema.org/Comment'>{COMMENT * 2}</div>",
+]
+
+
+@pytest.mark.parametrize("comments", COMMENTS)
+def test_reader_comments_go(comments):
+    for html in (f"<body><article><h1>T</h1>{TEXT}{TEXT}{comments}</article></body>", f"<body><div><h1>T</h1>{TEXT}{TEXT}</div>{comments}</body>", f"<main><h1>T</h1>{TEXT}{TEXT}</main>{comments}", f"<body><article><h1>T</h1>{TEXT}{TEXT}</article>{comments}</body>"):
+        got = extract.extract(html)
+        assert "agree" not in got and got.startswith("T A sentence") and got.count("A sentence") == 16, html[:200]
+    assert "agree" in extract.extract(f"<body>{comments}</body>")  # all there is
+
+
+def test_boxes_go_and_sentences_stay():
+    box = "<div class='newsletter-signup'><p>Sign up to our weekly letter and get the best of our texts once a week, for free.</p></div>"
+    for html in (f"<main><h1>T</h1>{TEXT}{box}{TEXT}</main>", f"<main><h1>T</h1>{TEXT}<div class='letter-subscribe-now'><p>Sign up to get our texts once a week, by mail, for free.</p><input></div>{TEXT}</main>"):
+        got = extract.extract(html)
+        assert "Sign up" not in got and got.count("A sentence") == 16
+    for kept in ("<p class='share'>Each of them took a share of the land, and they lived on it.</p>", "<div class='widget'><p>A widget is a small part of a machine, as this text explains at length.</p></div>"):
+        assert kept.split(">")[-3 if "</p></div>" in kept else -2].split("<")[0] in extract.extract(f"<article><h1>T</h1>{TEXT}{kept}{TEXT}</article>")
+
+
+def test_links_of_the_text_stay():
+    references = "<ul>" + "".join(f"<li><a href='/{k}'>Author {k}, The history of the text, volume {k}</a></li>" for k in range(4)) + "</ul>"
+    short = "<ul><li><a>One</a></li><li><a>Two</a></li></ul>"
+    got = extract.extract(f"<article><h1>T</h1>{TEXT}{TEXT}<h2>Sources</h2>{references}<table><tr><td><a>Table link</a></td></tr></table><h2>Links</h2>{short}</article>")
+    assert "volume 3" in got and "Table link" in got and got.endswith("Links One Two")
+    assert "One Two" not in extract.extract(f"<article><h1>T</h1>{TEXT}{TEXT}<h2>Related posts</h2>{short}</article>")
+
+
+def test_teasers_are_not_the_region():
+    """Small <article> teasers beside a text in plain containers: the marked text decides."""
+    teaser = "<div><article><a>Short</a></article><article><a>Other</a></article></div>"
+    got = extract.extract(f"<body>{teaser}<div id='text'><h1>T</h1>{TEXT * 3}</div></body>")
+    assert got.startswith("T A sentence") and got.count("A sentence") == 24 and "Short" not in got
+
+
+@pytest.mark.parametrize("tail", ["<div ", "<a href='", "<!-- ", "</div ", "<![CDATA[", "<? ", "<", "&#x", "<script>", "<p hidden ", "<div <b>", "<!-- >"])
+def test_unfinished_tags_are_linear(tail):
+    began = time.process_time()
+    assert extract.extract(f"<p>some text here</p>{tail * 100_000}").startswith("some text here")
+    assert time.process_time() - began < 3, tail
