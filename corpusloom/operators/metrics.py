@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..config import LATENT_BYTES
 from ..functions import arrays, text
 from .filters import PEOPLE
-from .sampling import ordered_position
+from .scans import numbered
 
 
 def keep_summary(df: DataFrame, keep: Column, file: str | None = None) -> DataFrame:
@@ -65,10 +65,11 @@ def latent_stats(df: DataFrame, value: str) -> DataFrame:
     return sums.select("n", (F.col("s") / F.col("n")).alias("mean"), F.sqrt(F.greatest(F.lit(0.0), F.col("s2") / F.col("n") - F.pow(F.col("s") / F.col("n"), 2))).alias("std"))
 
 
-def running_mean(df: DataFrame, value: str, order: list[str], by: list[str], every: int = 100) -> DataFrame:
-    """The mean so far at every `every`-th row of each group."""
-    over = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn("step", F.row_number().over(over)).withColumn("running_mean", F.avg(value).over(over.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("step") % every == 0)
+def running_mean(df: DataFrame, value: str, order: list[str], by: list[str], every: int = 100, **scan) -> DataFrame:
+    """The mean so far at every `every`-th row of each group; nulls count as steps, not as values. scan: options of scans.numbered."""
+    v = F.col(value).cast("double")
+    out = numbered(df, by, order, "step", {"_total": v, "_values": v.isNotNull().cast("long")}, **scan)
+    return out.withColumn("step", F.col("step").cast("int")).withColumn("running_mean", F.try_divide("_total", "_values")).drop("_total", "_values").filter(F.col("step") % every == 0)
 
 
 def running_best(df: DataFrame, value: str, epoch: str, by: list[str]) -> DataFrame:
@@ -79,15 +80,15 @@ def running_best(df: DataFrame, value: str, epoch: str, by: list[str]) -> DataFr
     return epochs.withColumn("best", F.least("epoch_mean", before)).withColumn("new_best", before.isNull() | (F.col("epoch_mean") < before))
 
 
-def ema(df: DataFrame, value: str, order: list[str], by: list[str], decay: float = 0.9999) -> DataFrame:
+def ema(df: DataFrame, value: str, order: list[str], by: list[str], decay: float = 0.9999, **scan) -> DataFrame:
     """Per group: the exponential average at its last row, and the number of rows.
 
     The decay warms up as min(decay, (1 + s) / (10 + s)) at step s; the first value starts
-    the average. Each row's weight in the result follows from its step and the last one:
-    the product of the decays up to step s is 10! / ((s + 2) ... (s + 10)) as long as it
-    warms up and shrinks by `decay` a step from there on. So the average is a sum, whose
-    rows are numbered in slices and added up in parts, however many a group has.
-    order: the first column is a number or a time.
+    the average. A step maps the average e to d * e + (1 - d) * v, and such maps compose, so
+    a row's weight in the result is the product of the decays behind it: up to step s that
+    product is 10! / ((s + 2) ... (s + 10)) as long as the decay warms up, and shrinks by
+    `decay` a step from there on. The average is therefore a sum over numbered rows, which
+    each task adds up for itself, however many rows a group has.
     """
     warm = max(0, math.ceil((10 * decay - 1) / (1 - decay)) - 1) if decay < 1 else 1 << 62  # the last step below `decay`
 
@@ -96,19 +97,16 @@ def ema(df: DataFrame, value: str, order: list[str], by: list[str], decay: float
         rising = sum((F.log(up + k) for k in range(3, 11)), F.log(up + 2))
         return F.lit(math.lgamma(11)) - rising + (s - up) * math.log(decay)
 
-    at, step = F.col("_step"), F.col("_last")
-    rows = df.filter(F.col(value).isNotNull()).select(*by, *order, F.col(value).cast("double").alias("_v"), F.col(order[0]).cast("timestamp" if df.schema[order[0]].dataType.typeName() == "timestamp_ntz" else df.schema[order[0]].dataType).cast("double").alias("_key"))
-    numbered = ordered_position(rows, "_key", order, "_step", by=by).withColumn("_step", at - 1)
-    last = rows.groupBy(*(F.col(c).alias(f"_of{i}") for i, c in enumerate(by))).agg((F.count("*") - 1).alias("_last"))
-    joined = numbered.join(last, [F.col(c).eqNullSafe(F.col(f"_of{i}")) for i, c in enumerate(by)])
+    rows = df.filter(F.col(value).isNotNull()).select(*by, *(c for c in order if c not in by), F.col(value).cast("double").alias("_v"))
+    stepped = numbered(rows, by, order, "_step", total="_all_steps", **scan)
+    at, last = F.col("_step") - 1, F.col("_all_steps") - 1
     rate = F.least(F.lit(decay), (1 + at).cast("double") / (10 + at))
-    weight = F.when(at == 0, 1.0).otherwise(1 - rate) * F.exp(log_product(step) - log_product(at))
-    return joined.groupBy(*by).agg(F.sum(F.col("_v") * weight).alias("ema"), F.count("*").alias("n"))
+    weight = F.when(at == 0, 1.0).otherwise(1 - rate) * F.exp(log_product(last) - log_product(at))
+    return stepped.groupBy(*by).agg(F.sum(F.col("_v") * weight).alias("ema"), F.count("*").alias("n"))
 
 
-def throughput(df: DataFrame, ts: str, order: list[str], by: list[str], every: int) -> DataFrame:
+def throughput(df: DataFrame, ts: str, order: list[str], by: list[str], every: int, **scan) -> DataFrame:
     """Per group and `every` rows: the seconds they took and items a second (null for none)."""
-    over = Window.partitionBy(*by).orderBy(*order)
-    marks = df.withColumn("chunk", F.floor((F.row_number().over(over) - 1) / every))
+    marks = numbered(df, by, order, "_rn", **scan).withColumn("chunk", F.floor((F.col("_rn") - 1) / every))
     seconds = F.unix_micros(F.max(F.col(ts).cast("timestamp"))) - F.unix_micros(F.min(F.col(ts).cast("timestamp")))
     return marks.groupBy(*by, "chunk").agg(F.count("*").alias("items"), (seconds / 1e6).alias("seconds")).withColumn("rate", F.try_divide(F.col("items"), F.col("seconds")))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import chance
+from .scans import numbered
 
 #: About so many rows a slice, each a window partition.
 SLICE_ROWS = 1 << 22
@@ -74,12 +75,11 @@ def epoch_shards(df: DataFrame, epoch: int, ranks: int, seed: int, key: str) ->
     return position(df, seed + epoch, key, "_rn").filter(F.col("_rn") <= each * ranks).withColumn("rank", F.floor((F.col("_rn") - 1) / max(1, each)).cast("long")).drop("_rn")
 
 
-def assign_batches(df: DataFrame, size: int, by: list[str], order: list[str], drop_last: bool = False) -> DataFrame:
-    """df with batch: runs of `size` rows within each group; drop_last leaves out a shorter last one."""
-    over = Window.partitionBy(*by)
-    out = df.withColumn("_rn", F.row_number().over(over.orderBy(*order))).withColumn("batch", F.floor((F.col("_rn") - 1) / size))
+def assign_batches(df: DataFrame, size: int, by: list[str], order: list[str], drop_last: bool = False, **scan) -> DataFrame:
+    """df with batch: runs of `size` rows within each group; drop_last leaves out a shorter last one. scan: options of scans.numbered."""
+    out = numbered(df, by, order, "_rn", total="_n" if drop_last else None, **scan).withColumn("batch", F.floor((F.col("_rn") - 1) / size))
     if drop_last:
-        out = out.withColumn("_n", F.count("*").over(over)).filter((F.col("batch") + 1) * size <= F.col("_n")).drop("_n")
+        out = out.filter((F.col("batch") + 1) * size <= F.col("_n")).drop("_n")
     return out.drop("_rn")
 
 
