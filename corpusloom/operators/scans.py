@@ -15,23 +15,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: A group with more than a row in SHARE of all is hot, if it has LEAST rows or more; sampled rows for each cut.
-SHARE, LEAST, SAMPLED = 256, 8192, 64
+SHARE, LEAST, SAMPLED = 256, 1 << 16, 64
+
+#: Every so many cuts one is looked at first.
+STRIDE = 8
 
 
 def _matches(by: list[str], other: str) -> list[Column]:
     return [F.col(c).eqNullSafe(F.col(f"{other}{i}")) for i, c in enumerate(by)]
 
 
-def _cuts(df: DataFrame, by: list[str], key: Column, groups: DataFrame, rows: int, share: int) -> DataFrame:
-    """(_of0.., _n, _cuts): the hot groups, their rows, and ascending values of `key` that cut them into blocks."""
+def _block(key: Column) -> Column:
+    """How many of the ascending `_cuts` are less than the key."""
+    passed = lambda cuts: F.coalesce(F.size(F.filter(cuts, lambda c: c < key)), F.lit(0))
+    return passed(F.col("_every")) * STRIDE + passed(F.slice("_cuts", passed(F.col("_every")) * STRIDE + 1, STRIDE - 1))
+
+
+def _cuts(df: DataFrame, by: list[str], key: Column, groups: DataFrame, rows: int, share: int, least: int) -> DataFrame:
+    """(_of0.., _n, _cuts, _every): the hot groups, their rows, and ascending values of `key` that cut them into blocks."""
     named = groups.select(*(F.col(c).alias(f"_of{i}") for i, c in enumerate(by)), "_n")
     sampled = df.filter(F.pmod(F.xxhash64(key), F.lit(max(1, rows // (share * SAMPLED)))) == 0)
     drawn = sampled.join(F.broadcast(named.drop("_n")), _matches(by, "_of"), "left_semi").groupBy(*(F.col(c).alias(f"_in{i}") for i, c in enumerate(by))).agg(F.array_sort(F.collect_set(key)).alias("_sample"))
     found = named.join(drawn, [F.col(f"_of{i}").eqNullSafe(F.col(f"_in{i}")) for i in range(len(by))], "left").drop(*(f"_in{i}" for i in range(len(by))))
-    blocks = F.least(F.ceil(F.col("_n") * share / rows), F.size("_sample"))
+    blocks = F.least(F.ceil(F.col("_n") * share / rows), F.ceil(F.col("_n") / least), F.size("_sample"))
     at = F.transform(F.sequence(F.lit(1), F.greatest(blocks - 1, F.lit(0)).cast("int")), lambda k: F.floor(k * F.size("_sample") / blocks).cast("int"))
     cuts = F.when(blocks > 1, F.array_distinct(F.transform(at, lambda k: F.get(F.col("_sample"), k)))).otherwise(F.slice(F.col("_sample"), 1, 0))
-    return found.withColumn("_cuts", cuts).drop("_sample")
+    every = F.filter("_cuts", lambda c, i: i % STRIDE == STRIDE - 1)
+    return found.withColumn("_cuts", cuts).withColumn("_every", every).drop("_sample")
 
 
 def numbered(df: DataFrame, by: list[str], order: list[str], name: str = "rn", sums: dict[str, Column] | None = None, total: str | None = None, share: int = SHARE, least: int = LEAST) -> DataFrame:
@@ -54,8 +64,8 @@ def numbered(df: DataFrame, by: list[str], order: list[str], name: str = "rn", s
     if (whole["most"] or 0) < least or whole["most"] * share <= whole["n"]:
         cut, hot = rows.withColumn("_block", F.lit(0)), None
     else:
-        hot = F.broadcast(_cuts(rows, by, key, counts.filter((F.col("_n") >= least) & (F.col("_n") * share > whole["n"])), whole["n"], share))  # fewer than `share`
-        cut = rows.join(hot, _matches(by, "_of"), "left").withColumn("_block", F.coalesce(F.size(F.filter("_cuts", lambda c: c < key)), F.lit(0))).drop("_cuts")
+        hot = F.broadcast(_cuts(rows, by, key, counts.filter((F.col("_n") >= least) & (F.col("_n") * share > whole["n"])), whole["n"], share, least))  # fewer than `share`
+        cut = rows.join(hot, _matches(by, "_of"), "left").withColumn("_block", F.coalesce(_block(key), F.lit(0))).drop("_cuts", "_every")
     places = {name: F.row_number().over(own).cast("long"), **{n: F.coalesce(F.sum(f"_sum_{n}").over(running), F.lit(0)) for n in sums}}
     if total:
         places["_in_block"] = F.count("*").over(Window.partitionBy(*by, "_block"))

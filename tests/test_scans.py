@@ -55,7 +55,7 @@ def test_a_hot_group_spreads(rows):
     """No window partition of a hot group holds much more than its share; ties stay together."""
     data, df = rows
     counts = df.groupBy("g").agg(F.count("*").alias("_n"))
-    hot = scans._cuts(df, ["g"], F.struct("t", "i"), counts.filter("_n >= 20 and _n * 16 > 3000"), 3000, 16)
+    hot = scans._cuts(df, ["g"], F.struct("t", "i"), counts.filter("_n >= 20 and _n * 16 > 3000"), 3000, 16, 20)
     sizes = {r._of0: (r._n, len(r._cuts)) for r in hot.collect()}
     assert set(sizes) == {None, "hot", "tied"} and sizes["hot"] == (1000, 5) and sizes["tied"] == (500, 2)
     plan = scans.numbered(df, ["g"], ["t", "i"], **HOT)._jdf.queryExecution().executedPlan().toString()
@@ -64,6 +64,14 @@ def test_a_hot_group_spreads(rows):
     assert scans.numbered(df, ["g"], ["t", "i"])._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
 
 
+def test_search_of_cuts(spark):
+    """In two steps as in one, at, between and beyond cuts of any number."""
+    for n in (0, 1, 7, 8, 9, 23, 24, 40):
+        cuts = [2 * k for k in range(n)]
+        df = spark.range(-1, 2 * n + 2).withColumn("_cuts", F.array(*(F.struct(F.lit(c).cast("long").alias("id")) for c in cuts)) if cuts else F.array().cast("array<struct<id:bigint>>")).withColumn("_every", F.filter("_cuts", lambda c, i: i % scans.STRIDE == scans.STRIDE - 1))
+        assert all(r.b == sum(c < r.id for c in cuts) for r in df.select("id", scans._block(F.struct("id")).alias("b")).collect())
+
+
 def test_metrics_of_hot_groups(rows):
     data, df = rows
     groups = by_group(data)
