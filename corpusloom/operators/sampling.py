@@ -7,7 +7,7 @@ shifted by the sizes of the slices before, of which there are at most 65,536.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions import chance
@@ -55,10 +55,36 @@ def shuffle(df: DataFrame, seed: int, key: str) -> DataFrame:
     return df.orderBy(chance.hash_order(seed, F.col(key)), key)
 
 
+def cut_after(counts: DataFrame, n: int, order: list[str]) -> tuple[DataFrame, Row | None, int]:
+    """counts: parts with their `_rows`. The parts, in order, of which every row is among the first n; the part where row n lies, if it isn't its last, and how many of its rows are among them."""
+    added = numbered(counts, [], order, "_place", {"_upto": F.col("_rows")})
+    broken = added.filter((F.col("_upto") > n) & (F.col("_upto") - F.col("_rows") < n)).first()
+    return added.filter(F.col("_upto") <= n).drop("_place"), broken, n - (broken["_upto"] - broken["_rows"]) if broken else 0
+
+
 def cap_samples(df: DataFrame, n: int, seed: int, file: str, row: str, unit: str = "file") -> DataFrame:
-    """Exactly n rows (or all): files in random order, each file's rows in theirs; unit 'row' shuffles rows."""
-    order = [chance.hash_order(seed, F.col(file)), file, row] if unit == "file" else [chance.hash_order(seed, F.col(file), F.col(row)), file, row]
-    return df.orderBy(*order).limit(n)
+    """Exactly n rows (or all): files in random order, each file's rows in theirs; unit 'row' shuffles rows.
+
+    Rows are counted by file, or by the first digits of their hash, and running sums of the
+    counts pick the files that stay whole and the one that is cut; only its rows are numbered.
+    """
+    if unit == "file":
+        parts = df.groupBy(file).agg(F.count("*").alias("_rows")).withColumn("_hash", chance.hash_order(seed, F.col(file)))
+        whole, broken, rest = cut_after(parts, n, ["_hash", file])
+        kept = df.join(whole.select(F.col(file).alias("_file")), F.col(file).eqNullSafe(F.col("_file")), "left_semi")
+        mine, order = F.col(file).eqNullSafe(F.lit(broken[file] if broken else None)), [row]
+    elif unit == "row":
+        df = df.withColumn("_hash", chance.hash_order(seed, F.col(file), F.col(row)))
+        digits = F.substring("_hash", 1, 4)
+        whole, broken, rest = cut_after(df.groupBy(digits.alias("_digits")).agg(F.count("*").alias("_rows")), n, ["_digits"])
+        last = whole.agg(F.max("_digits").alias("d")).first()["d"]
+        kept = df.filter(digits <= F.lit(last)) if last is not None else df.limit(0)
+        mine, order = digits == F.lit(broken["_digits"] if broken else None), ["_hash", file, row]
+    else:
+        raise ValueError(f"unknown unit {unit!r}")
+    if broken:
+        kept = kept.unionByName(numbered(df.filter(mine), [], order, "_rn").filter(F.col("_rn") <= rest).drop("_rn"))
+    return kept.drop("_hash")
 
 
 def train_val_split(df: DataFrame, val_size: int, seed: int, key: str, least_val: int = 0) -> DataFrame:

@@ -113,6 +113,16 @@ def write_filtered(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+@query("""select event_id, day from (select event_id, strftime(ts, '%Y-%m-%d') as day from events) order by md5(concat('8:', day)), day, event_id limit (select count(*) // 2 from events)""")
+def read_capped(spark, sf_dir):
+    """Half of the events out of files of a day each: whole days, and the first events of one."""
+    path = storage.new_path(spark, "days")
+    events = table(spark, sf_dir, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("day"))
+    events.repartition("day").sortWithinPartitions("day", "event_id").write.partitionBy("day").parquet(path)
+    found = metadata.read_capped(spark, path, events.count() // 2, 8, F.date_format("day", "yyyy-MM-dd"))
+    return found.select("event_id", F.date_format("day", "yyyy-MM-dd").alias("day"))
+
+
 @query("select count(*) as n, sum(o_orderkey) as keys, true as bounded from orders")
 def write_batches(spark, sf_dir):
     """Files of at most 1,000 rows: what they hold together, and whether each keeps to the bound."""

@@ -113,6 +113,13 @@ def cap_samples(spark, sf_dir):
     return sampling.cap_samples(table(spark, sf_dir, "documents").select("doc_id", "source"), 300, 42, "source", "doc_id")
 
 
+@query("select l_orderkey, l_linenumber from lineitem order by md5(concat('5:', cast(l_orderkey as varchar), ':', cast(l_linenumber as varchar))), l_orderkey, l_linenumber limit (select count(*) // 3 from lineitem)")
+def cap_rows(spark, sf_dir):
+    """A third of all rows, drawn one by one."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    return sampling.cap_samples(rows, rows.count() // 3, 5, "l_orderkey", "l_linenumber", unit="row")
+
+
 @query(f"select doc_id, row_number() over (order by {_HASH.format(seed=42, key='doc_id')}, doc_id) as rn from documents")
 def shuffle_positions(spark, sf_dir):
     """The place of every row in the repeatable random order."""

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from urllib.parse import unquote
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import chance, text
 from ..operators.filters import ALIASES, normalize_columns
+from ..operators.sampling import cut_after
 
 
 def read_metadata(spark: SparkSession, path: str, recursive: bool = True, normalize: bool = True) -> DataFrame:
@@ -39,6 +42,26 @@ def count_rows(spark: SparkSession, path: str) -> int:
     return spark.read.parquet(path).count()
 
 
+def read_capped(spark: SparkSession, path: str, n: int, seed: int, name: Column | None = None) -> DataFrame:
+    """Exactly n rows (or all) of a parquet path: files in random order, each file's rows in theirs.
+
+    Rows are counted by file from the footers, no column being read; running sums over the
+    files choose those that are read whole and the one that is read up to a row. No other
+    file is opened again, and nothing is sorted. name: what the order is drawn by, the
+    file's own name unless given; equal names follow each other by path. The driver holds
+    the chosen paths, as it holds the listing.
+    """
+    where = F.col("_metadata.file_path")
+    rows = spark.read.parquet(path)
+    counts = rows.groupBy(where.alias("_file"), (F.element_at(F.split(where, "/"), -1) if name is None else name).alias("_name")).agg(F.count("*").alias("_rows"))
+    parts = counts.withColumn("_hash", chance.hash_order(seed, F.col("_name")))
+    whole, broken, rest = cut_after(parts, n, ["_hash", "_name", "_file"])
+    paths = [unquote(r["_file"]) for r in whole.select("_file").collect()]
+    read = lambda *files: spark.read.schema(rows.schema).option("basePath", path).parquet(*files)
+    out = read(*paths) if paths else rows.limit(0)
+    return out.unionByName(read(unquote(broken["_file"])).filter(F.col("_metadata.row_index") < rest)) if broken else out
+
+
 def shard_inventory(spark: SparkSession, path: str, suffix: str = "tar") -> DataFrame:
     """(directory, n_shards, bytes, successes): per directory, from the listing and the JSON sidecars.
 
