@@ -57,7 +57,9 @@ def read_capped(spark: SparkSession, path: str, n: int, seed: int, name: Column
     parts = counts.withColumn("_hash", chance.hash_order(seed, F.col("_name")))
     whole, broken, rest = cut_after(parts, n, ["_hash", "_name", "_file"])
     paths = [unquote(r["_file"]) for r in whole.select("_file").collect()]
-    read = lambda *files: spark.read.schema(rows.schema).option("basePath", path).parquet(*files)
+    reader = spark.read.schema(rows.schema)
+    reader = reader if set(path) & set("*?[{") else reader.option("basePath", path)  # else partition columns would be lost
+    read = lambda *files: reader.parquet(*files)
     out = read(*paths) if paths else rows.limit(0)
     return out.unionByName(read(unquote(broken["_file"])).filter(F.col("_metadata.row_index") < rest)) if broken else out
 
