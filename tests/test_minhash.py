@@ -1,0 +1,70 @@
+"""MinHash bands: signatures, growth with near copies of one text, recall beside the exact form."""
+
+import random
+
+from pyspark.sql import functions as F
+
+from corpusloom.operators import dedup
+
+
+def test_signature(spark):
+    hashes = [3, 2**33 + 5, (1 << 60) - 1]
+    got = spark.createDataFrame([(hashes,)], "s array<long>").select(dedup.signature(F.col("s"), 9).alias("m")).first().m
+    assert got == [min((x % 2**32 * a + b) % dedup.PRIME for x in hashes) for a, b in dedup.permutations(9)]
+    assert max(a * (2**32 - 1) + b for a, b in dedup.permutations(500)) < 2**63
+
+
+def test_similarity_is_met_by_chance_alone(spark):
+    """Equal minima are as frequent as the overlap of two sets."""
+    draw = random.Random(1)
+    pool = [draw.getrandbits(60) for _ in range(300)]
+    a, b = pool[:200], pool[50:250]
+    m = spark.createDataFrame([(a,), (b,)], "s array<long>").select(dedup.signature(F.col("s"), 400).alias("m")).collect()
+    assert abs(sum(x == y for x, y in zip(m[0].m, m[1].m, strict=True)) / 400 - 150 / 250) < 0.08
+
+
+def copies(n, seed=2):
+    """n near copies of one text that all differ, in three words each."""
+    draw = random.Random(seed)
+    words = [f"w{k}" for k in range(200)]
+    out = []
+    for i in range(n):
+        own = list(words)
+        own[draw.randrange(60, 140)] = f"x{i}"
+        out.append(" ".join(own))
+    return out
+
+
+def test_links_grow_with_the_rows(spark):
+    """10,000 near copies: pairs compared and links stay in proportion, where all pairs would be fifty million."""
+    df = spark.createDataFrame(list(enumerate(copies(10_000))), "k long, t string").repartition(8)
+    sets, classes = dedup._sets(df, "k", "t", 5, True, dedup.by_60_bits)
+    links = dedup._banded(classes, 0.8, 16, 4)
+    n = links.count()
+    assert 9_999 <= n <= 2 * 16 * 10_000
+    found = dedup.near_duplicate_bands(df, "k", "t")
+    assert found.agg(F.countDistinct("component_id")).first()[0] == 1 and found.count() == 10_000
+    assert dedup.keep_lowest(df, found, "k").select("k").collect()[0].k == 0
+
+
+def test_recall_beside_the_exact_form(spark, sf_dir):
+    """Of the rows that the exact form puts beside another one, 0.95 or more get the same class; no class is too large."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    draw = random.Random(3)
+    changed = [(100_000 + r.doc_id, " ".join(w if draw.random() > 0.02 else "zz" for w in r.text.split())) for r in docs.filter("length(text) > 400").collect() for _ in range(1)]
+    both = docs.union(spark.createDataFrame(changed, "doc_id long, text string"))
+    exact = {r.doc_id: r.component_id for r in dedup.near_duplicate_classes(both, "doc_id", "text").collect()}
+    bands = {r.doc_id: r.component_id for r in dedup.near_duplicate_bands(both, "doc_id", "text").collect()}
+    together = [i for i, c in exact.items() if c != i]
+    assert len(together) > 50 and sum(bands[i] == exact[i] for i in together) >= 0.95 * len(together)
+    assert set(bands) == set(exact) and all(exact[i] == exact[c] for i, c in bands.items())
+
+
+def test_odd_rows(spark):
+    w = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, w), (2, w), (3, w + " more"), (4, "die tz."), (5, "Die  tz."), (6, ""), (7, None), (8, "die tz. x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in dedup.near_duplicate_bands(df, "doc_id", "text").collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6, 7: 7, 8: 8}
+    assert dedup.near_duplicate_bands(df.limit(0), "doc_id", "text").count() == 0
+    kept = dedup.keep_lowest(df, dedup.near_duplicate_classes(df, "doc_id", "text"), "doc_id")
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 4, 6, 7, 8]
