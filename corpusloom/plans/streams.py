@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..streaming import jobs
 from . import training  # noqa: F401  registers the batch query, whose SQL is used here
 from .registry import ORACLES, query, table
@@ -40,8 +41,27 @@ def progress_stream(spark, sf_dir):
     return jobs.progress_stream(events, "ts", ["event_type"], "1 hour", "10 minutes", *jobs.scratch(spark, "progress")).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
+@query("""select c_custkey as custkey, min_by(o_orderkey, o_orderkey) as orderkey, 3 as batches from customer join orders on o_custkey = c_custkey group by c_custkey""")
+def upsert_batches(spark, sf_dir):
+    """Each customer's first order, out of three micro-batches of ascending orders; most customers come again in each."""
+    path = storage.new_path(spark, "orders")
+    orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_semi").select(F.col("o_custkey").alias("custkey"), F.col("o_orderkey").alias("orderkey"))
+    low, high = orders.agg(F.percentile_approx("orderkey", [0.3, 0.6])).first()[0]
+    for k, part in enumerate((orders.filter(F.col("orderkey") <= low), orders.filter((F.col("orderkey") > low) & (F.col("orderkey") <= high)), orders.filter(F.col("orderkey") > high))):
+        part.repartition(1).write.parquet(f"{path}/{k}")  # one file after the other: the order of the stream
+    out, checkpoint = jobs.scratch(spark, "upsert")
+    found = jobs.upsert_stream(jobs.source(spark, f"{path}/*/*.parquet", orders.schema, 1), "custkey", ["orderkey"], out, checkpoint, buckets=16)
+    return found.withColumn("batches", F.lit(len(spark.read.text(f"{checkpoint}/commits").select(F.input_file_name()).distinct().collect())))
+
+
 @query(ORACLES["ema"])
 def ema_stream(spark, sf_dir):
-    """The average as keyed state; equals the batch query on one micro-batch."""
-    events = _stream(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
-    return jobs.ema_stream(events, "user_id", ["ts", "event_id"], "value", 0.99, *jobs.scratch(spark, "ema")).withColumn("ema", F.round("ema", 6))
+    """The average as keyed state, over four micro-batches of events by time."""
+    path = storage.new_path(spark, "events")
+    events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
+    cuts = events.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), [0.25, 0.5, 0.75])).first()[0]
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.unix_micros(F.col("ts").cast("timestamp"))))
+    for k in range(len(cuts) + 1):
+        events.filter(part == k).repartition(1).sortWithinPartitions("ts", "event_id").write.parquet(f"{path}/{k}")
+    found = jobs.ema_stream(jobs.source(spark, f"{path}/*/*.parquet", events.schema, 1), "user_id", ["ts", "event_id"], "value", 0.99, *jobs.scratch(spark, "ema"), hold=32)
+    return found.select("user_id", F.round("ema", 6).alias("ema"), "n")

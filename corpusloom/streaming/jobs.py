@@ -6,15 +6,14 @@ only what is new, exactly once.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import storage
 from ..config import BROAD, FilterConfig
 from ..operators import filters
+from .averages import Average
+from .tables import BucketTable
 
 
 def source(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
@@ -49,24 +48,15 @@ def dedup_stream(stream: DataFrame, keys: list[str], ts: str, delay: str, out: s
     return _stored(timed.dropDuplicatesWithinWatermark(keys), out, checkpoint)
 
 
-def upsert_stream(stream: DataFrame, key: str, order: list[str], out: str, checkpoint: str) -> DataFrame:
-    """Rows whose key the table lacks are appended; an existing row wins.
+def upsert_stream(stream: DataFrame, key: str, order: list[str], out: str, checkpoint: str, buckets: int = 64) -> DataFrame:
+    """Rows whose key the table lacks are added; an existing row wins. Returns the table.
 
-    Each micro-batch writes its own folder, named by its number, so a batch that is run
-    again replaces what it wrote before.
+    The table is a BucketTable: a batch reads and rewrites only the buckets it touches, of
+    which each has a bounded number of folders, and a batch that is run again changes nothing.
     """
-    from ..operators.dedup import dedup_keep_first
-
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = dedup_keep_first(batch, [key], order)
-        if number:
-            earlier = spark.read.schema(batch.schema).parquet(*(f"{out}/batch={n}" for n in range(number)))
-            new = new.join(earlier.select(key), key, "left_anti").select(*batch.columns)
-        new.write.mode("overwrite").parquet(f"{out}/batch={number}")
-
-    _drain(stream.writeStream.foreachBatch(merge), checkpoint)
-    return stream.sparkSession.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(out)
+    table = BucketTable(stream.sparkSession, out, stream.schema, key, buckets)
+    _drain(stream.writeStream.foreachBatch(lambda batch, number: table.merge(batch, number, order)), checkpoint)
+    return table.read()
 
 
 def progress_stream(stream: DataFrame, ts: str, by: list[str], window: str, delay: str, out: str, checkpoint: str) -> DataFrame:
@@ -76,29 +66,23 @@ def progress_stream(stream: DataFrame, ts: str, by: list[str], window: str, dela
     return _stored(counts, out, checkpoint)
 
 
-def ema_stream(stream: DataFrame, by: str, order: list[str], value: str, decay: float, out: str, checkpoint: str) -> DataFrame:
-    """(by, ema, n) after each micro-batch; the average and its step are kept as state of the key."""
-
-    def update(key, batches: Iterator, state: GroupState):
-        import pandas as pd
-
-        average, step, n = state.get if state.exists else (None, 0, 0)
-        rows = pd.concat(list(batches))
-        for x in rows.dropna(subset=[value]).sort_values(order, kind="stable")[value].astype(float):
-            n += 1
-            if average is None:
-                average = x
-                continue
-            step += 1
-            d = min(decay, (1 + step) / (10 + step))
-            average = average * d + x * (1 - d)
-        state.update((average, step, n))
-        yield pd.DataFrame({by: [key[0]], "ema": [average], "n": [n]})
-
-    kind = stream.schema[by].dataType.simpleString()
-    folded = stream.select(by, *order, value).groupBy(by).applyInPandasWithState(update, f"{by} {kind}, ema double, n long", "ema double, step long, n long", "append", GroupStateTimeout.NoTimeout)
-    rows = _stored(folded, out, checkpoint)
-    return rows.groupBy(by).agg(F.max_by("ema", "n").alias("ema"), F.max("n").alias("n"))
+def ema_stream(stream: DataFrame, by: str, order: list[str], value: str, decay: float, out: str, checkpoint: str, hold: int = 256, ttl: int | None = None) -> DataFrame:
+    """(by, ema, n, n_late) so far of each key: averages.Average as keyed state; exact where a value comes at most `hold` places late, n_late counts the others."""
+    spark, kind = stream.sparkSession, stream.schema[by].dataType.simpleString()
+    fields = ", ".join(f"o{i} {stream.schema[c].dataType.simpleString()}" for i, c in enumerate(order))
+    processor = Average(by, order, value, decay, hold, fields, ttl)
+    folded = stream.select(by, *order, value).groupBy(by).transformWithStateInPandas(processor, f"{by} {kind}, ema double, n long, n_late long", "Append", "ProcessingTime" if ttl else "None")
+    # the store that keeps several states of a key; and no batches without data, which a time to live would ask for without end
+    needed = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in needed}
+    for k, v in needed.items():
+        spark.conf.set(k, v)
+    try:
+        rows = _stored(folded, out, checkpoint)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    return rows.groupBy(by).agg(F.max_by("ema", "n").alias("ema"), F.max("n").alias("n"), F.max("n_late").alias("n_late"))
 
 
 def scratch(spark: SparkSession, label: str) -> tuple[str, str]:
