@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import json
 import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,9 +14,13 @@ from pyspark.sql import functions as F
 from ..config import SCALING, TOKENS
 from ..functions import arrays, chance
 from .joins import pending
+from .sampling import assign_batches
 
 PAD, BOS, EOS, UNK = 0, 1, 2, 3
 
+#: Bounds of a vocabulary that is looked up inside the rows, and the places that its words are dealt over.
+DICTIONARY_WORDS, DICTIONARY_BYTES, PLACES = 200_000, 4 << 20, 4096
+
 
 def words(column: str) -> Column:
     return F.filter(F.split(F.lower(F.col(column)), r"\s+"), lambda w: w != "")
@@ -26,20 +33,46 @@ def build_vocab(df: DataFrame, column: str, size: int) -> DataFrame:
     return top.withColumn("id", (F.row_number().over(Window.orderBy(F.desc("n"), "word")) + UNK).cast("int"))
 
 
+def looked_up(vocab: DataFrame) -> Callable[[Column], Column] | None:
+    """A function from a word to its id (null for none) for a vocabulary (word, id) of at most DICTIONARY_WORDS words and DICTIONARY_BYTES letters; else None.
+
+    The words lie in an array of small maps, at the place that their hash names, which is a
+    constant of the plan and goes to every task with it.
+    """
+    place = lambda w: F.pmod(F.xxhash64(w), F.lit(PLACES)).cast("int")
+    rows = vocab.select("word", "id", place(F.col("word"))).limit(DICTIONARY_WORDS + 1).collect()
+    if len(rows) > DICTIONARY_WORDS or sum(len(w.encode()) for w, _, _ in rows) > DICTIONARY_BYTES:
+        return None
+    held: list[dict[str, int]] = [{} for _ in range(PLACES)]
+    for word, number, at in rows:
+        held[at][word] = number
+    places = F.from_json(F.lit(json.dumps(held)), "array<map<string,int>>")
+    return lambda word: F.try_element_at(F.get(places, place(word)), word)
+
+
 def encode_tokens(df: DataFrame, key: str, column: str, vocab: DataFrame, max_len: int = TOKENS) -> DataFrame:
-    """(key, input_ids, attention_mask): BOS, known words or UNK, EOS; cut and padded to max_len.
+    """(key, input_ids, attention_mask) of each row: BOS, known words or UNK, EOS; cut and padded to max_len.
 
-    Only the first max_len - 2 words of a caption can be in its result, so no more are joined.
+    Only the first max_len - 2 words of a caption can be in its result, so no more are
+    looked up. A vocabulary beyond the bounds of `looked_up` is joined by word instead,
+    which takes one row of each key.
     """
     first = F.slice(F.coalesce(words(column), F.array().cast("array<string>")), 1, max_len - 2)
-    long = df.select(key, F.posexplode_outer(first).alias("pos", "word")).join(vocab.select("word", "id"), "word", "left")
-    ids = F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("id", F.lit(UNK)).alias("id")))))
-    body = F.transform(F.col("ids"), lambda x: x["id"])
-    grouped = long.groupBy(key).agg(ids.alias("ids"))
-    seq = F.concat(F.array(F.lit(BOS)), body, F.array(F.lit(EOS)))
+    if id_of := looked_up(vocab):
+        grouped = df.select(key, F.transform(first, lambda w: F.coalesce(id_of(w), F.lit(UNK))).alias("ids"))
+    else:
+        grouped = _joined_ids(df.select(key, F.posexplode_outer(first).alias("pos", "word")), key, vocab)
+    seq = F.concat(F.array(F.lit(BOS)), F.col("ids"), F.array(F.lit(EOS)))
     return grouped.select(key, arrays.fit_length(seq, max_len, PAD).alias("input_ids"), arrays.attention_mask(F.size("ids") + 2, max_len).alias("attention_mask"))
 
 
+def _joined_ids(long: DataFrame, key: str, vocab: DataFrame) -> DataFrame:
+    """(key, ids) from (key, pos, word), by joins."""
+    found = long.join(vocab.select("word", "id"), "word", "left")
+    ids = F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("id", F.lit(UNK)).alias("id")))))
+    return found.groupBy(key).agg(ids.alias("ids")).select(key, F.transform("ids", lambda x: x["id"]).alias("ids"))
+
+
 def encode_with(df: DataFrame, key: str, column: str, load: Callable[[], Callable], max_len: int = TOKENS) -> DataFrame:
     """As encode_tokens, with the caller's tokeniser; load() runs once in each task and returns a function from a list of texts to a list of id lists. A null caption is an empty one."""
     kind = df.schema[key].dataType.simpleString()
@@ -157,23 +190,34 @@ def encode_batches(df: DataFrame, done: DataFrame, key: str, value: str, load: C
 
         encode = load()
 
-        def latents(rows):
-            good = [r is not None and len(r) > 0 and None not in r for r in rows]
-            out: list = [None] * len(rows)
-            at = [i for i, g in enumerate(good) if g]
+        def latents(column):
+            """A result, or None, for each vector of a list column."""
+            begin, end = (column.offsets.to_numpy()[k : k + len(column)] for k in (0, 1))
+            values = column.values
+            nulls = np.concatenate([[0], np.cumsum(values.is_null().to_numpy(zero_copy_only=False))]) if values.null_count else None
+            good = column.is_valid().to_numpy(zero_copy_only=False) & (end > begin) & (True if nulls is None else nulls[end] == nulls[begin])
+            flat = values.to_numpy(zero_copy_only=False).astype(np.float32, copy=False)
+            out: list = [None] * len(column)
+            rows = [(i, flat[begin[i] : end[i]]) for i in np.flatnonzero(good)]
             try:
-                for i, v in zip(at, encode(np.array([rows[i] for i in at], np.float32)) if at else (), strict=True):
-                    out[i] = [float(x) for x in v]
+                for (i, _), v in zip(rows, encode(np.stack([v for _, v in rows])) if rows else (), strict=True):
+                    out[i] = np.asarray(v, np.float32)
             except Exception:
-                for i in at if len(rows) > 1 else ():
-                    out[i] = latents([rows[i]])[0]
+                out = [None] * len(column)
+                for i, v in rows:
+                    with contextlib.suppress(Exception):
+                        out[i] = np.asarray(encode(v[None])[0], np.float32)
             return out
 
         for batch in batches:
             for start in range(0, batch.num_rows, batch_size):
                 part = batch.slice(start, batch_size)
-                got = latents(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got, pa.list_(pa.float32())), pa.array([x is None for x in got])], [key, "latent", "failed"])
+                got = latents(part.column(1))
+                offsets = np.concatenate([[0], np.cumsum([0 if x is None else len(x) for x in got])]).astype(np.int32)
+                missing = np.array([x is None for x in got])
+                held = [x for x in got if x is not None]
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(held) if held else np.zeros(0, np.float32)), mask=pa.array(missing))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(missing)], [key, "latent", "failed"])
 
     return work.mapInArrow(run, f"{key} {kind}, latent array<float>, failed boolean")
 
@@ -181,3 +225,21 @@ def encode_batches(df: DataFrame, done: DataFrame, key: str, value: str, load: C
 def block_mean_encoder(factor: int = 8) -> Callable[[], Callable]:
     """load() for encode_batches: block means of each row, scaled."""
     return lambda: lambda x: x[:, : x.shape[1] // factor * factor].reshape(len(x), -1, factor).mean(2) * SCALING
+
+
+def collate_batches(df: DataFrame, key: str, order: list[str], tensors: dict[str, int], size: int, by: list[str] | None = None) -> DataFrame:
+    """Training batches, one row each: (by.., batch, n, keys) and for each tensor its rows one after the other as one flat array, with <name>_shape = [n, length].
+
+    tensors: array columns and the length each must have. A batch is `size` rows of the
+    order, the last one of a group being shorter; of a batch, rows with a null tensor, one
+    of another length or one with a null in it are left out, and a batch without any other
+    row is none. A batch is a bounded number of rows, so a row of the result is as well.
+    """
+    by = by or []
+    whole = reduce(lambda a, b: a & b, [F.coalesce((F.size(c) == n) & ~F.exists(c, lambda x: x.isNull()), F.lit(False)) for c, n in tensors.items()])
+    placed = assign_batches(df.select(*dict.fromkeys([*by, key, *order, *tensors])), size, by, order)
+    rows = F.array_sort(F.collect_list(F.struct(*(F.col(c).alias(f"_o{i}") for i, c in enumerate(order)), F.col(key).alias("_key"), *(F.col(c).alias(f"_t{i}") for i, c in enumerate(tensors)))))
+    held = placed.filter(whole).groupBy(*by, "batch").agg(rows.alias("_rows"))
+    flat = {c: F.flatten(F.col("_rows").getField(f"_t{i}")).alias(c) for i, c in enumerate(tensors)}
+    shapes = [F.array(F.size("_rows"), F.lit(n)).alias(f"{c}_shape") for c, n in tensors.items()]
+    return held.select(*by, "batch", F.size("_rows").alias("n"), F.col("_rows").getField("_key").alias("keys"), *(x for pair in zip(flat.values(), shapes, strict=True) for x in pair))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import importlib
+import uuid
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.functions import ArrowUDFType
 
 from ..config import BROAD, FilterConfig
 from ..functions import arrays, text
@@ -133,3 +138,35 @@ def usable_sample(extensions: Column) -> Column:
 def tall_person(boxes: Column, height: Column, share: float = 0.55) -> Column:
     """Whether any box (with a field h) takes at least that share of the image's height."""
     return F.coalesce(F.exists(boxes, lambda b: F.coalesce(F.try_divide(b["h"], height) >= share, F.lit(False))), F.lit(False))
+
+
+#: What predicates have loaded in this worker, by the token of their filter.
+_LOADED: dict[str, object] = {}
+
+
+def filter_with(df: DataFrame, columns: list[str], load: Callable[[], Callable]) -> DataFrame:
+    """Rows for which a predicate of the caller's holds.
+
+    load() runs once in a Python worker, whose later tasks use what it gave: a function from
+    the columns, as Arrow arrays of a batch, to a mask (an Arrow or numpy array, or a list).
+    A null in the mask drops the row. Only the named columns go to Python.
+    """
+    token = uuid.uuid4().hex
+
+    def keep(batches: Iterator):
+        import pyarrow as pa
+
+        loaded = importlib.import_module(__name__)._LOADED  # the worker's own, which outlives the task
+        if token not in loaded:
+            loaded[token] = load()
+        predicate = loaded[token]
+        for batch in batches:
+            given = batch if isinstance(batch, tuple) else (batch,)
+            mask = predicate(*given)
+            mask = mask if isinstance(mask, pa.Array) else pa.array(mask, pa.bool_(), from_pandas=True)
+            if len(mask) != len(given[0]):
+                raise ValueError(f"a mask of {len(mask)} for {len(given[0])} rows")
+            yield mask.cast(pa.bool_())
+
+    mask = F.arrow_udf(keep, "boolean", ArrowUDFType.SCALAR_ITER)
+    return df.filter(F.coalesce(mask(*columns), F.lit(False)))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..functions import keys
 
 
@@ -41,18 +44,46 @@ def name_collisions(items: DataFrame, key: str = "image_key") -> DataFrame:
     return items.select(key).distinct().groupBy(keys.latent_name(F.col(key)).alias("latent_name")).agg(F.count("*").alias("n_keys")).filter("n_keys > 1")
 
 
+#: Letters of the pieces by which names are indexed.
+GRAM = 3
+
+
+def _grams(name: Column, size: int) -> Column:
+    """The distinct runs of `size` letters in a name; of size 0 the empty one."""
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(name) - size + 1))
+    return F.array_distinct(F.when(F.length(name) >= size, F.transform(starts, lambda i: name.substr(i, F.lit(size)))))
+
+
+def containing(bases: DataFrame, members: DataFrame, shard: str, base: str, name: str, position: str) -> DataFrame:
+    """(shard, base, member): the first member of the shard, by position, whose name contains the base, where there is one.
+
+    Names are indexed by their runs of GRAM letters. A base meets only members that hold the
+    rarest of its runs in its shard, which the count of each run tells, and is looked for
+    in those; shorter bases are runs themselves.
+    """
+    asked = storage.written(bases.select(shard, base).filter(F.col(base).isNotNull()).distinct(), "asked")
+    sizes = sorted(r[0] for r in asked.select(F.least(F.length(base), F.lit(GRAM))).distinct().collect())  # GRAM + 1 numbers at most
+    runs = [asked.filter(F.least(F.length(base), F.lit(GRAM)) == q).select(shard, base, F.explode(_grams(F.col(base), q)).alias("_gram")) for q in sizes]
+    if not runs:
+        return asked.withColumn("member", F.lit(None).cast("string"))
+    wanted = reduce(DataFrame.unionByName, runs)
+    index = reduce(DataFrame.unionByName, [members.select(F.col(shard), F.col(name).alias("_name"), F.col(position).alias("_at"), F.explode(_grams(F.col(name), q)).alias("_gram")) for q in sizes])
+    index = index.join(wanted.select(shard, "_gram").distinct(), [shard, "_gram"], "left_semi")
+    counts = index.groupBy(shard, "_gram").agg(F.count("*").alias("_n"))
+    rarest = wanted.join(counts, [shard, "_gram"], "left").groupBy(shard, base).agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("gram"))).alias("_least"))
+    met = rarest.select(shard, base, F.col("_least.gram").alias("_gram")).join(index, [shard, "_gram"]).filter(F.contains("_name", F.col(base)))
+    return met.groupBy(shard, base).agg(F.min_by("_name", "_at").alias("member"))
+
+
 def resolve_member(items: DataFrame, members: DataFrame, shard: str, base: str, name: str, position: str) -> DataFrame:
     """Each item with its archive member: the one whose stem or name equals its base, else the first that contains it.
 
-    Only the misses of the equi join are compared with the other members, and only with
-    those of their own shard.
+    Only the misses of the equi join are looked for inside names, by an index of letter runs.
     """
     named = members.select(shard, F.explode(F.array_distinct(F.array(keys.path_stem(F.col(name)), F.col(name)))).alias(base), F.col(name).alias("member"), F.col(position).alias("_at"))
     exact = items.join(named.groupBy(shard, base).agg(F.min_by("member", "_at").alias("member")), [shard, base], "left")
     found, missed = exact.filter("member is not null"), exact.filter("member is null").drop("member")
-    inside = missed.select(shard, base).distinct().alias("i").join(members.alias("m"), (F.col(f"i.{shard}") == F.col(f"m.{shard}")) & F.contains(F.col(f"m.{name}"), F.col(f"i.{base}")))
-    first = inside.groupBy(F.col(f"i.{shard}").alias(shard), F.col(f"i.{base}").alias(base)).agg(F.min_by(F.col(f"m.{name}"), F.col(f"m.{position}")).alias("member"))
-    return found.unionByName(missed.join(first, [shard, base], "left"))
+    return found.unionByName(missed.join(containing(missed, members, shard, base, name, position), [shard, base], "left"))
 
 
 def missing_shards(items: DataFrame, shards: DataFrame, shard: str) -> DataFrame:

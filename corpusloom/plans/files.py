@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import storage
-from ..functions import text
+from ..functions import arrays, text
 from ..operators import filters
-from ..sources import archives, metadata, sinks
+from ..sources import archives, metadata, sinks, tars
 from .registry import META, meta, query, table
 
 
@@ -53,6 +53,75 @@ def write_tars(spark, sf_dir):
     return sinks.write_tar_samples(docs, storage.new_path(spark, "tars")).select("shard", "n_samples", "n_failed")
 
 
+@query("""select concat(lpad(cast(doc_id // 1000 as varchar), 5, '0'), '.tar') as shard, cast(doc_id as varchar) as base, 'jpg,txt' as exts, octet_length(encode(text)) as bytes, lang as caption, 'ok' as status from documents where text is not null""")
+def read_shard(spark, sf_dir):
+    """Tars read in SQL: a table of paths joined LATERAL with a table function."""
+    tars.register_shard_function(spark)
+    spark.read.format("binaryFile").option("pathGlobFilter", "*.tar").load(_tars(spark, sf_dir)).select("path").createOrReplaceTempView("tar_paths")
+    return spark.sql("""select element_at(split(p.path, '/'), -1) as shard, s.base, array_join(s.exts, ',') as exts, cast(length(s.image) as bigint) as bytes, s.txt as caption, s.status from tar_paths p, lateral read_shard(p.path) s""")
+
+
+@query("""select concat(cast(doc_id // 500 as varchar), '.zip') as archive, concat(cast(doc_id as varchar), '.png') as name, case when doc_id % 3 = 0 then lang end as p, case when doc_id % 3 = 1 then source end as prompt, 'ok' as status
+from documents where doc_id % 5 <> 0""")
+def zip_manifest(spark, sf_dir):
+    """Zips of 500 documents with a manifest; every fifth entry of it names no file of its zip."""
+    path = storage.new_path(spark, "zips")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.floor(F.col("doc_id") / 500).alias("zip"))
+
+    def pack(pdf):
+        import io
+        import json
+        import zipfile
+
+        from corpusloom.sources.stores import located
+
+        store, folder = located(path)
+        store.create_dir(folder, recursive=True)
+        attributes = {f"{r.doc_id}.png": {"p": r.lang} if r.doc_id % 3 == 0 else {"prompt": r.source} if r.doc_id % 3 == 1 else {} for r in pdf.itertuples()}
+        data = io.BytesIO()
+        with zipfile.ZipFile(data, "w") as z:
+            z.writestr("part.json", json.dumps(attributes))
+            for name in attributes:
+                if int(name[:-4]) % 5:
+                    z.writestr(name, b"")
+        with store.open_output_stream(f"{folder}/{pdf.zip.iloc[0]}.zip") as out:
+            out.write(data.getvalue())
+        return pdf.head(1)[["doc_id"]]
+
+    rows.groupBy("zip").applyInPandas(pack, "doc_id long").write.format("noop").mode("overwrite").save()
+    return archives.read_zip_manifest(spark, path)
+
+
+@query("""with e as (select vec_id, embedding, concat(lpad(cast(vec_id as varchar), 9, '0'), '.npy') as latent_name from embeddings where embedding is not null),
+k as (select * from e order by latent_name limit (select greatest(1, cast(floor(count(*) * 0.6) as bigint)) from e))
+select latent_name, '8,8' as shape, round(list_sum(list_transform(embedding, lambda x, i: i * cast(x as double))), 4) as placed from k where vec_id % 13 <> 0""")
+def npy_latents(spark, sf_dir):
+    """The first three fifths of .npy tensors by name; every thirteenth file breaks off and is left out."""
+    path = storage.new_path(spark, "npy")
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").filter("embedding is not null")
+
+    def save(batches):
+        import io
+
+        import numpy as np
+        from corpusloom.sources.stores import located
+
+        store, folder = located(path)
+        store.create_dir(folder, recursive=True)
+        for pdf in batches:
+            for vec_id, vector in zip(pdf["vec_id"], pdf["embedding"], strict=True):
+                data = io.BytesIO()
+                np.save(data, np.asarray(vector, np.float32).reshape(8, 8))
+                with store.open_output_stream(f"{folder}/{vec_id:09d}.npy") as out:
+                    out.write(data.getvalue()[: 100 if vec_id % 13 == 0 else None])
+            yield pdf[["vec_id"]]
+
+    rows.mapInPandas(save, "vec_id long").write.format("noop").mode("overwrite").save()
+    latents = archives.read_npy_latents(spark, path, 0.6)
+    placed = arrays.total(F.transform("latent", lambda x, i: x.cast("double") * (i + 1)))
+    return latents.select("latent_name", F.array_join(F.col("shape").cast("array<string>"), ",").alias("shape"), F.round(placed, 4).alias("placed"))
+
+
 _PADDED = "cast(ceil(octet_length(encode({0})) / 512.0) as bigint) * 512"
 
 

@@ -229,3 +229,25 @@ def group_by_shard(spark, sf_dir):
 def encode_summary(spark, sf_dir):
     names = F.create_map(*(F.lit(x) for x in ("A", "encoded", "R", "failed", "N", "skipped")))
     return metrics.encode_summary(table(spark, sf_dir, "lineitem").select(names[F.col("l_returnflag")].alias("status")))
+
+
+@query("""select doc_id, lang, source from documents where source is not null and lang is not null and length(text) % 7 in (1, 4) and list_contains(['en', 'fr'], lang)""")
+def filter_with(spark, sf_dir):
+    """A predicate of the caller's over two columns, with a table that it loads."""
+    docs = table(spark, sf_dir, "documents").filter("source is not null and lang is not null").withColumn("n", F.length("text"))
+
+    def load():
+        wanted, rests = {"en", "fr"}, {1, 4}
+        return lambda lang, n: [None if b is None else a in wanted and b % 7 in rests for a, b in zip(lang.to_pylist(), n.to_pylist(), strict=True)]
+
+    return filters.filter_with(docs, ["lang", "n"], load).select("doc_id", "lang", "source")
+
+
+@query("""select row_id from (select doc_id as row_id, text as "TEXT", 'u' as "URL", n_chars from documents) where "TEXT" is not null and length("TEXT") between 20 and 300
+union all select doc_id from documents where false""")
+def required_columns(spark, sf_dir):
+    """Two tables, one without captions: the one that lacks a required column gives nothing, the other its rows that pass."""
+    docs = table(spark, sf_dir, "documents")
+    whole = filters.quality_filter(filters.normalize_columns(docs.select(F.col("doc_id").alias("row_id"), F.lit("u").alias("url"), F.col("text").alias("caption"))))
+    lacking = filters.quality_filter(filters.normalize_columns(docs.select(F.col("doc_id").alias("row_id"), F.lit("u").alias("url"))))
+    return whole.select("row_id").unionByName(lacking.select("row_id"))

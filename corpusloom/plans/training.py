@@ -108,26 +108,27 @@ def _examples(objective, target, x_t):
         e = table(spark, sf_dir, "embeddings")
         pairs = e.select("vec_id", "embedding").join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.transform("embedding", lambda x: x.cast("double")).alias("given")), "vec_id")
         out = features.training_examples(pairs, "vec_id", "embedding", features.noise_schedule(spark), 3, objective, eps=F.col("given"))
-        return out.select("vec_id", "t", F.round(arrays.total(F.col("x_t")), 6).alias("x_sum"), F.round(arrays.total(F.col("target")), 6).alias("target_sum"))
+        placed = lambda c: F.round(arrays.total(F.transform(c, lambda x, i: x * (i + 1))), 5)
+        return out.select("vec_id", "t", placed("x_t").alias("x_sum"), placed("target").alias("target_sum"))
 
     run.__name__ = f"examples_{objective}"
     t = "cast(floor(" + _U.format(seed="3t", key="a.vec_id") + " * 1000) as int)"
     query(f"""with {_SCHEDULE}, v as (select a.vec_id, cast(s.t as int) as t, sqrt(s.ab) as p, sqrt(1 - s.ab) as q, list_transform(a.embedding, lambda x: cast(x as double)) as x, list_transform(b.embedding, lambda x: cast(x as double)) as e
   from embeddings a join embeddings b on b.vec_id = a.vec_id + 1 join schedule s on s.t = {t})
-select vec_id, t, round({x_t}, 6) as x_sum, round({target}, 6) as target_sum from v""")(run)
+select vec_id, t, {_PLACED.format(x_t)} as x_sum, {_PLACED.format(target)} as target_sum from v""")(run)
 
 
-_examples("epsilon", "list_sum(e)", "p * list_sum(x) + q * list_sum(e)")
-_examples("velocity", "p * list_sum(e) - q * list_sum(x)", "p * list_sum(x) + q * list_sum(e)")
+#: A sum of an array's entries times their places.
+_PLACED = "round(list_sum(list_transform(range(1, len(x) + 1), lambda i: i * ({0}))), 5)"
+
+_examples("epsilon", "e[i]", "p * x[i] + q * e[i]")
+_examples("velocity", "p * e[i] - q * x[i]", "p * x[i] + q * e[i]")
 
 
 def _normal(seed, key):
     return f"sqrt(-2 * ln(1 - {_U.format(seed=seed + 'a', key=key)})) * cos(2 * pi() * {_U.format(seed=seed + 'b', key=key)})"
 
 
-_PLACED = "round(list_sum(list_transform(range(1, len(x) + 1), lambda i: i * ({0}))), 5)"
-
-
 @query(f"""with v as (select vec_id, least(greatest(1 / (1 + exp(-{_normal("3t", "vec_id")})), 0.001), 0.999) as t, list_transform(embedding, lambda y: cast(y as double)) as x,
   list_transform(range(0, len(embedding)), lambda i: {_normal("3", "concat(cast(vec_id as varchar), ':', cast(i as varchar))")}) as e from embeddings)
 select vec_id, round(t, 9) as t, {_PLACED.format("(1 - t) * x[i] + t * e[i]")} as x_sum, {_PLACED.format("e[i] - x[i]")} as target_sum from v""")
@@ -176,3 +177,20 @@ def encode_with(spark, sf_dir):
 @query(f"select event_id, round({_U.format(seed='11', key='event_id')}, 9) as u from events")
 def hash_uniform(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.round(chance.uniform(11, F.col("event_id")), 9).alias("u"))
+
+
+@query("""with p as (select vec_id, label, embedding, (row_number() over (partition by label order by vec_id) - 1) // 24 as batch from embeddings),
+j as (select p.*, [len(coalesce(text, '')), doc_id] as ids from p join documents on doc_id = vec_id where vec_id % 11 <> 0 and embedding is not null)
+select label, cast(batch as bigint) as batch, cast(count(*) as int) as n, array_to_string(list(vec_id order by vec_id), ',') as keys, array_to_string([count(*), 64], ',') as latent_shape,
+  array_to_string(flatten(list(ids order by vec_id)), ',') as input_ids, array_to_string([count(*), 2], ',') as input_ids_shape,
+  round(list_sum(list_transform(flatten(list(embedding order by vec_id)), lambda x, i: i * cast(x as double))), 3) as placed
+from j group by label, batch""")
+def collate_batches(spark, sf_dir):
+    """Batches of 24 vectors of a label with two numbers of a document each; every eleventh latent is missing and left out of its batch."""
+    vectors, docs = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "documents")
+    tokens = docs.select(F.col("doc_id").alias("vec_id"), F.array(F.length(F.coalesce("text", F.lit(""))).cast("long"), "doc_id").alias("input_ids"))
+    rows = vectors.select("vec_id", "label", F.when(F.col("vec_id") % 11 != 0, F.col("embedding")).alias("latent")).join(tokens, "vec_id", "left")
+    out = features.collate_batches(rows, "vec_id", ["vec_id"], {"latent": 64, "input_ids": 2}, 24, by=["label"])
+    text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    placed = arrays.total(F.transform("latent", lambda x, i: x.cast("double") * (i + 1)))
+    return out.select("label", "batch", "n", text("keys"), text("latent_shape"), text("input_ids"), text("input_ids_shape"), F.round(placed, 3).alias("placed"))

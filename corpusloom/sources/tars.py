@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, StringEndsWith, WriterCommitMessage
 
-from .stores import listed, located, opened
+from .stores import listed, located, opened, settings
 
 #: Rows and bytes of members that a task hands on at once, and most input partitions.
 BATCH_ROWS, BATCH_BYTES, MOST_TASKS = 256, 32 << 20, 10_000
@@ -182,6 +182,29 @@ class PruningTarReader(TarReader):
                 yield f
 
 
+def register_shard_function(spark: SparkSession, name: str = "read_shard") -> None:
+    """Make a table function known to SQL: read_shard(path) gives (base, exts, image, txt, json, status) of each sample of one tar, to be joined LATERAL with a table of paths.
+
+    exts: the extensions of the sample's members, in order; image: its jpg or jpeg; txt and
+    json as text, bytes that are not UTF-8 left out. A broken tar gives what it holds up to
+    the break and a row whose status says 'corrupt'; a null path gives nothing.
+    """
+    from pyspark.sql.functions import udtf
+
+    options = settings(spark)
+
+    class ReadShard:
+        def eval(self, path: str):
+            if path is None:
+                return
+            for _, base, files, status in TarReader({**options, "rows": "samples"})._rows(path):
+                of = dict(files or ())
+                lenient = lambda ext, of=of: of[ext].decode("utf-8", "ignore") if ext in of else None
+                yield base, sorted(of), of.get("jpg", of.get("jpeg")), lenient("txt"), lenient("json"), status
+
+    spark.udtf.register(name, udtf(ReadShard, returnType="base string, exts array<string>, image binary, txt string, json string, status string"))
+
+
 @dataclass
 class Written(WriterCommitMessage):
     """(shard, temporary file, samples, samples without an image, bytes) of each tar of a task."""
