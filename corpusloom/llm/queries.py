@@ -59,7 +59,7 @@ def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = base.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return substring.deduplicate(docs).select("doc_id", "text", "removed", F.size("removed").alias("n_removed"))
+    return substring.deduplicate(docs, min_words=50, line_words=25).select("doc_id", "text", "removed", F.size("removed").alias("n_removed"))
 
 
 def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -265,3 +265,25 @@ def test_decontamination_of_odd_rows(spark, odd, nothing):
     kept = decontaminate.clean(odd, bench)
     assert kept.columns == odd.columns and kept.count() == odd.count() - 2
     assert decontaminate.clean(odd, bench.limit(0)).count() == odd.count() and decontaminate.clean(nothing, bench).count() == 0
+
+
+def test_whole_lines_of_the_query(spark, sf_dir):
+    """Of equal lines of 25 words or more, by their words, the earliest stays and every later one goes whole; shorter ones stay where nothing longer holds them."""
+    texts = sorted((r.doc_id, r.text) for r in base.table(spark, sf_dir, "documents").collect() if r.text)
+    got = {r.doc_id: (r.text, [tuple(x) for x in r.removed]) for r in queries.op10_substring(spark, sf_dir).collect()}
+    seen, later, first = set(), 0, 0
+    for doc_id, text in texts:
+        start = 0
+        for line in text.split("\n"):
+            words = tuple(w.lower() for w in substring._WORD.findall(line))
+            a, b = start + len(line) - len(line.lstrip()), start + len(line.rstrip())
+            if len(words) >= 25:
+                gone = any(x <= a and b <= y for x, y in got[doc_id][1])
+                if words in seen:
+                    later += 1
+                    assert gone, (doc_id, line)
+                else:
+                    first += not gone
+                    seen.add(words)
+            start += len(line) + 1
+    assert later > 20 and first > 1000
