@@ -2,7 +2,14 @@
 
 quality classifier -> SimHash near-duplicates -> substring deduplication -> benchmark
 decontamination -> BPE encoding and decoding. All but the last stage return the columns of
-documents; the last returns digests of every document that is left.
+documents; the last returns digests of every document that is left. A stage's folder goes
+once the stage after it is written.
+
+Defined cases: documents with null or empty texts are judged like others by the first stage
+and pass all later ones; rows with a null doc_id are documents of their own; repeated rows
+are near-duplicates, of which one stays; a text that is a copy as a whole goes in the third
+stage; columns beyond those of documents, clashing names included, come through to the last
+stage; empty tables give no rows in any stage.
 """
 
 from __future__ import annotations
@@ -11,7 +18,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm import base, bpe, decontaminate, quality, simhash, substring
-from corpusloom.storage import new_path
+from corpusloom.storage import forget, written
 
 #: A document is rejected if label 1 is less likely than this.
 QUALITY_THRESHOLD = 0.3
@@ -26,7 +33,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return substring.cut(docs)
+    return substring.cut(docs, min_words=50, line_words=25)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +58,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = base.table(spark, sf_dir, "documents")
-    folder = new_path(spark, "pipeline")
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        before, docs = docs, written(stage(spark, docs, sf_dir), name)
+        forget(before)
     return STAGES[-1][1](spark, docs, sf_dir)
