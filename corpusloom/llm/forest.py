@@ -6,15 +6,18 @@ reaches furthest; the directions are random mixtures of the vectors of a bounded
 they lie where the vectors do. Every row is indexed.
 
 The rows are dealt over shards of about `shard_rows` by a hash of their ids; each shard
-keeps, for every tree, the sorted array of its rows' strings. A query visits each shard. It
-descends in every tree, by binary search, to its longest matching prefix and then ascends
-in all trees at once, letter by letter, until the distinct rows that share a prefix of that
-length with it in some tree are `share` of the shard's rows and more than k. These rows are
-compared once each, by Euclidean distance in double precision, and the best k of a shard
-leave its task. There is no cap: what shares the prefix is compared, however much it is.
-
-Vectors are shuffled once. A task reads a shard's rows and then its queries as a stream, so
-it holds one shard and one batch of queries.
+keeps, for every tree, the sorted array of its rows' strings. Queries are broadcast in
+batches of at most about QUERIES and visit each shard. A query descends in every tree, by
+binary search, to its longest matching prefix and then ascends in all trees at once, letter
+by letter, until the distinct rows that share a prefix of that length with it in some tree
+are `share` of the shard's rows and more than k. These rows are compared once each, by
+Euclidean distance in double precision. There is no cap: what shares the prefix is
+compared, however much it is. `share` is, unless given, the least of SHARES that finds
+ENOUGH of the true neighbours of queries of the sample among the sample.
+
+A batch shuffles the rows once, by shard; a task, of which there are as many as the cluster
+has room for, indexes one shard after the other and keeps the best k of each query over all
+of them, so a query leaves as many rows as there are tasks, whatever the table holds.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold null or
 non-finite components take no part; of rows with one vec_id the smallest vector counts; a
@@ -30,10 +33,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import new_path
 from . import base
 
 LETTERS = 16
 
+#: Queries broadcast at once; the shares that are tried, the recall that is enough, and the sample's queries by which it is told.
+QUERIES, SHARES, ENOUGH, TRIED = 131_072, (0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.4), 0.93, 100
+
 
 @dataclass(frozen=True)
 class Directions:
@@ -111,6 +118,39 @@ class Shard:
         return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
+def best_of(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of (query, row, distance) from several shards the k nearest of each query, ties to the smaller row."""
+    q, row, d = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.lexsort((row, d, q))
+    q, row, d = q[order], row[order], d[order]
+    begins = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1]))) if len(q) else np.zeros(0, np.int64)
+    place = np.arange(len(q)) - np.repeat(begins, np.diff(np.append(begins, len(q))))
+    return q[place < k], row[place < k], d[place < k]
+
+
+def fitting_share(sample: np.ndarray, directions: Directions, k: int) -> float:
+    """The least of SHARES with which queries of the sample find ENOUGH of their true k nearest in it, else 1."""
+    shard = Shard(np.arange(len(sample)), sample, directions)
+    asked = np.linspace(0, len(sample) - 1, min(TRIED, len(sample))).astype(np.int64)
+    begin, end = shard.descend(directions.strings(sample[asked]))
+    reached = []  # for each query the rows met and the share of its neighbours among them, from the deepest letter up to the root
+    for j, q in enumerate(asked):
+        d = ((sample - sample[q]) ** 2).sum(1)
+        d[q] = np.inf
+        true = np.argsort(d, kind="stable")[: min(k, len(sample) - 1)]
+        met, own = np.zeros(len(sample), bool), []
+        for n in range(directions.letters - 1, -1, -1):
+            for order, low, high in zip(shard.order, begin[n, :, j].tolist(), end[n, :, j].tolist(), strict=True):
+                met[order[low:high]] = True
+            own.append((np.count_nonzero(met), met[true].mean() if len(true) else 1.0))
+        reached.append([*own, (len(sample), 1.0)])
+    for share in SHARES:
+        enough = max(k + 1, int(np.ceil(share * len(sample))))
+        if np.mean([next((r for n, r in own if n >= enough), 1.0) for own in reached]) >= ENOUGH:
+            return share
+    return 1.0
+
+
 def usable(vectors: DataFrame, key: str = "vec_id", value: str = "embedding") -> DataFrame:
     """(key, value) of the rows that take part, one for each key."""
     v = F.col(value)
@@ -126,46 +166,71 @@ def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def search(vectors: DataFrame, queries: Column, k: int = 10, trees: int = 128, letters: int = 6, share: float = 0.2, sample: int = 4096, shard_rows: int = 4096, key: str = "vec_id", value: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, queries: Column, k: int = 10, trees: int = 128, letters: int = 6, share: float | None = None, sample: int = 4096, shard_rows: int = 4096, key: str = "vec_id", value: str = "embedding", batch: int = QUERIES) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row for which `queries` holds."""
     spark = vectors.sparkSession
+    result = "query_id long, rank int, vec_id long, score double"
     rows = base.written(usable(vectors, key, value).select(F.col(key).cast("long").alias(key), value), "vectors")
-    count = rows.count()
-    if not count:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    count, asking = rows.count(), rows.filter(queries)
+    batches = -(-asking.count() // batch) if count else 0
+    if not batches:
+        return spark.createDataFrame([], result)
     fitted = _matrix(base.bounded_sample(rows, sample, key).toArrow().column(value).combine_chunks())
-    directions = spark.sparkContext.broadcast(fit(fitted, trees, letters))
+    forest = fit(fitted, trees, letters)
+    part = fitting_share(fitted, forest, k) if share is None else share
+    directions = spark.sparkContext.broadcast(forest)
     shards = -(-count // shard_rows)
-    columns = [F.col(key).alias("id"), F.col(value).alias("vector")]
-    stored = rows.select(F.pmod(F.xxhash64(key), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("asks"), *columns)
-    asking = rows.filter(queries).select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("asks"), *columns)
-    dealt = stored.unionByName(asking).repartition(shards, "shard").sortWithinPartitions("shard", "asks")
+    tasks = min(shards, 2 * spark.sparkContext.defaultParallelism)
+    dealt = rows.select(F.pmod(F.xxhash64(key), F.lit(shards)).cast("int").alias("shard"), F.col(key).alias("id"), F.col(value).alias("vector")).repartition(tasks, "shard").sortWithinPartitions("shard")
+    path = new_path(spark, "nearest")
+    for b in range(batches):
+        asked = asking.filter(F.pmod(F.xxhash64(key, F.lit(1)), F.lit(batches)) == b).select(key, value).toArrow().combine_chunks()
+        if not asked.num_rows:
+            continue
+        shared = spark.sparkContext.broadcast((asked.column(0).to_numpy(), _matrix(asked.column(1).combine_chunks()).astype(np.float32)))
+        found = dealt.mapInArrow(_nearest(directions, shared, k, part), "query_id long, vec_id long, score double")
+        ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
+        ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score").write.mode("append").parquet(path)
+        shared.destroy()
+    base.forget(rows)
+    return spark.read.schema(result).parquet(path)
+
+
+def _nearest(directions, shared, k: int, share: float):
+    """A task's shards, one after the other; it holds one shard, one batch of queries and their best k so far."""
 
     def run(batches):
         import pyarrow as pa
 
-        at, held, shard = None, [], None
+        ids, x = shared.value
+        best = None
+
+        def asked(held):
+            nonlocal best
+            shard = Shard(*(np.concatenate(c) for c in zip(*held, strict=True)), directions.value)
+            for start in range(0, len(ids), 512):  # bounded memory
+                found.append(shard.nearest(ids[start : start + 512], x[start : start + 512].astype(np.float64), k, share))
+            best = best_of(found if best is None else [best, *found], k)
+            found.clear()
+
+        at, held, found = None, [], []
         for whole in batches:
-            of = whole.column(0).to_numpy() * 2 + whole.column(1).to_numpy()
+            of = whole.column(0).to_numpy()
             edges = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
             for a, b in zip(edges, edges[1:], strict=False):
                 if a == b:
                     continue
-                own = int(of[a]) // 2
-                if own != at:
-                    at, held, shard = own, [], None
-                ids, x = whole.column(2)[a:b].to_numpy(), _matrix(whole.column(3)[a:b])
-                if not of[a] % 2:
-                    held.append((ids, x))
-                elif held:
-                    shard = shard or Shard(*(np.concatenate(c) for c in zip(*held, strict=True)), directions.value)
-                    for start in range(0, b - a, 512):  # bounded memory
-                        found = shard.nearest(ids[start : start + 512], x[start : start + 512], k, share)
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["query_id", "vec_id", "score"])
-
-    found = dealt.mapInArrow(run, "query_id long, vec_id long, score double")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
-    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                if of[a] != at and held:
+                    asked(held)
+                    held = []
+                at = of[a]
+                held.append((whole.column(1)[a:b].to_numpy(), _matrix(whole.column(2)[a:b])))
+        if held:
+            asked(held)
+        if best is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in best], ["query_id", "vec_id", "score"])
+
+    return run
 
 
 def recall(found: DataFrame, vectors: DataFrame, k: int = 10, key: str = "vec_id", value: str = "embedding") -> float:
