@@ -21,6 +21,8 @@ NAMES = (
 )
 TERMS = ("nude", "naked", "nsfw", "explicit", "xxx", "erotic", "porn", "topless", "lingerie", "underwear")
 PEOPLE = ("portrait", "face", "woman", "man", "girl", "boy", "person", "human", "character", "anime", "figure", "lady", "guy")
+
+# Labels that count as safe, and the names of each column in the order in which they are preferred.
 SAFE_LABELS = ("UNLIKELY", "unlikely")
 
 ALIASES = {

@@ -139,6 +139,21 @@ def tar_members(spark, sf_dir):
     return found.groupBy("shard").agg(F.count("*").alias("n"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.regexp_replace("name", "[.]txt$", ""))), lambda x: F.concat(x, F.lit(".txt"))), ",")).alias("names"))
 
 
+@query("""select concat(lpad(cast(doc_id // 1000 as varchar), 5, '0'), '.tar') as shard, cast(doc_id as varchar) as base, 'jpg,txt' as exts from documents where text is not null and doc_id % 10 = 1""")
+def usable_samples(spark, sf_dir):
+    """Of samples that mostly lack a caption, because only some captions are read, those that can be used."""
+    samples = archives.read_tar_samples(spark, _tars(spark, sf_dir), suffixes=(".jpg", "1.txt"))
+    return samples.filter(filters.usable_sample(F.col("files"))).select("shard", "base", F.array_join(F.array_sort(F.map_keys("files")), ",").alias("exts"))
+
+
+@query("""select o_orderkey, o_totalprice, case when row_number() over (order by md5(concat('11:', cast(o_orderkey as varchar))), o_orderkey) <= least(100, (select count(*) // 10 from orders)) then 'val' else 'train' end as split from orders""")
+def dataset_rows(spark, sf_dir):
+    """Every row of a written dataset with the part it is in."""
+    path = storage.new_path(spark, "dataset")
+    sinks.write_dataset(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), path, 100, 11, "o_orderkey")
+    return spark.read.parquet(f"{path}/data").select("o_orderkey", "o_totalprice", "split")
+
+
 @query("select count(*) - least(100, count(*) // 10) as train_size, least(100, count(*) // 10) as val_size, 512 as image_size, 11 as seed from orders")
 def write_dataset(spark, sf_dir):
     """Split, write both parts and the configuration, and read the configuration back."""

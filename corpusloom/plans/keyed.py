@@ -42,6 +42,14 @@ def keyed_items(spark, sf_dir):
     return items(spark, sf_dir).filter(F.contains("image_key", F.lit(keys.SEPARATOR))).select("l_orderkey", "l_linenumber")
 
 
+@query("select l_orderkey, l_linenumber from lineitem where l_linenumber % 3 <> 0")
+def keyed_of_mixed(spark, sf_dir):
+    """Keys of which every third has another separator, and a few have none of their own."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    sep = F.when(F.col("l_linenumber") % 3 != 0, "::").when(F.col("l_linenumber") % 2 == 0, ":").otherwise("_")
+    return rows.filter(F.concat("l_orderkey", sep, "l_linenumber").contains("::"))
+
+
 @query("select concat('s_', cast(l_orderkey as varchar), '_', cast(l_linenumber as varchar), '.npy') as latent_name, cast(2 as bigint) as n_keys from lineitem group by 1")
 def name_collisions(spark, sf_dir):
     """Keys with / and with _ share latent names."""

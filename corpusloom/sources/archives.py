@@ -42,13 +42,13 @@ def read_members(spark: SparkSession, path: str, pattern: str = "*.{tar,tgz,tar.
     return _tars(spark, path, pattern=pattern, suffixes=",".join(suffixes or ()), content=str(content).lower())
 
 
-def read_tar_samples(spark: SparkSession, path: str, pattern: str = "*.tar") -> DataFrame:
-    """(shard, base, files): members that share a base form one sample, a map from extension to content.
+def read_tar_samples(spark: SparkSession, path: str, pattern: str = "*.tar", suffixes: tuple[str, ...] | None = None) -> DataFrame:
+    """(shard, base, files): members that share a base form one sample, a map from extension to content; suffixes: only of members whose names end so.
 
     A task puts the samples of its archives together, so nothing is shuffled. Of members
     with one base and extension the last counts.
     """
-    return _tars(spark, path, pattern=pattern, rows="samples").filter("base is not null").drop("status")
+    return _tars(spark, path, pattern=pattern, rows="samples", suffixes=",".join(suffixes or ())).filter("base is not null").drop("status")
 
 
 def read_tgz_members(spark: SparkSession, path: str, suffixes: tuple[str, ...] = IMAGES) -> DataFrame:
