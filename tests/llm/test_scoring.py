@@ -124,3 +124,62 @@ def test_a_bounded_sample_is_the_same_however_rows_are_dealt(spark):
     ids = [{r.id for r in base.bounded_sample(df.repartition(n), 1_000, "id").collect()} for n in (1, 7)]
     assert ids[0] == ids[1] and 600 <= len(ids[0]) <= 1_000
     assert base.bounded_sample(df.limit(10), 10, "id").count() == 10
+
+
+def test_langid_against_an_independent_posterior(spark, sf_dir):
+    """Counts and posteriors by plain dictionaries, gram by gram, for every document."""
+    rows = base.table(spark, sf_dir, "documents").select("doc_id", "text", "lang").collect()
+
+    def grams(text):
+        kept = f" {letters} " if (letters := langid.letters_of(text)) else ""
+        for a in range(len(kept)):
+            h = 0
+            for c in kept[a : a + 3]:
+                h = (h * 0x01000193 & 0xFFFFFFFF) ^ (ord(c) * 0x9E3779B1 & 0xFFFFFFFF)
+                yield ((h ^ h >> 15) * 0x85EBCA6B & 0xFFFFFFFF) >> 17
+
+    counts, docs = {}, {}
+    for r in rows:
+        if r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 3 != 1:
+            own = counts.setdefault(r.lang, {})
+            docs[r.lang] = docs.get(r.lang, 0) + 1
+            for g in grams(r.text):
+                own[g] = own.get(g, 0) + 1
+    total = {lang: sum(own.values()) + 0.5 * 2**15 for lang, own in counts.items()}
+    got = {r.doc_id: r for r in queries.op2_langid(spark, sf_dir).collect()}
+    for r in rows:
+        found = list(grams(r.text))
+        if not found:
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        z = {lang: math.log(docs[lang] / sum(docs.values())) + sum(math.log((own.get(g, 0) + 0.5) / total[lang]) for g in found) for lang, own in counts.items()}
+        best = max(sorted(z), key=z.get)
+        assert got[r.doc_id].lang_pred == best and abs(got[r.doc_id].score - 1 / sum(math.exp(v - z[best]) for v in z.values())) < 1e-3
+
+
+def test_toxicity_fit_is_a_minimum():
+    """The fitted weights' loss (noisy-or likelihood, classes balanced, with its penalty) against a grid of changes of each weight and of the bias."""
+    rng = np.random.default_rng(7)
+    words = [f"w{k}" for k in range(12)]
+    bags, y = [], []
+    for _ in range(500):
+        bag = [[w for w in words if rng.random() < 0.15] for _ in range(rng.integers(1, 5))]
+        y.append(float(rng.random() < (0.75 if any("w0" in s or "w1" in s for s in bag) else 0.12)))
+        bags.append(bag)
+    y = np.array(y)
+    model = toxicity.fit(bags, y)
+    assert {"w0", "w1"} <= set(model.weight)
+
+    def loss(bias, weight):
+        out = 0.0
+        for bag, label in zip(bags, y, strict=True):
+            clean = sum(math.log1p(math.exp(bias + sum(weight.get(f, 0) for w in s for f in toxicity.features(w)))) for s in bag)
+            share = y.mean()
+            out += 0.5 / share * -math.log(max(1e-9, -math.expm1(-clean))) if label else 0.5 / (1 - share) * clean
+        return out / len(y) + 3e-4 * sum(abs(v) for v in weight.values())
+
+    least = loss(model.bias, model.weight)
+    for step in (-0.5, -0.1, 0.1, 0.5):
+        assert loss(model.bias + step, model.weight) > least - 1e-3
+        for f in model.weight:
+            assert loss(model.bias, model.weight | {f: model.weight[f] + step}) > least - 1e-3, (f, step)
