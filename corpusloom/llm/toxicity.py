@@ -141,8 +141,8 @@ def fit(bags: list[list[list[str]]], y: np.ndarray, l1: float = 3e-4, steps: int
     return Model(float(bias), kept)
 
 
-def train(docs: DataFrame, labels: DataFrame, allowed: Column, sample: int = 8_000) -> Model:
-    """Fit on at most `sample` labelled rows of docs (doc_id, text) for which `allowed` holds."""
+def train(docs: DataFrame, labels: DataFrame, allowed: Column, sample: int = 8_000, most_bytes: int = 64 << 20) -> Model:
+    """Fit on at most `sample` labelled rows of docs (doc_id, text) for which `allowed` holds, whose distinct words by sentence together take at most `most_bytes`; beyond that, rows are taken in the order of a hash of their ids as long as they fit."""
     one = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & allowed).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = base.bounded_sample(one, sample, "doc_id").limit(sample)
     rows = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # no more rows than the bound
@@ -154,7 +154,19 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, sample: int = 8_0
             out.append(([" ".join(sorted(set(_WORD.findall(low, a, b)))) for a, b in sentences(low)],))
         return out
 
-    got = base.add_text_columns(rows.select("doc_id", "toxic", "text"), "text", T.StructType([T.StructField("bag", T.ArrayType(T.StringType()))]), lambda: bags).select("doc_id", "toxic", F.array_join("bag", "\n").alias("bag")).toArrow().sort_by("doc_id")
+    words = T.StructType([T.StructField("bag", T.ArrayType(T.StringType()))])
+    held = base.written(base.add_text_columns(rows.select("doc_id", "toxic", "text"), "text", words, lambda: bags).select("doc_id", "toxic", F.array_join("bag", "\n").alias("bag")), "bags")
+    sizes = held.select("doc_id", F.octet_length("bag").alias("n")).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").collect()  # `sample` rows at most
+    kept = held
+    if sum(r["n"] for r in sizes) > most_bytes:
+        fits, total = [], 0
+        for r in sizes:
+            if total + r["n"] <= most_bytes:
+                total += r["n"]
+                fits.append((r["doc_id"],))
+        kept = held.join(F.broadcast(docs.sparkSession.createDataFrame(fits, held.select("doc_id").schema)), "doc_id", "left_semi")
+    got = kept.toArrow().sort_by("doc_id")
+    base.forget(held)
     return fit([[s.split() for s in x.split("\n")] for x in got["bag"].to_pylist()], np.array(got["toxic"].to_pylist(), float))
 
 

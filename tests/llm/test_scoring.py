@@ -183,3 +183,13 @@ def test_toxicity_fit_is_a_minimum():
         assert loss(model.bias + step, model.weight) > least - 1e-3
         for f in model.weight:
             assert loss(model.bias, model.weight | {f: model.weight[f] + step}) > least - 1e-3, (f, step)
+
+
+def test_toxicity_training_is_bounded_in_bytes(spark):
+    """Rows that don't fit are passed over for others that do, whatever the partitioning; a bound of nothing learns nothing."""
+    rows = [(i, ("awful " if i % 2 else "fine ") + " ".join(f"u{i}x{k}" for k in range(5 if i else 5000)), i % 2) for i in range(200)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    some = [toxicity.train(docs.repartition(n), labels, F.lit(True), most_bytes=6000) for n in (1, 5)]
+    assert some[0].bias == some[1].bias and some[0].weight == some[1].weight and "awful" in some[0].weight
+    assert toxicity.train(docs, labels, F.lit(True), most_bytes=1).weight == {}
