@@ -1,8 +1,9 @@
 """Repeatable orders, samples, splits, shards and mixes.
 
-A global position never needs a window over the whole table: the order is by a hash (or by
-given columns), rows are dealt over slices of that order, numbered inside their slice, and
-shifted by the sizes of the slices before, of which there are at most 65,536.
+A global position never needs a window over a whole large table. By a hash, rows are dealt
+over slices of that order, numbered inside their slice, and shifted by the sizes of the
+slices before, of which there are at most 65,536. By given columns, `scans.numbered` cuts
+the order at its quantiles.
 """
 
 from __future__ import annotations
@@ -11,10 +12,10 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions import chance
-from .scans import numbered
+from .scans import SHARE, numbered
 
-#: About so many rows a slice, each a window partition.
-SLICE_ROWS = 1 << 22
+#: About so many rows a slice, each a window partition; most blocks of an order by columns.
+SLICE_ROWS, MOST_BLOCKS = 1 << 22, 1 << 12
 
 
 def _slice_digits(rows: int) -> int:
@@ -43,11 +44,16 @@ def position(df: DataFrame, seed: int, key: str, name: str = "rn", by: list[str]
     return _numbered(df, F.substring(h, 1, _slice_digits(df.count())), [h, key], name, by or [])
 
 
-def ordered_position(df: DataFrame, order: str, ties: list[str], name: str = "rn", slices: int = 256, by: list[str] | None = None) -> DataFrame:
-    """df with the 1-based place of each row by a numeric column, overall or within each group, its slices cut at approximate quantiles."""
-    cuts = df.agg(F.percentile_approx(order, [k / slices for k in range(1, slices)], 10_000).alias("c")).first()["c"] or []
-    bounds = F.array(*(F.lit(c) for c in sorted(set(cuts)))) if cuts else F.array().cast("array<double>")
-    return _numbered(df, F.size(F.filter(bounds, lambda c: c < F.col(order))), [order, *ties], name, by or [])
+def ordered_position(df: DataFrame, order: str, ties: list[str], name: str = "rn", by: list[str] | None = None) -> DataFrame:
+    """df with the 1-based place of each row by a column and its ties, overall or within each group.
+
+    Blocks are cut at quantiles of the whole order, ties included, so a value that many rows
+    have is spread as well; there are 256 of them, doubled while one has over SLICE_ROWS rows.
+    """
+    rows, share = df.count(), SHARE
+    while share < MOST_BLOCKS and rows > SLICE_ROWS * share:
+        share *= 2
+    return numbered(df, by or [], [order, *ties], name, share=share)
 
 
 def shuffle(df: DataFrame, seed: int, key: str) -> DataFrame:

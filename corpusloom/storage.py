@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,8 +22,28 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+#: The folder of the workspace that is open here, if one is.
+_open: ContextVar[str | None] = ContextVar("workspace", default=None)
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{_open.get() or shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+@contextlib.contextmanager
+def workspace(spark: SparkSession) -> Iterator[str]:
+    """A folder for all that operators write inside the block; it goes when the block ends, after an error too.
+
+    Operators return DataFrames that read what they have written, so a result must be
+    stored or collected inside the block. Blocks nest, and each thread has its own.
+    """
+    path = new_path(spark, "workspace")
+    before = _open.set(path)
+    try:
+        yield path
+    finally:
+        _open.reset(before)
+        _delete(spark, path)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -35,6 +58,9 @@ def written(df: DataFrame, label: str) -> DataFrame:
 def forget(df: DataFrame) -> None:
     """Delete what `written` stored, once nothing reads it any more."""
     if path := getattr(df, "_written_at", None):
-        spark = df.sparkSession
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

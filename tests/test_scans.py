@@ -64,6 +64,25 @@ def test_a_hot_group_spreads(rows):
     assert scans.numbered(df, ["g"], ["t", "i"])._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
 
 
+def test_places_by_a_column_spread(rows, monkeypatch):
+    """A value that a third of the rows have is cut by its ties; more rows make more blocks."""
+    data, df = rows
+    skewed = df.withColumn("t", F.when(F.col("i") % 3 == 0, F.lit(7)).otherwise(F.col("t")))
+    order = [i for _, i in sorted((7 if i % 3 == 0 else -1 if t is None else t, i) for _, t, i, _ in data)]
+    monkeypatch.setattr(scans, "LEAST", 20)
+    shares = []
+    number = scans.numbered
+    monkeypatch.setattr(sampling, "numbered", lambda *args, share, **scan: shares.append(share) or number(*args, share=share, least=20, **scan))
+    for slice_rows, share in ((1 << 22, 256), (10, 512), (1, 4096)):
+        monkeypatch.setattr(sampling, "SLICE_ROWS", slice_rows)
+        got = sampling.ordered_position(skewed, "t", ["i"])
+        assert {r.i: r.rn for r in got.collect()} == {i: k for k, i in enumerate(order, 1)} and shares.pop() == share
+    blocks = scans._cuts(skewed.withColumn("a", F.lit(0)), ["a"], F.struct("t", "i"), skewed.groupBy(F.lit(0).alias("a")).agg(F.count("*").alias("_n")), 3000, 256, 20).first()["_cuts"]
+    held = [sum((7 if i % 3 == 0 else -1 if t is None else t, i) > (-1 if c[0] is None else c[0], c[1]) for c in blocks) for _, t, i, _ in data]
+    assert len(blocks) > 50 and max(held.count(b) for b in set(held)) < 120
+    assert sampling.ordered_position(skewed.limit(0), "t", ["i"]).count() == 0
+
+
 def test_search_of_cuts(spark):
     """In two steps as in one, at, between and beyond cuts of any number."""
     for n in (0, 1, 7, 8, 9, 23, 24, 40):
