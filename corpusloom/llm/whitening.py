@@ -34,12 +34,13 @@ LARGEST, FAINT = 4096, 1e-10
 RESULT = "{key} {kind}, component int, n long, deviation long, whitened double, explained double, identity_error double"
 
 
-def usable(vectors: DataFrame, key: str, value: str) -> tuple[DataFrame, int]:
-    """(key, x) of the rows that remain, and the vectors' length."""
+def usable(vectors: DataFrame, key: str, value: str, d: int | None = None) -> tuple[DataFrame, int]:
+    """(key, x) of the rows that remain, and the vectors' length; d: that length, if it is known."""
     v = F.col(value)
     rows = vectors.select(key, value).filter(v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))))
-    usual = rows.groupBy(F.size(v).alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    d = usual["d"] if usual else 0
+    if d is None:
+        usual = rows.groupBy(F.size(v).alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
+        d = usual["d"] if usual else 0
     end = 2.0**63
     long = lambda y: F.when(y >= end, F.lit(2**63 - 1)).when(y < -end, F.lit(-(2**63))).otherwise(F.floor(F.when((y < end) & (y >= -end), y)))
     return rows.filter(F.size(v) == d).select(F.col(key), F.transform(v, lambda c: long(F.lit(256.0) * c.cast("double"))).alias("x")), d
@@ -226,10 +227,15 @@ def fit(vectors: DataFrame, count: int = 4, key: str = "vec_id", value: str = "e
 
 def deviations(x: np.ndarray, n: int, sums: list[int]) -> list[int | None]:
     """sum((n * x - sums)^2) of each row, exact; None beyond a long."""
-    most = (int(np.abs(x.astype(np.float64)).max(initial=0)) + 1) * n + max(map(abs, sums))
-    if most * most * len(sums) < 2**63:
-        return ((n * x - np.array(sums, np.int64)) ** 2).sum(1).tolist()
-    return [y if y < 2**63 else None for y in ((x.astype(object) * n - np.array(sums, object)) ** 2).sum(1).tolist()]
+    plain = lambda rows: [y if y < 2**63 else None for y in ((rows.astype(object) * n - np.array(sums, object)) ** 2).sum(1).tolist()]
+    if (int(np.abs(x.astype(np.float64)).max(initial=0)) + 1) * n + max(map(abs, sums)) >= 2**52:
+        return plain(x)
+    # the differences are exact as longs and as doubles; a sum of squares that fits a long is right although its parts wrap around
+    apart = n * x - np.array(sums, np.int64)
+    about, out = (apart.astype(np.float64) ** 2).sum(1), (apart * apart).sum(1).tolist()
+    for k in np.flatnonzero(about > 2.0**63 * (1 - 1e-9)).tolist():
+        out[k] = None if about[k] > 2.0**63 * (1 + 1e-9) else plain(x[k : k + 1])[0]
+    return out
 
 
 def whiten(vectors: DataFrame, count: int = 4, key: str = "vec_id", value: str = "embedding") -> DataFrame:
@@ -256,4 +262,4 @@ def whiten(vectors: DataFrame, count: int = 4, key: str = "vec_id", value: str =
                 ]
                 yield pa.RecordBatch.from_arrays(columns, [key, "component", "n", "deviation", "whitened", "explained", "identity_error"])
 
-    return usable(vectors, key, value)[0].mapInArrow(run, schema)
+    return usable(vectors, key, value, len(model.sums))[0].mapInArrow(run, schema)

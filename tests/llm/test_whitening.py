@@ -101,6 +101,25 @@ def test_entries_beyond_a_long(spark):
     assert whitening.deviations(np.array([[2**62, 0]]), 2, [0, 0]) == [None]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.integers(1, 6), st.integers(1, 10**6), st.integers(0, 45), st.integers(0, 2**32 - 1))
+def test_deviations_are_exact(d, n, bits, seed):
+    """Sums of squares far below, about and far above the end of a long, against Python's whole numbers."""
+    rng = np.random.default_rng(seed)
+    x = rng.integers(-(2**bits), 2**bits + 1, (8, d))
+    sums = [int(s) for s in rng.integers(-(2**bits) * n, 2**bits * n + 1, d)]
+    want = [sum((n * int(a) - s) ** 2 for a, s in zip(row, sums, strict=True)) for row in x]
+    assert whitening.deviations(x, n, sums) == [y if y < 2**63 else None for y in want]
+
+
+@pytest.mark.parametrize("apart", [3037000498, 3037000499, 3037000500, 2147483648])
+def test_deviations_at_the_end_of_a_long(apart):
+    """3037000499 is the greatest number whose square is a long; two squares of 2^31 are one too many."""
+    for row in ([apart, 0, 0], [apart, 1, 0], [apart, apart, 0], [apart, 77936, 0], [2147483648, 2147483648, 1]):
+        want = sum(a * a for a in row)
+        assert whitening.deviations(np.array([row]), 1, [0, 0, 0]) == [want if want < 2**63 else None]
+
+
 def deviation_of(row):
     x = [[2**63 - 1, 0], [-(2**63), 256], [0, 512]]
     sums = [sum(c) for c in zip(*x, strict=True)]
