@@ -59,7 +59,9 @@ def containing(bases: DataFrame, members: DataFrame, shard: str, base: str, name
 
     Names are indexed by their runs of GRAM letters. A base meets only members that hold the
     rarest of its runs in its shard, which the count of each run tells, and is looked for
-    in those; shorter bases are runs themselves.
+    in those; shorter bases are runs themselves. A name that a shard repeats is indexed once.
+    Sides that a run or a name is exploded into are merged by shuffles: Spark sizes them by
+    the files they come from, many times too small, and would broadcast them.
     """
     asked = storage.written(bases.select(shard, base).filter(F.col(base).isNotNull()).distinct(), "asked")
     sizes = sorted(r[0] for r in asked.select(F.least(F.length(base), F.lit(GRAM))).distinct().collect())  # GRAM + 1 numbers at most
@@ -67,11 +69,12 @@ def containing(bases: DataFrame, members: DataFrame, shard: str, base: str, name
     if not runs:
         return asked.withColumn("member", F.lit(None).cast("string"))
     wanted = reduce(DataFrame.unionByName, runs)
-    index = reduce(DataFrame.unionByName, [members.select(F.col(shard), F.col(name).alias("_name"), F.col(position).alias("_at"), F.explode(_grams(F.col(name), q)).alias("_gram")) for q in sizes])
-    index = index.join(wanted.select(shard, "_gram").distinct(), [shard, "_gram"], "left_semi")
+    firsts = members.groupBy(F.col(shard), F.col(name).alias("_name")).agg(F.min(position).alias("_at"))
+    index = reduce(DataFrame.unionByName, [firsts.select(shard, "_name", "_at", F.explode(_grams(F.col("_name"), q)).alias("_gram")) for q in sizes])
+    index = index.join(wanted.select(shard, "_gram").distinct().hint("merge"), [shard, "_gram"], "left_semi")
     counts = index.groupBy(shard, "_gram").agg(F.count("*").alias("_n"))
-    rarest = wanted.join(counts, [shard, "_gram"], "left").groupBy(shard, base).agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("gram"))).alias("_least"))
-    met = rarest.select(shard, base, F.col("_least.gram").alias("_gram")).join(index, [shard, "_gram"]).filter(F.contains("_name", F.col(base)))
+    rarest = wanted.join(counts.hint("merge"), [shard, "_gram"], "left").groupBy(shard, base).agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("gram"))).alias("_least"))
+    met = rarest.select(shard, base, F.col("_least.gram").alias("_gram")).join(index.hint("merge"), [shard, "_gram"]).filter(F.contains("_name", F.col(base)))
     return met.groupBy(shard, base).agg(F.min_by("_name", "_at").alias("member"))
 
 
@@ -81,9 +84,9 @@ def resolve_member(items: DataFrame, members: DataFrame, shard: str, base: str,
     Only the misses of the equi join are looked for inside names, by an index of letter runs.
     """
     named = members.select(shard, F.explode(F.array_distinct(F.array(keys.path_stem(F.col(name)), F.col(name)))).alias(base), F.col(name).alias("member"), F.col(position).alias("_at"))
-    exact = items.join(named.groupBy(shard, base).agg(F.min_by("member", "_at").alias("member")), [shard, base], "left")
+    exact = items.join(named.groupBy(shard, base).agg(F.min_by("member", "_at").alias("member")).hint("merge"), [shard, base], "left")
     found, missed = exact.filter("member is not null"), exact.filter("member is null").drop("member")
-    return found.unionByName(missed.join(containing(missed, members, shard, base, name, position), [shard, base], "left"))
+    return found.unionByName(missed.join(containing(missed, members, shard, base, name, position).hint("merge"), [shard, base], "left"))
 
 
 def missing_shards(items: DataFrame, shards: DataFrame, shard: str) -> DataFrame:

@@ -124,6 +124,15 @@ def test_the_index_joins_by_runs(spark):
     keys = re.findall(r"(?:SortMergeJoin|BroadcastHashJoin|ShuffledHashJoin)[^\[]*\[([^\]]*)\]", text)
     assert keys and all("," in k for k in keys)  # never by the shard alone
 
+def test_exploded_sides_are_not_broadcast(spark):
+    """Tables that a file's size makes look small are merged where names are cut into runs; a repeated name is indexed once."""
+    items = spark.range(100).selectExpr("'s' as shard", "concat('b', id, 'x') as base")
+    members = spark.range(200).selectExpr("'s' as shard", "concat('ab', id % 50, 'xy.jpg') as name", "id as pos")
+    got = joins.resolve_member(items, members, "shard", "base", "name", "pos")
+    text = plan(got)
+    assert "BroadcastHashJoin" not in text and "SortMergeJoin" in text
+    assert {r.base: r.member for r in got.collect()} == {f"b{i}x": f"ab{i}xy.jpg" if i < 50 else None for i in range(100)}
+
 
 def test_made_keys_of_many_digits(spark, tmp_path):
     """Numbers of more than six digits, against the query's SQL."""
