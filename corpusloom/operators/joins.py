@@ -39,9 +39,26 @@ def select_latents(latents: DataFrame, kept: DataFrame, key: str = "image_key",
     return latents.join(kept.select(keys.latent_name(F.col(key)).alias("latent_name")), "latent_name", "left_semi")
 
 
+#: Keys that one task counts; one row in LOOKS is looked at for keys that come very often, of which OFTEN at most are merged first.
+KEYS_A_TASK, LOOKS, OFTEN = 1 << 20, 1 << 10, 1 << 10
+
+
 def name_collisions(items: DataFrame, key: str = "image_key") -> DataFrame:
-    """(latent_name, n_keys) of names that several different keys share."""
-    return items.select(key).distinct().groupBy(keys.latent_name(F.col(key)).alias("latent_name")).agg(F.count("*").alias("n_keys")).filter("n_keys > 1")
+    """(latent_name, n_keys) of names that several different keys share.
+
+    Rows are dealt by name over tasks that grow in number with the rows, so a task counts
+    about KEYS_A_TASK keys of any input. Keys with some 64 * LOOKS rows or more are first
+    merged where they are.
+    """
+    each = items.select(F.col(key).alias("_key")).filter("_key is not null")
+    looks = each.groupBy(F.when(F.rand(1) * LOOKS < 1, F.col("_key")).alias("_key")).agg(F.count("*").alias("n"))
+    frequent = F.collect_list(F.when(F.col("_key").isNotNull() & (F.col("n") > 64), F.struct("n", "_key")))
+    rows, seen = looks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.slice(F.sort_array(frequent, asc=False), 1, OFTEN)).first()
+    if seen:
+        often = F.col("_key").isin([r["_key"] for r in seen])
+        each = each.filter(~often).unionByName(each.filter(often).distinct())
+    dealt = each.repartition(rows // KEYS_A_TASK + 1, keys.latent_name(F.col("_key")))
+    return dealt.select(keys.latent_name(F.col("_key")).alias("latent_name"), "_key").distinct().groupBy("latent_name").agg(F.count("*").alias("n_keys")).filter("n_keys > 1")
 
 
 #: Letters of the pieces by which names are indexed.

@@ -146,3 +146,17 @@ def test_made_keys_of_many_digits(spark, tmp_path):
     names = [c[0] for c in want.description]
     got = catalogue.QUERIES["made_keys"](spark, str(tmp_path)).select(*names)
     assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
+def test_collisions_are_counted_in_tasks_of_a_size(spark, monkeypatch):
+    """The tasks that count grow in number with the rows; one shuffle by name, and one of what often repeated keys leave."""
+    monkeypatch.setattr(joins, "KEYS_A_TASK", 1000)
+    rows = spark.range(6000).select(F.when(F.col("id") % 3 == 0, F.concat(F.lit("a/"), "id")).when(F.col("id") % 3 == 1, F.concat(F.lit("a_"), F.col("id") - 1)).when(F.col("id") % 2 == 0, "hot/key").alias("image_key"))
+    got = joins.name_collisions(rows)
+    assert plan(got).count("Exchange") == 1 and got.rdd.getNumPartitions() == 6
+    monkeypatch.setattr(joins, "LOOKS", 2)
+    often = joins.name_collisions(rows)
+    assert plan(often).count("Exchange") > 1 and "Union" in plan(often)
+    for found in (got, often):
+        assert {(r.latent_name, r.n_keys) for r in found.collect()} == {(f"a_{i}.npy", 2) for i in range(0, 6000, 3)}
+    assert joins.name_collisions(rows.limit(0)).count() == 0
