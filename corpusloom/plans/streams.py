@@ -56,12 +56,15 @@ def upsert_batches(spark, sf_dir):
 
 @query(ORACLES["ema"])
 def ema_stream(spark, sf_dir):
-    """The average as keyed state, over four micro-batches of events by time."""
-    path = storage.new_path(spark, "events")
+    """The average as keyed state, over four micro-batches of events by time; each is written by all tasks, a user's events in one file and in order."""
+    path, (out, checkpoint) = storage.new_path(spark, "events"), jobs.scratch(spark, "ema")
     events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
-    cuts = events.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), [0.25, 0.5, 0.75])).first()[0]
-    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.unix_micros(F.col("ts").cast("timestamp"))))
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts, users = events.agg(F.percentile_approx(at, [0.25, 0.5, 0.75]), F.approx_count_distinct("user_id")).first()
+    cuts = cuts or []
+    part = sum((F.coalesce(at > c, F.lit(False)).cast("int") for c in cuts), F.lit(0))
     for k in range(len(cuts) + 1):
-        events.filter(part == k).repartition(1).sortWithinPartitions("ts", "event_id").write.parquet(f"{path}/{k}")
-    found = jobs.ema_stream(jobs.source(spark, f"{path}/*/*.parquet", events.schema, 1), "user_id", ["ts", "event_id"], "value", 0.99, *jobs.scratch(spark, "ema"), hold=32)
+        events.filter(part == k).repartition("user_id").sortWithinPartitions("ts", "event_id").write.parquet(f"{path}/{k}")
+        # what is new since the run before is one micro-batch
+        found = jobs.ema_stream(jobs.source(spark, f"{path}/*/*.parquet", events.schema), "user_id", ["ts", "event_id"], "value", 0.99, out, checkpoint, hold=32, groups=1 + users // 64)
     return found.select("user_id", F.round("ema", 6).alias("ema"), "n")

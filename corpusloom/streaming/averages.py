@@ -2,61 +2,80 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 
+def _order(row: tuple) -> tuple:
+    return row[:-1]
+
+
 class Average(StatefulProcessor):
     """Folds values as they arrive, in their order.
 
-    The last `hold` values of a key, by order, wait in a list state for others that come
-    late; what is older is folded into (ema, step, n). A chunk of a key's rows is merged with
-    the waiting ones and all but the last `hold` are folded, so memory is a chunk and `hold`
-    rows, whatever a key has. A value that comes when a later one is folded already is folded
-    then and counted in n_late. With ttl, keys without news for so many milliseconds are
-    forgotten. After each micro-batch a key's average is given with the waiting values in it.
+    The last `hold` values of a key, by order, wait for others that come late; what is older
+    is folded into (ema, step). A micro-batch's rows are put in order before any is folded,
+    some `chunk` of them at a time. A value that comes when a later one is folded already is
+    folded then and counted in n_late. After each micro-batch a key's average is given with
+    the waiting values in it.
+
+    Rows are (group, whether there is a key, key, order..., value), and nothing but a key is null. A call of the state store costs more than folding
+    a short series, so what is kept of a group, which may have many keys, is one value, read
+    once and written once a micro-batch: the pickle of {key: [ema, step, n_late, order of the
+    last value folded, waiting rows]}. Memory is that, `chunk` rows and an Arrow batch, whatever
+    a key has.
+    With ttl, groups without news for so many milliseconds are forgotten.
     """
 
-    def __init__(self, by: str, order: list[str], value: str, decay: float, hold: int, fields: str, ttl: int | None):
-        self.by, self.order, self.value, self.decay, self.hold, self.fields, self.ttl = by, order, value, decay, hold, fields, ttl
+    def __init__(self, by: str, decay: float, hold: int, ttl: int | None, chunk: int = 1 << 14):
+        self.by, self.decay, self.hold, self.ttl, self.chunk = by, decay, hold, ttl, chunk
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.folded = handle.getValueState("folded", "ema double, step long, n_late long", self.ttl)
-        self.last = handle.getListState("last", self.fields, self.ttl)  # at most one: the order of the last value folded
-        self.waiting = handle.getListState("waiting", f"{self.fields}, v double", self.ttl)
+        self.state = handle.getValueState("averages", "kept binary", self.ttl)
 
-    def fold(self, ema: float | None, step: int, x: float) -> tuple[float, int]:
+    def fold(self, ema: float | None, step: int, rows: list[tuple]) -> tuple[float | None, int]:
         """step: how many values there were."""
-        if ema is None:
-            return x, 1
-        d = min(self.decay, (1 + step) / (10 + step))
-        return ema * d + x * (1 - d), step + 1
+        for row in rows:
+            if step:
+                d = min(self.decay, (1 + step) / (10 + step))
+                ema = ema * d + row[-1] * (1 - d)
+            else:
+                ema = row[-1]
+            step += 1
+        return ema, step
+
+    def settle(self, kept: dict, arrived: dict) -> None:
+        """All but the last `hold` rows of each key that had news are folded."""
+        for key, new in arrived.items():
+            ema, step, late, last, waiting = kept.get(key, (None, 0, 0, None, []))
+            waiting = sorted(waiting + new, key=_order)
+            done, waiting = waiting[: max(0, len(waiting) - self.hold)], waiting[max(0, len(waiting) - self.hold) :]
+            if done:
+                if last is not None and _order(done[0]) < last:
+                    late += sum(_order(r) < last for r in done)
+                last = _order(done[-1]) if last is None else max(last, _order(done[-1]))
+                ema, step = self.fold(ema, step, done)
+            kept[key] = [ema, step, late, last, waiting]
 
     def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
         import pandas as pd
 
-        ema, step, late = self.folded.get() if self.folded.exists() else (None, 0, 0)
-        last = next((tuple(x) for x in self.last.get()), None) if self.last.exists() else None
-        waiting = [tuple(x) for x in self.waiting.get()] if self.waiting.exists() else []
+        kept = pickle.loads(self.state.get()[0]) if self.state.exists() else {}
+        arrived, n, news = {}, 0, {}
         for pdf in rows:
-            pdf = pdf[pdf[self.value].notna()]
-            orders = [pdf[c].tolist() for c in self.order]
-            waiting = sorted([*waiting, *zip(*orders, pdf[self.value].astype(float).tolist(), strict=True)], key=lambda r: r[:-1])
-            for *order, x in waiting[: max(0, len(waiting) - self.hold)]:
-                late += last is not None and tuple(order) < last
-                last = tuple(order) if last is None else max(last, tuple(order))
-                ema, step = self.fold(ema, step, x)
-            waiting = waiting[max(0, len(waiting) - self.hold) :]
-        self.folded.update((ema, step, late))
-        if last is not None:
-            self.last.put([last])
-        if waiting:
-            self.waiting.put(waiting)
-        for *_, x in waiting:
-            ema, step = self.fold(ema, step, x)
-        if step:
-            yield pd.DataFrame({self.by: [key[0]], "ema": [ema], "n": [step], "n_late": [late]})
+            there, keys, *values = (pdf[c].tolist() for c in pdf.columns[1:])
+            for k, row in zip((k if t else None for t, k in zip(there, keys, strict=True)), zip(*values, strict=True), strict=True):
+                arrived.setdefault(k, []).append(row)
+            n += len(pdf)
+            if n >= self.chunk:
+                self.settle(kept, arrived)
+                news, arrived, n = news | dict.fromkeys(arrived), {}, 0
+        self.settle(kept, arrived)
+        self.state.update((pickle.dumps(kept),))
+        found = [(k, *self.fold(*kept[k][:2], kept[k][-1]), kept[k][2]) for k in news | arrived]
+        yield pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in zip((self.by, "ema", "n", "n_late"), zip(*found, strict=True), strict=True)})
 
     def close(self) -> None:
         pass

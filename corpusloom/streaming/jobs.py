@@ -6,7 +6,7 @@ only what is new, exactly once.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import storage
@@ -66,12 +66,40 @@ def progress_stream(stream: DataFrame, ts: str, by: list[str], window: str, dela
     return _stored(counts, out, checkpoint)
 
 
-def ema_stream(stream: DataFrame, by: str, order: list[str], value: str, decay: float, out: str, checkpoint: str, hold: int = 256, ttl: int | None = None) -> DataFrame:
-    """(by, ema, n, n_late) so far of each key: averages.Average as keyed state; exact where a value comes at most `hold` places late, n_late counts the others."""
+WHOLE, TIMES = ("long", "integer", "short", "byte"), ("timestamp", "timestamp_ntz")
+
+
+def _filled(df: DataFrame, column: str) -> Column:
+    """The column with 0 for a null where pandas would turn whole numbers into floats or knows no null."""
+    kind = df.schema[column].dataType
+    return F.coalesce(F.col(column), F.lit(0).cast(kind)) if kind.typeName() in (*WHOLE, "float", "double", "decimal") else F.col(column)
+
+
+def _comparable(df: DataFrame, column: str) -> list[Column]:
+    """Columns whose values Python puts in the column's order, nulls first; times as microseconds."""
+    c, kind = F.col(column), df.schema[column].dataType.typeName()
+    if kind in TIMES:
+        c = F.unix_micros(c.cast("timestamp"))
+    return [F.coalesce(c, F.lit(-(1 << 63)))] if kind in (*WHOLE, *TIMES) else [c.isNotNull(), _filled(df, column)]
+
+
+def ema_stream(stream: DataFrame, by: str, order: list[str], value: str, decay: float, out: str, checkpoint: str, hold: int = 256, ttl: int | None = None, groups: int | None = None) -> DataFrame:
+    """(by, ema, n, n_late) so far of each key: averages.Average as keyed state; exact where a value comes at most `hold` places late, n_late counts the others.
+
+    groups: keep the state of keys together, in so many groups by hash, the same in each run of
+    a checkpoint. It spares calls of the state store where most keys have news in most
+    micro-batches; without it each key has a state, which `ttl` needs. A group's rows in one
+    micro-batch may come in any order, as long as they are not more than Average's chunk; a
+    key with more should have them in one file, in order. Nulls of the order come first.
+    """
+    if ttl and groups:
+        raise ValueError("a time to live is one of keys, not of groups")
     spark, kind = stream.sparkSession, stream.schema[by].dataType.simpleString()
-    fields = ", ".join(f"o{i} {stream.schema[c].dataType.simpleString()}" for i, c in enumerate(order))
-    processor = Average(by, order, value, decay, hold, fields, ttl)
-    folded = stream.select(by, *order, value).groupBy(by).transformWithStateInPandas(processor, f"{by} {kind}, ema double, n long, n_late long", "Append", "ProcessingTime" if ttl else "None")
+    group = F.pmod(F.xxhash64(by), F.lit(groups)) if groups else _filled(stream, by)
+    places = [p.alias(f"o{i}") for i, p in enumerate(p for c in order for p in _comparable(stream, c))]
+    rows = stream.filter(F.col(value).isNotNull()).select(group.alias("g"), F.col(by).isNotNull().alias("there"), _filled(stream, by).alias("k"), *places, F.col(value).cast("double").alias("v"))
+    folded = rows.groupBy("g").transformWithStateInPandas(Average(by, decay, hold, ttl), f"{by} {kind}, ema double, n long, n_late long", "Append", "ProcessingTime" if ttl else "None")
+    folded = folded.withColumn("ema", F.coalesce("ema", F.lit(float("nan"))))  # pandas hands on a NaN as null
     # the store that keeps several states of a key; and no batches without data, which a time to live would ask for without end
     needed = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
     before = {k: spark.conf.get(k) for k in needed}

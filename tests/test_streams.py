@@ -1,12 +1,16 @@
 """Stateful streams: the bucketed table over many batches, and averages whose values come late."""
 
+import pathlib
 import random
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.streaming import jobs, tables
+from corpusloom import storage
+from corpusloom.plans import catalogue
+from corpusloom.streaming import averages, jobs, tables
 
 SCHEMA = "k string, s long, v double"
 
@@ -115,3 +119,59 @@ def test_idle_keys_are_forgotten(spark, tmp_path):
     run()
     rows = spark.read.parquet(paths[0]).filter(F.col("ema") == 7.0).collect()
     assert [r.n for r in rows] == [1]
+
+
+@pytest.mark.parametrize("groups", [None, 3])
+def test_a_batch_in_any_order(spark, tmp_path, groups):
+    """Rows of a micro-batch over many files and small Arrow batches, in no order: none is late. Null is a key and an order, a NaN is a value."""
+    draw = random.Random(5)
+    series = {k: [(s, draw.random()) for s in range(n)] for k, n in ((None, 70), (0, 300), (7, 90), (1 << 60, 1), ((1 << 60) + 1, 2))}
+    series[7][0] = (None, 0.5)
+    series[1 << 60] = [(0, float("nan"))]
+    rows = [(k, s, v) for k, of in series.items() for s, v in of] + [(9, 0, None)]
+    early, late = ([r for r in rows if ((r[1] or 0) < 40) == first] for first in (True, False))
+    out, size = [str(tmp_path / x) for x in ("out", "cp")], spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
+    try:
+        for name, part in (("0", early), ("1", late)):
+            draw.shuffle(part)
+            df = spark.createDataFrame(part, "k long, s long, v double")
+            df.repartition(5).write.parquet(str(tmp_path / "in" / name))
+            got = {r.k: r for r in jobs.ema_stream(jobs.source(spark, f"{tmp_path}/in/*/*.parquet", df.schema), "k", ["s"], "v", 0.97, *out, hold=2, groups=groups).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert set(got) == set(series)
+    for k, of in series.items():
+        ema, n = averaged([v for _, v in of], 0.97)
+        assert (got[k].n, got[k].n_late) == (n, 0) and (abs(got[k].ema - ema) < 1e-12 or ema != ema and got[k].ema != got[k].ema)
+
+
+def test_a_key_longer_than_a_chunk(spark, tmp_path, monkeypatch):
+    """Memory is bounded: a long series is folded in chunks, in order where it comes in order."""
+    most = []
+    settle = averages.Average.settle
+    monkeypatch.setattr(averages.Average, "settle", lambda self, kept, arrived: most.append(max(map(len, arrived.values()), default=0)) or settle(self, kept, arrived))
+    average = averages.Average("k", 0.97, 4, None, chunk=100)
+    average.state = type("State", (), {"kept": None, "exists": lambda self: self.kept is not None, "get": lambda self: self.kept, "update": lambda self, v: setattr(self, "kept", v)})()
+    values = [random.Random(8).random() for _ in range(1000)]
+    for at in (0, 600):
+        part = pd.DataFrame({"g": 0, "there": True, "k": "a", "o0": range(at, min(1000, at + 600)), "v": values[at : at + 600]})
+        got = next(average.handleInputRows((0,), (part.iloc[i : i + 30] for i in range(0, len(part), 30)), None)).iloc[0]
+    ema, n = averaged(values, 0.97)
+    assert (got.n, got.n_late) == (n, 0) and abs(got.ema - ema) < 1e-12 and max(most) <= 129
+
+
+def test_ema_stream_query_keeps_few_states(spark, sf_dir, tmp_path, monkeypatch):
+    """A micro-batch is written by several tasks, and a state is kept for many users."""
+    made = []
+    new_path = storage.new_path
+    monkeypatch.setattr(storage, "new_path", lambda spark, label: made.append(new_path(spark, label)) or made[-1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small as the table is
+    try:
+        users = catalogue.QUERIES["ema_stream"](spark, sf_dir).count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files, checkpoint = next(p for p in made if "events-" in p), next(p for p in made if "ema-" in p) + "/checkpoint"
+    assert min(len(list(part.glob("*.parquet"))) for part in pathlib.Path(files).iterdir() if part.is_dir()) > 1
+    states = spark.read.format("statestore").option("stateVarName", "averages").load(checkpoint).count()
+    assert users >= 10 and 0 < states <= 1 + users // 32
