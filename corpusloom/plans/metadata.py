@@ -104,23 +104,18 @@ def near_dedup(spark, sf_dir):
     return dedup.near_duplicate_classes(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
-_PERMUTED = ", ".join(f"{{'a': {a}, 'b': {b}}}" for a, b in dedup.permutations(64))
-
-
 @query(rf"""with recursive t as (select doc_id, list_filter(regexp_split_to_array(lower(text), '{_SPACE}+'), lambda x: x <> '') as w from documents),
 sets as materialized (select doc_id, list_sort(list_distinct(list_transform(range(0, greatest(len(w) - 4, 1)), lambda i: cast(concat('0x', substr(md5(array_to_string(list_slice(w, i + 1, i + 5), ' ')), 1, 15)) as bigint)))) as s from t where len(w) > 0),
 classes as materialized (select s, min(doc_id) as k from sets group by s),
-signed as materialized (select k, list_transform([{_PERMUTED}], lambda p: list_min(list_transform(s, lambda x: ((x % 4294967296) * p.a + p.b) % {dedup.PRIME}))) as m from classes),
-placed as materialized (select k, j, list_slice(m, j * 4 + 1, j * 4 + 4) as bucket from (select k, m, unnest(range(16)) as j from signed)),
-ends as (select j, bucket, min(k) as low, max(k) as high from placed group by j, bucket having min(k) < max(k)),
-pairs as (select low as a, k as b from placed join ends using (j, bucket) union select k, high from placed join ends using (j, bucket)),
-links as materialized (select a, b from pairs join classes x on x.k = a join classes y on y.k = b where a < b and len(list_intersect(x.s, y.s)) >= 0.8 * (len(x.s) + len(y.s) - len(list_intersect(x.s, y.s)))),
+e as (select k, len(s) as n, unnest(s) as h from classes),
+links as materialized (select a.k as a, b.k as b from e a join e b on a.h = b.h and a.k < b.k and a.n >= 0.8 * b.n and b.n >= 0.8 * a.n
+  group by a.k, b.k, a.n, b.n having count(*) >= 0.8 * (a.n + b.n - count(*))),
 ways as (select a, b from links union all select b, a from links),
 reach as (select k as node, k as root from classes union select x.b, r.root from reach r join ways x on x.a = r.node where r.root < x.b),
 roots as (select node, min(root) as root from reach group by node)
 select d.doc_id, coalesce(r.root, d.doc_id) as component_id from documents d left join sets using (doc_id) left join classes c on c.s = sets.s left join roots r on r.node = c.k""")
 def near_dedup_bands(spark, sf_dir):
-    """Every document with its class by MinHash bands, links verified at Jaccard 0.8."""
+    """Every document with its class: MinHash bands, then all that they leave apart, Jaccard 0.8."""
     return dedup.near_duplicate_bands(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
